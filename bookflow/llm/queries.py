@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import simhash, tokencount
+from . import packing, sharding, simhash, tokencount
 
 
 def queries() -> dict:
     return {
+        "op1_curve_packing": packing.op1,
         "op2_token_counts": tokencount.op2,
         "op3_simhash_dedup": simhash.op3,
+        "op8_bfd_sharding": sharding.op8,
     }
 
 
