@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, packing, sharding, simhash, tokencount
+from . import decontaminate, langid, packing, secrets, sharding, simhash, tokencount
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_token_counts": tokencount.op2,
         "op3_simhash_dedup": simhash.op3,
         "op4_language_id": langid.op4,
+        "op5_secrets": secrets.op5,
         "op8_bfd_sharding": sharding.op8,
         "op9_decontaminate": decontaminate.op9,
     }
