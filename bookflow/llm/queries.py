@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown, decontaminate, langid, packing, secrets, sharding, simhash, tokencount
+from . import brown, covertree, decontaminate, langid, packing, secrets, sharding, simhash, tokencount
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_brown_classes": brown.op7,
         "op8_bfd_sharding": sharding.op8,
         "op9_decontaminate": decontaminate.op9,
+        "op10_cover_tree": covertree.op10,
     }
 
 
