@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown, covertree, decontaminate, langid, packing, secrets, sharding, simhash, tokencount
+from . import brown, covertree, decontaminate, langid, packing, pages, secrets, sharding, simhash, tokencount
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_simhash_dedup": simhash.op3,
         "op4_language_id": langid.op4,
         "op5_secrets": secrets.op5,
+        "op6_main_text": pages.op6,
         "op7_brown_classes": brown.op7,
         "op8_bfd_sharding": sharding.op8,
         "op9_decontaminate": decontaminate.op9,
