@@ -222,5 +222,12 @@ def contamination(
     return best.select("doc_id", "item_id", "b.score", (-F.col("b.col2")).alias("start_word"), "b.end_word", "b.passage")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all their columns, whose id has no contaminated text."""
+    found = contamination(docs, benchmark, id_col=id_col, text_col=text_col)
+    bad = found.where("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(bad, F.col(id_col).cast("long") == F.col("_id"), "left_anti")
+
+
 def op9(spark, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

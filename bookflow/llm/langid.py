@@ -241,6 +241,17 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep(docs: DataFrame, net: Network, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all their columns, whose language is recognized with a score of at least `least`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text_col):
+            lang, score = net.predict(b.column(text_col).to_pylist())
+            yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, train(docs)).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")

@@ -159,6 +159,18 @@ def scan(text: str | None, words: dict[str, float], threshold: float = THRESHOLD
     return sorted(taken, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+def redacted(text: str, words: dict[str, float], mark: str = "[SECRET]") -> str:
+    """The text with every secret, overlapping ones together, replaced by the mark."""
+    out, at, end = [], 0, 0
+    for _, a, b, _ in scan(text, words):
+        if a < end:
+            end = max(end, b)
+            continue
+        out += [text[at:end] and mark, text[end:a]] if end else [text[:a]]
+        at, end = a, b
+    return "".join([*out, mark, text[end:]]) if end else text
+
+
 SPANS = "doc_id long, spans array<struct<kind:string,start:long,end:long,cost:double>>"
 
 
@@ -175,6 +187,21 @@ def find(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SPANS)
 
 
+def redact(docs: DataFrame, vocabulary: str, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """The rows of docs, all their columns, with secrets masked in the text and, where there is such a column, the characters counted anew."""
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = dictionary(vocabulary)
+        for b in slices(batches, text_col):
+            clean = pa.array([None if t is None else redacted(t, words) for t in b.column(text_col).to_pylist()], pa.string())
+            k = b.schema.get_field_index(text_col)
+            yield pa.RecordBatch.from_arrays([clean if i == k else c for i, c in enumerate(b.columns)], b.schema.names)
+
+    done = docs.mapInArrow(run, schema)
+    return done.withColumn(chars_col, F.length(text_col).cast(schema[chars_col].dataType)) if chars_col in docs.columns else done
+
+
 def op5(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -122,6 +122,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """The rows of docs, all their columns, without near-duplicates: of each component the document of the smallest id stays.
+
+    Of rows that repeat an id and a text one stays. Rows without id stay unless they resemble a row with one.
+    """
+    found = materialize(near_duplicates(docs, id_col, text_col, words))
+    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")).withColumnRenamed("doc_id", "_id")
+    with_id = docs.where(F.col(id_col).isNotNull())
+    single = with_id.join(kept.where("_rows = 1"), F.col(id_col).cast("long") == F.col("_id"), "left_semi")
+    several = with_id.join(kept.where("_rows > 1"), F.col(id_col).cast("long") == F.col("_id"), "left_semi").dropDuplicates([id_col, text_col])
+    # rows without an id: their text decides, as they cannot be named
+    alone = found.where("doc_id is null and component_id is null").select("fp").distinct()
+    fp = F.udf(lambda t: int(np.array([fingerprint(t, words)], np.uint64).view(np.int64)[0]), "long")
+    nameless = docs.where(F.col(id_col).isNull()).withColumn("_fp", fp(F.col(text_col))).join(alone, F.col("_fp") == F.col("fp"), "left_semi").drop("_fp").dropDuplicates([text_col])
+    return single.unionByName(several).unionByName(nameless)
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
