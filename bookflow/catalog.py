@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import dynamics, predictive, quality
+
+_GROUPS = (quality.query, dynamics.query, predictive.query)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for g in _GROUPS for name, f in g.queries.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: text for g in _GROUPS for name, text in g.sql.items()}

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Below this standard deviation a series counts as constant.
 TINY = 1e-10
@@ -82,7 +83,7 @@ def correlation_p(r: float, n: float) -> float:
     return beta_inc((n - 2) / 2, 0.5, max(0.0, 1 - r * r))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def correlation_p_udf(r: pd.Series, n: pd.Series) -> pd.Series:
     """correlation_p on a small result table."""
     return pd.Series([correlation_p(a, b) for a, b in zip(r, n)])
