@@ -160,31 +160,42 @@ def parse(page: str | None) -> list[tuple[str, bool, list[int]]]:
     return out
 
 
-_PARSED = "page_id long, url string, blocks array<struct<text:string,article:boolean,chain:array<long>>>"
+_PARSED = "page_id long, url string, text string, subtrees array<long>, blocks array<struct<text:string,chain:array<long>>>"
 
 
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text) of every row."""
+    """(page_id, url, text) of every row.
+
+    An article's text is complete once the page is parsed; only pages without one wait for the template, and only they are shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("text", pa.string()), ("article", pa.bool_()), ("chain", pa.list_(pa.int64()))]))
+        kind = pa.list_(pa.struct([("text", pa.string()), ("chain", pa.list_(pa.int64()))]))
         for b in slices(batches, "html"):
-            rows = [[{"text": t, "article": a, "chain": c} for t, a, c in parse(p)] for p in b.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(rows, kind)], ["page_id", "url", "blocks"])
+            text, subtrees, blocks = [], [], []
+            for found in map(parse, b.column("html").to_pylist()):
+                main = [t for t, article, _ in found if article]
+                text.append("\n".join(main) if main else None)
+                subtrees.append(sorted({h for _, _, chain in found for h in chain}) if main else [])
+                blocks.append([] if main else [{"text": t, "chain": c} for t, _, c in found])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array(subtrees, pa.list_(pa.int64())), pa.array(blocks, kind)], ["page_id", "url", "text", "subtrees", "blocks"]
+            )
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(run, _PARSED)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = materialize(rows.withColumn("host", host).withColumn("row", F.monotonically_increasing_id()))
+    waits = F.col("text").isNull()
     # subtrees outside articles, once a page
-    held = rows.select("row", "host", "page_id", "url", F.explode(F.array_distinct(F.flatten("blocks.chain"))).alias("subtree"))
+    every = F.when(waits, F.array_distinct(F.flatten("blocks.chain"))).otherwise(F.col("subtrees"))
+    held = rows.select("row", "host", "page_id", "url", waits.alias("waits"), F.explode(every).alias("subtree"))
     pages_with = held.select("host", "subtree", "page_id", "url").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
     template = pages_with.where(F.col("n") >= min_pages).select("host", "subtree")
-    mine = held.select("row", "host", "subtree").join(template, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("gone"))
-    full = rows.join(mine, "row", "left")
+    mine = held.where("waits").select("row", "host", "subtree").join(template, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("gone"))
+    open_ = rows.where(waits).select("row", "page_id", "url", "blocks").join(mine, "row", "left")
     left = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b.chain, F.col("gone")))
-    has = F.exists("blocks", lambda b: b.article)
-    main = F.when(has, F.filter("blocks", lambda b: b.article)).otherwise(left)
-    return full.select("page_id", "url", F.coalesce(F.array_join(F.transform(main, lambda b: b.text), "\n"), F.lit("")).alias("text"))
+    rest = open_.select("page_id", "url", F.coalesce(F.array_join(F.transform(left, lambda b: b.text), "\n"), F.lit("")).alias("text"))
+    return rows.where(~waits).select("page_id", "url", "text").unionByName(rest)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
