@@ -113,17 +113,19 @@ def shard(docs: DataFrame, shards: int = 16, capacity: int | None = None, id_col
     grain = max(1, total // (grains * (shards if capacity is None else max(1, -(-total // capacity)))))
     bin_size = -(-total // shards) if capacity is None else capacity
     groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.max("size").alias("row_bytes"))
-    small = F.col("bytes") < grain
     over = F.col("bytes") > bin_size
     parcels = max(1, total // grain)
-    named = groups.select(
-        "key",
-        F.when(small, F.lit(0)).when(over, F.lit(2)).otherwise(F.lit(1)).alias("kind"),
-        F.when(small, F.pmod(F.xxhash64("key"), F.lit(parcels))).otherwise(F.xxhash64("key")).alias("item"),
+    # groups of a grain or more: no more of them than grains, so they are broadcast; the hash of any other key is its place
+    named = groups.where(F.col("bytes") >= grain).select(
+        F.col("key").alias("of"),
+        F.when(over, F.lit(2)).otherwise(F.lit(1)).alias("kind"),
+        F.xxhash64("key").alias("item"),
         F.when(over, F.ceil(F.col("bytes") / F.lit(grain)).cast("int")).otherwise(F.lit(1)).alias("cuts"),
     )
     cut = F.when(F.col("cuts") > 1, F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("cuts"))).otherwise(F.lit(0))
-    placed = materialize(rows.join(named, "key").select("doc_id", "size", "text_crc32", "kind", "item", cut.cast("long").alias("cut")))
+    item = F.coalesce("item", F.pmod(F.xxhash64("key"), F.lit(parcels)))
+    full = rows.join(F.broadcast(named), F.col("key") == F.col("of"), "left")
+    placed = materialize(full.select("doc_id", "size", "text_crc32", F.coalesce("kind", F.lit(0)).alias("kind"), item.alias("item"), cut.cast("long").alias("cut")))
     # at most about two items a grain, whatever the input
     items = placed.groupBy("kind", "item", "cut").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).orderBy("kind", "item", "cut").collect()
     sizes = [r.bytes for r in items]
