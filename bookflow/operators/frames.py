@@ -67,6 +67,18 @@ def aligned(samples: DataFrame, labels: DataFrame, window: int = 100, stride: in
     return found.withColumnRenamed("_i", "seq").drop("_at")
 
 
+def value_bucket(df: DataFrame, cuts: str, value: str, out: str, buckets: int) -> DataFrame:
+    """Adds out: how many of the ascending cuts (buckets - 1 of them, buckets a power of two) are below the value.
+
+    A binary search, one compiled projection a step; a filter over the array would be interpreted for each of its entries.
+    """
+    df, step = df.withColumn(out, F.lit(0)), buckets // 2
+    while step:
+        df = df.withColumn(out, F.col(out) + F.when(F.get(cuts, F.col(out) + (step - 1)) < F.col(value), step).otherwise(0))
+        step //= 2
+    return df
+
+
 def ranked(long: DataFrame, counts: dict[str, Column] | None = None, by: str = "signal", buckets: int = BUCKETS) -> DataFrame:
     """(by, value, n, counts..., before): distinct finite values with how many rows have them, and how many a smaller one.
 
@@ -77,7 +89,7 @@ def ranked(long: DataFrame, counts: dict[str, Column] | None = None, by: str = "
     rows = long.where(is_finite(F.col("value")))
     values = rows.groupBy(by, "value").agg(F.count("*").alias("n"), *[F.sum(c.cast("long")).alias(k) for k, c in counts.items()])
     cuts = values.groupBy(by).agg(F.percentile_approx("value", [k / buckets for k in range(1, buckets)], 10_000).alias("_cuts"))
-    placed = values.join(F.broadcast(cuts), by).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("value")))).drop("_cuts")
+    placed = value_bucket(values.join(F.broadcast(cuts), by), "_cuts", "value", "_bucket", buckets).drop("_cuts")
     totals = placed.groupBy(by, "_bucket").agg(F.sum("n").alias("_t"))
     earlier = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(by, "_bucket", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_base"))

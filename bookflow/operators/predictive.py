@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import correlation_p_udf, digamma, finite, pairs, pearson
-from .frames import BUCKETS, quantiles, ranked
+from .frames import BUCKETS, quantiles, ranked, value_bucket
 
 _LABELS = {"n_down": -1, "n_stable": 0, "n_up": 1}
 
@@ -23,24 +23,20 @@ def labelled(long: DataFrame) -> DataFrame:
 def rank_metrics(values: DataFrame) -> DataFrame:
     """(signal, spearman_r, auc_up, auc_down) from labelled values. An AUC without both classes is 0.5."""
     n, mid = F.col("n"), F.col("before") + (F.col("n") + 1) / 2.0
-    total = values.groupBy("signal").agg(F.sum("n").alias("_n"), *[F.sum(k).alias(f"_{k}") for k in _LABELS])
-    below = F.lit(0)
-    for k in _LABELS:  # mid-ranks of the labels
-        total = total.withColumn(f"_r{k}", below + (F.col(f"_{k}") + 1) / 2.0)
-        below = below + F.col(f"_{k}")
-    centre = (F.col("_n") + 1) / 2.0
-    joined = values.join(F.broadcast(total), "signal")
-    dx = mid - centre
-    y = sum((F.col(k) * (F.col(f"_r{k}") - centre) for k in _LABELS), F.lit(0.0))
-    sums = joined.groupBy("signal").agg(
-        F.first("_n").alias("_n"),
-        *[F.first(f"_{k}").alias(f"_{k}") for k in _LABELS],
-        F.sum(n * dx * dx).alias("_xx"),
-        F.sum(dx * y).alias("_xy"),
-        F.sum(sum((F.col(k) * (F.col(f"_r{k}") - centre) * (F.col(f"_r{k}") - centre) for k in _LABELS), F.lit(0.0))).alias("_yy"),
-        F.sum(mid * F.col("n_up")).alias("_up"),
-        F.sum(mid * F.col("n_down")).alias("_down"),
+    sums = values.groupBy("signal").agg(
+        F.sum("n").alias("_n"),
+        F.sum(n * mid * mid).alias("_sq"),
+        *[F.sum(k).alias(f"_{k}") for k in _LABELS],
+        *[F.sum(mid * F.col(k)).alias(f"_s{k}") for k in _LABELS],
     )
+    centre = (F.col("_n") + 1) / 2.0
+    below, xy, yy = F.lit(0), F.lit(0.0), F.lit(0.0)
+    for k in _LABELS:  # mid-ranks of the labels
+        own = F.col(f"_{k}")
+        y = below + (own + 1) / 2.0 - centre
+        xy, yy, below = xy + y * (F.col(f"_s{k}") - centre * own), yy + own * y * y, below + own
+    xx = F.col("_sq") - F.col("_n") * centre * centre
+    spearman = F.when((xx > 0) & (yy > 0), F.try_divide(xy, F.sqrt(xx * yy)))
 
     def auc(ranks: str, own: str, turned: bool) -> Column:
         m = F.col(own).cast("double")
@@ -48,7 +44,7 @@ def rank_metrics(values: DataFrame) -> DataFrame:
         a = F.try_divide(F.col(ranks) - m * (m + 1) / 2, m * rest)
         return F.coalesce(1 - a if turned else a, F.lit(0.5))
 
-    return sums.select("signal", F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx") * F.col("_yy"))).alias("spearman_r"), auc("_up", "_n_up", False).alias("auc_up"), auc("_down", "_n_down", True).alias("auc_down"))
+    return sums.select("signal", spearman.alias("spearman_r"), auc("_sn_up", "_n_up", False).alias("auc_up"), auc("_sn_down", "_n_down", True).alias("auc_down"))
 
 
 def signal_metrics(long: DataFrame, expected: dict[str, str] | None = None) -> DataFrame:
@@ -135,7 +131,7 @@ def _counts_within(whole: DataFrame, points: DataFrame, buckets: int) -> DataFra
     hi = F.struct((x + r).alias("at"), F.when(r > 0, -1).otherwise(1).alias("side"), F.lit(1).alias("sign"))
     asked = points.select("signal", "label", "value", F.explode(F.array(lo, hi)).alias("e")).select("signal", F.col("e.at").alias("at"), F.col("e.side").alias("side"), F.col("e.sign").alias("sign"), "label", "value", F.lit(0).cast("long").alias("n"))
     held = whole.select("signal", F.col("value").alias("at"), F.lit(0).alias("side"), F.lit(0).alias("sign"), F.lit(None).cast("int").alias("label"), F.lit(None).cast("double").alias("value"), "n")
-    both = asked.unionByName(held).join(F.broadcast(cuts), "signal").withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("at")))).drop("_cuts")
+    both = value_bucket(asked.unionByName(held).join(F.broadcast(cuts), "signal"), "_cuts", "at", "_bucket", buckets).drop("_cuts")
     totals = both.groupBy("signal", "_bucket").agg(F.sum("n").alias("_t"))
     earlier = Window.partitionBy("signal").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("signal", "_bucket", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_base"))

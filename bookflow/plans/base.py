@@ -42,12 +42,12 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*[(F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f.name) for f in df.schema])
 
 
-def tick_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ticks(spark, sf_dir)
+def tick_frame(spark: SparkSession, sf_dir: str, gidx: bool = True) -> DataFrame:
+    return ticks(spark, sf_dir, gidx=gidx)
 
 
-def tick_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long_form(ticks(spark, sf_dir), TICK_SIGNALS)
+def tick_long(spark: SparkSession, sf_dir: str, gidx: bool = True) -> DataFrame:
+    return long_form(ticks(spark, sf_dir, gidx=gidx), TICK_SIGNALS)
 
 
 #: The canonical frame over `events`, and a row per signal.

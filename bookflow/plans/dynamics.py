@@ -161,7 +161,7 @@ _PER_DAY = f"""pd AS (
 
 @query(ticks_sql(f"SELECT signal, date, n, {r_('mean')} AS mean, {r_('std')} AS std, {r_('r')} AS r FROM pd", _PER_DAY))
 def signal_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gen.per_day(tick_long(spark, sf_dir))
+    return gen.per_day(tick_long(spark, sf_dir, gidx=False))
 
 
 @query(
@@ -175,7 +175,7 @@ FROM (SELECT *, CASE WHEN abs(mr) > 1e-10 THEN abs(mr) / (sr + 1e-10) ELSE 0 END
     )
 )
 def signal_day_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = gen.day_stability(gen.per_day(tick_long(spark, sf_dir)))
+    got = gen.day_stability(gen.per_day(tick_long(spark, sf_dir, gidx=False)))
     return got.withColumn("stability_score", F.round("stability_score", 4))
 
 
@@ -189,7 +189,7 @@ FROM ticks l JOIN f USING (date) WHERE f.train_days >= 3 GROUP BY l.date""",
     )
 )
 def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gen.walk_forward(tick_long(spark, sf_dir), "v")
+    return gen.walk_forward(tick_long(spark, sf_dir, gidx=False), "v")
 
 
 @query(
@@ -199,7 +199,7 @@ FROM (SELECT signal, date, count(*) AS n, sum(value) AS s, sum(value * value) AS
     )
 )
 def running_day_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return moments(tick_long(spark, sf_dir))
+    return moments(tick_long(spark, sf_dir, gidx=False))
 
 
 _SHARE = {k: r_(pct_(f"count(*) FILTER (WHERE label = {v})", "count(*)")) for k, v in (("up", 1), ("down", -1), ("stable", 0))}
@@ -208,7 +208,7 @@ _REGIME = "CASE regime WHEN 0 THEN 'OPEN' WHEN 1 THEN 'EARLY' WHEN 2 THEN 'MIDDA
 
 @query(ticks_sql(f"SELECT regime, count(*) AS n_samples, {_SHARE['up']} AS up_pct, {_SHARE['down']} AS down_pct, {_SHARE['stable']} AS stable_pct, {r_('coalesce(' + corr_('v', 'label') + ', 0)')} AS correlation FROM ticks GROUP BY regime HAVING count(*) >= 100"))
 def regime_label_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lab.regime_label_stats(tick_frame(spark, sf_dir), "v")
+    return lab.regime_label_stats(tick_frame(spark, sf_dir, gidx=False), "v")
 
 
 @query(
@@ -217,7 +217,7 @@ def regime_label_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def regime_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reg.regime_stats(tick_frame(spark, sf_dir))
+    return reg.regime_stats(tick_frame(spark, sf_dir, gidx=False))
 
 
 _BY_REGIME = f"rc AS (SELECT signal, regime, count(*) AS n, {corr_('value', 'label')} AS r FROM long GROUP BY signal, regime)"
@@ -231,7 +231,7 @@ _BY_REGIME = f"rc AS (SELECT signal, regime, count(*) AS n, {corr_('value', 'lab
     ),
 )
 def regime_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reg.regime_correlations(tick_long(spark, sf_dir), {"dv": "-"}).withColumn("p_value", F.round("p_value", 5))
+    return reg.regime_correlations(tick_long(spark, sf_dir, gidx=False), {"dv": "-"}).withColumn("p_value", F.round("p_value", 5))
 
 
 _ABS_R = "ar AS (SELECT signal, regime, CASE WHEN r IS NOT NULL AND n >= 3 THEN abs(r) ELSE 0 END AS a FROM rc)"
@@ -247,9 +247,9 @@ FROM (SELECT signal, max(a) AS hi, min(a) AS lo, list(regime ORDER BY a DESC, re
     )
 )
 def signal_seasonality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reg.seasonality(reg.regime_correlations(tick_long(spark, sf_dir))).withColumn("regime_impact_ratio", F.round("regime_impact_ratio", 4))
+    return reg.seasonality(reg.regime_correlations(tick_long(spark, sf_dir, gidx=False))).withColumn("regime_impact_ratio", F.round("regime_impact_ratio", 4))
 
 
 @query(ticks_sql(f"SELECT regime, {r_('avg(a)')} AS importance FROM ar GROUP BY regime", _BY_REGIME, _ABS_R))
 def regime_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reg.regime_importance(reg.regime_correlations(tick_long(spark, sf_dir)))
+    return reg.regime_importance(reg.regime_correlations(tick_long(spark, sf_dir, gidx=False)))

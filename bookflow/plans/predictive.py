@@ -26,12 +26,12 @@ _LABEL_R = f"lr AS (SELECT signal, count(*) AS n, {corr_('value', 'label')} AS r
     )
 )
 def signal_label_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label_correlations(tick_long(spark, sf_dir)).withColumn("p_value", F.round("p_value", 5))
+    return label_correlations(tick_long(spark, sf_dir, gidx=False)).withColumn("p_value", F.round("p_value", 5))
 
 
 @query(ticks_sql(f"SELECT signal, {r_('corr(rx, ry)')} AS spearman_r, {r_(auc_(1, False))} AS auc_up, {r_(auc_(-1, True))} AS auc_down FROM rk GROUP BY signal", _RANKS.format(of="long")))
 def rank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pre.rank_metrics(pre.labelled(tick_long(spark, sf_dir)))
+    return pre.rank_metrics(pre.labelled(tick_long(spark, sf_dir, gidx=False)))
 
 
 _TRADE_SQL = (
@@ -50,12 +50,12 @@ def trade_rank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def signal_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of a signal's predictive power; the nearest-neighbour estimate has no SQL form."""
-    return pre.signal_metrics(tick_long(spark, sf_dir), {"v": "-", "dv": "-"})
+    return pre.signal_metrics(tick_long(spark, sf_dir, gidx=False), {"v": "-", "dv": "-"})
 
 
 @query()
 def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pre.mutual_information(tick_long(spark, sf_dir))
+    return pre.mutual_information(tick_long(spark, sf_dir, gidx=False))
 
 
 @query(
@@ -65,7 +65,7 @@ def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def conditional_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = lambda k: F.avg(F.when(F.col("label") == k, F.col("value")))
-    return tick_long(spark, sf_dir).groupBy("signal").agg(mean(1).alias("mean_up"), mean(0).alias("mean_stable"), mean(-1).alias("mean_down"))
+    return tick_long(spark, sf_dir, gidx=False).groupBy("signal").agg(mean(1).alias("mean_up"), mean(0).alias("mean_stable"), mean(-1).alias("mean_down"))
 
 
 _BINS = f"""
@@ -80,7 +80,7 @@ _EDGES = """ed AS (
 
 @query(ticks_sql(_BINS, _EDGES))
 def binned_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pre.binned_probabilities(tick_long(spark, sf_dir))
+    return pre.binned_probabilities(tick_long(spark, sf_dir, gidx=False))
 
 
 _TICK_PAIRS = [(i, j, a, b) for i, a in enumerate(TICK_SIGNALS) for j, b in enumerate(TICK_SIGNALS) if i <= j]
@@ -89,12 +89,12 @@ _MATRIX = "cm AS (" + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, '{a}' AS s
 
 @query(ticks_sql(f"SELECT i, j, signal_a, signal_b, {r_('r')} AS r FROM cm", _MATRIX))
 def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cor.correlation_matrix(tick_frame(spark, sf_dir), TICK_SIGNALS)
+    return cor.correlation_matrix(tick_frame(spark, sf_dir, gidx=False), TICK_SIGNALS)
 
 
 @query(ticks_sql(f"SELECT i, j, signal_a, signal_b, {r_('r')} AS r FROM cm WHERE i < j AND abs(r) > 0.5", _MATRIX))
 def redundant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cor.redundant_pairs(cor.correlation_matrix(tick_frame(spark, sf_dir), TICK_SIGNALS))
+    return cor.redundant_pairs(cor.correlation_matrix(tick_frame(spark, sf_dir, gidx=False), TICK_SIGNALS))
 
 
 _VIF = "(1 - {a} * {a}) / (1 + 2 * rvk * rvd * rkd - rvk * rvk - rvd * rvd - rkd * rkd)"
@@ -109,7 +109,7 @@ _VIF = "(1 - {a} * {a}) / (1 + 2 * rvk * rvd * rkd - rvk * rvk - rvd * rvd - rkd
 )
 def variance_inflation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three signals: the inverse of a 3 x 3 matrix is closed form in SQL."""
-    return cor.vif(tick_frame(spark, sf_dir), TICK_SIGNALS)
+    return cor.vif(tick_frame(spark, sf_dir, gidx=False), TICK_SIGNALS)
 
 
 @query()
@@ -133,7 +133,7 @@ FROM lr"""
 
 @query(ticks_sql(_GROUPS, _MATRIX, _LABEL_R))
 def predictive_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, long = tick_frame(spark, sf_dir), tick_long(spark, sf_dir)
+    df, long = tick_frame(spark, sf_dir, gidx=False), tick_long(spark, sf_dir, gidx=False)
     r = F.col("pearson_r")
     metrics = label_correlations(long).select("signal", F.col("correlation").alias("pearson_r")).withColumn("sign_consistent", F.when(F.col("signal").isin("v", "dv"), r < 0))
     return pre.predictive_groups(metrics, cor.correlation_matrix(df, TICK_SIGNALS))

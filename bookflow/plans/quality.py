@@ -31,7 +31,7 @@ _TRADE_LONG = "long AS (" + " UNION ALL ".join(f"SELECT date, label, '{s}' AS si
 
 @query(ticks_sql(_DIST.format(by=""), _COUNTS.format(by="", of="ticks", group="")))
 def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q.label_distribution(tick_frame(spark, sf_dir))
+    return q.label_distribution(tick_frame(spark, sf_dir, gidx=False))
 
 
 @query("WITH " + _TRADES.strip() + ", " + _COUNTS.format(by="date, ", of="trades", group="GROUP BY date") + _DIST.format(by="date, "))
@@ -44,18 +44,18 @@ _STATS = f"SELECT {{by}}signal, count(value) AS n, {r_('avg(value)')} AS mean, {
 
 @query(ticks_sql(_STATS.format(by="")))
 def column_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q.column_stats(tick_long(spark, sf_dir)).select("signal", "n", "mean", "std", "min", "max")
+    return q.column_stats(tick_long(spark, sf_dir, gidx=False)).select("signal", "n", "mean", "std", "min", "max")
 
 
 @query(ticks_sql(_STATS.format(by="regime, ")))
 def column_stats_by_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q.column_stats(tick_long(spark, sf_dir), ("regime", "signal"))
+    return q.column_stats(tick_long(spark, sf_dir, gidx=False), ("regime", "signal"))
 
 
 @query(ticks_sql(_STATS.format(by="")))
 def merged_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days' statistics combined: equal to the statistics of the whole."""
-    return q.merge_stats(q.column_stats(tick_long(spark, sf_dir), ("date", "signal")))
+    return q.merge_stats(q.column_stats(tick_long(spark, sf_dir, gidx=False), ("date", "signal")))
 
 
 @query(f"WITH {_TRADES.strip()}, {_TRADE_LONG} {_STATS.format(by='')}")
@@ -87,7 +87,7 @@ FROM m JOIN long l ON l.signal = m.signal GROUP BY m.signal, m.n, m.mean, m.std,
     )
 )
 def signal_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q.signal_statistics(tick_long(spark, sf_dir)).select("signal", "n", "mean", "std", "min", "max", "q25", "median", "q75", "n_unique", "pct_outliers")
+    return q.signal_statistics(tick_long(spark, sf_dir, gidx=False)).select("signal", "n", "mean", "std", "min", "max", "q25", "median", "q75", "n_unique", "pct_outliers")
 
 
 _CATEGORICAL = """
@@ -149,7 +149,7 @@ _PER = {k: r_(pct_(f"count(*) FILTER (WHERE label = {v})", "count(*)")) for k, v
 
 @query(ticks_sql(f"SELECT date, count(*) AS n_samples, count(label) AS n_labels, {_PER['up']} AS label_up_pct, {_PER['down']} AS label_down_pct, {_PER['stable']} AS label_stable_pct FROM ticks GROUP BY date"))
 def day_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lab.day_statistics(tick_frame(spark, sf_dir))
+    return lab.day_statistics(tick_frame(spark, sf_dir, gidx=False))
 
 
 @query(

@@ -11,8 +11,8 @@ TICK_SIGNALS = ["v", "k", "dv"]
 TRADE_SIGNALS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-def ticks(spark: SparkSession, sf_dir: str, band: float = 5.0) -> DataFrame:
-    """`events` as an ordered, labelled series: v the value, k the property, dv the change within the day; label the sign of the next change beyond a dead band; a day's last event has no label and goes."""
+def ticks(spark: SparkSession, sf_dir: str, band: float = 5.0, gidx: bool = True) -> DataFrame:
+    """`events` as an ordered, labelled series: v the value, k the property, dv the change within the day; label the sign of the next change beyond a dead band; a day's last event has no label and goes. Without gidx the days' sizes are not counted, which saves a scan."""
     day = Window.partitionBy("date").orderBy("ts")
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     e = e.select(F.col("ts").cast("date").cast("string").alias("date"), "ts", F.col("value").alias("v"), F.get_json_object("props", "$.k").cast("double").alias("k"))
@@ -23,15 +23,14 @@ def ticks(spark: SparkSession, sf_dir: str, band: float = 5.0) -> DataFrame:
         (F.lead("v").over(day) - F.col("v")).alias("step"),
     ).where("step is not null")
     hour = F.hour("ts")
-    return with_gidx(
-        e.select(
-            "date",
-            "seq",
-            F.when(F.col("step") > band, 1).when(F.col("step") < -band, -1).otherwise(0).alias("label"),
-            F.when(hour < 6, 0).when(hour < 10, 1).when(hour < 16, 2).when(hour < 20, 3).otherwise(4).alias("regime"),
-            *TICK_SIGNALS,
-        )
+    samples = e.select(
+        "date",
+        "seq",
+        F.when(F.col("step") > band, 1).when(F.col("step") < -band, -1).otherwise(0).alias("label"),
+        F.when(hour < 6, 0).when(hour < 10, 1).when(hour < 16, 2).when(hour < 20, 3).otherwise(4).alias("regime"),
+        *TICK_SIGNALS,
     )
+    return with_gidx(samples) if gidx else samples
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
