@@ -91,8 +91,7 @@ def mutual_information(long: DataFrame, k: int = 3, buckets: int = BUCKETS) -> D
     points = near.select(parts[0].alias("signal"), parts[1].cast("int").alias("label"), "value", "n", "radius")
     whole = ranked(rows, buckets=buckets)
     total = rows.groupBy("signal").agg(F.count("*").alias("_total"))
-    m = _counts_within(whole, points, buckets)
-    each = points.join(m, ["signal", "label", "value"]).join(F.broadcast(many), ["signal", "label"])
+    each = _counts_within(whole, points, buckets).join(F.broadcast(many), ["signal", "label"])
     got = each.groupBy("signal").agg((F.sum(F.col("n") * (digamma(F.least(F.lit(k), F.col("_ny") - 1)) - digamma(F.col("_ny")) - digamma(F.greatest("m", F.lit(1))))) / F.sum("n")).alias("_mean"))
     mi = F.greatest(F.lit(0.0), digamma(F.col("_total")) + F.col("_mean"))
     return got.join(F.broadcast(total), "signal").select("signal", mi.alias("mi_nats"), (mi / 0.6931471805599453).alias("mi_bits"))
@@ -121,7 +120,7 @@ def _with_neighbours(values: DataFrame, k: int) -> DataFrame:
 
 
 def _counts_within(whole: DataFrame, points: DataFrame, buckets: int) -> DataFrame:
-    """(signal, label, value, m): rows of the signal at distance below radius of each point, or of its value where radius is 0.
+    """(signal, label, value, n, m): the points with m, the rows of the signal at distance below radius of each point, or of its value where radius is 0.
 
     Both ends of each interval are ranked among the signal's values: ends and values are sorted together in value buckets.
     """
@@ -129,15 +128,15 @@ def _counts_within(whole: DataFrame, points: DataFrame, buckets: int) -> DataFra
     x, r = F.col("value"), F.col("radius")
     lo = F.struct((x - r).alias("at"), F.when(r > 0, 1).otherwise(-1).alias("side"), F.lit(-1).alias("sign"))  # after values equal to the end, or before them
     hi = F.struct((x + r).alias("at"), F.when(r > 0, -1).otherwise(1).alias("side"), F.lit(1).alias("sign"))
-    asked = points.select("signal", "label", "value", F.explode(F.array(lo, hi)).alias("e")).select("signal", F.col("e.at").alias("at"), F.col("e.side").alias("side"), F.col("e.sign").alias("sign"), "label", "value", F.lit(0).cast("long").alias("n"))
-    held = whole.select("signal", F.col("value").alias("at"), F.lit(0).alias("side"), F.lit(0).alias("sign"), F.lit(None).cast("int").alias("label"), F.lit(None).cast("double").alias("value"), "n")
+    asked = points.select("signal", "label", "value", F.col("n").alias("_copies"), F.explode(F.array(lo, hi)).alias("e")).select("signal", F.col("e.at").alias("at"), F.col("e.side").alias("side"), F.col("e.sign").alias("sign"), "label", "value", F.lit(0).cast("long").alias("n"), "_copies")
+    held = whole.select("signal", F.col("value").alias("at"), F.lit(0).alias("side"), F.lit(0).alias("sign"), F.lit(None).cast("int").alias("label"), F.lit(None).cast("double").alias("value"), "n", F.lit(None).cast("long").alias("_copies"))
     both = value_bucket(asked.unionByName(held).join(F.broadcast(cuts), "signal"), "_cuts", "at", "_bucket", buckets).drop("_cuts")
     totals = both.groupBy("signal", "_bucket").agg(F.sum("n").alias("_t"))
     earlier = Window.partitionBy("signal").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("signal", "_bucket", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("signal", "_bucket").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = both.withColumn("_in", F.sum("n").over(inside)).where("sign <> 0").join(totals, ["signal", "_bucket"])
-    return seen.groupBy("signal", "label", "value").agg(F.sum(F.col("sign") * (F.col("_base") + F.col("_in"))).alias("m"))
+    return seen.groupBy("signal", "label", "value").agg(F.first("_copies").alias("n"), F.sum(F.col("sign") * (F.col("_base") + F.col("_in"))).alias("m"))
 
 
 def predictive_groups(metrics: DataFrame, matrix: DataFrame | None = None, primary: float = 0.05, low: float = 0.01, redundant: float = 0.5) -> DataFrame:
