@@ -1,12 +1,14 @@
 """Main text of web pages, with site templates removed.
 
 Each page is parsed once into its text blocks. A block knows the hashes of the element subtrees that hold
-it; Spark counts on how many pages of a host each subtree occurs, and the blocks of subtrees that recur on
-at least `MIN_PAGES` pages of their host are deleted: they are the site's template. Inside the page's
-article (article or main element) repetition is content, so subtrees there are not counted. Menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader comments go by element or by class,
-id or role, in and outside articles. A page with an article gives the article; any other page gives all
-blocks that are left.
+it; Spark counts on how many pages of a host each subtree occurs, over every page, and the blocks of subtrees
+that recur on many pages of their host are deleted: they are the site's template. Outside an article (article
+or main element) `MIN_PAGES` pages are many. Inside one, where a passage may be quoted and articles copied,
+a subtree must be on `INNER_PAGES` pages and on `INNER_SHARE` of all the host's pages; an article that would
+vanish whole is a copy of others, not a template, and stays. Menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles and reader comments, whose content may differ from page to page, also go by
+element or by class, id or role. A page with an article gives the article; any other page gives all blocks
+that are left.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed,
 empty ones dropped, and the rest joined in page order by one newline. A line break element ends a block.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, slices, table
 
-MIN_PAGES = 5
+MIN_PAGES, INNER_PAGES, INNER_SHARE = 5, 20, 0.8
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
 _ATTR = re.compile(r"""(?i)(?<![^\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -69,7 +71,7 @@ def _chrome(attrs: str) -> bool:
 
 
 def parse(page: str | None) -> list[tuple[str, bool, list[int]]]:
-    """(text, in the article, hashes of the subtrees outside the article that hold it) of each block that no rule drops."""
+    """(text, in an article, hashes of the subtrees that hold it, for an article's block those inside the article) of each block that no rule drops."""
     page = page or ""
     blocks: list[tuple[list[str], _Node]] = []
     root = top = _Node("", None, "")
@@ -153,49 +155,49 @@ def parse(page: str | None) -> list[tuple[str, bool, list[int]]]:
         if said:
             chain, up = [], node
             while up is not None and up.up is not None:
-                if not up.article and up.tag not in ("html", "body"):
+                if up.tag in ("article", "main"):
+                    break
+                if up.tag not in ("html", "body"):
                     chain.append(up.hash.intdigest() - (1 << 63))
                 up = up.up
             out.append((said, node.article, chain))
     return out
 
 
-_PARSED = "page_id long, url string, text string, subtrees array<long>, blocks array<struct<text:string,chain:array<long>>>"
+_PARSED = "page_id long, url string, blocks array<struct<text:string,inner:boolean,chain:array<long>>>"
 
 
-def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def main_text(
+    pages: DataFrame, min_pages: int = MIN_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", inner_pages: int = INNER_PAGES, inner_share: float = INNER_SHARE
+) -> DataFrame:
     """(page_id, url, text) of every row.
 
-    An article's text is complete once the page is parsed; only pages without one wait for the template, and only they are shuffled.
+    The texts are shuffled only if too many rows hold template subtrees for Spark to broadcast which.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("text", pa.string()), ("chain", pa.list_(pa.int64()))]))
+        kind = pa.list_(pa.struct([("text", pa.string()), ("inner", pa.bool_()), ("chain", pa.list_(pa.int64()))]))
         for b in slices(batches, "html"):
-            text, subtrees, blocks = [], [], []
-            for found in map(parse, b.column("html").to_pylist()):
-                main = [t for t, article, _ in found if article]
-                text.append("\n".join(main) if main else None)
-                subtrees.append(sorted({h for _, _, chain in found for h in chain}) if main else [])
-                blocks.append([] if main else [{"text": t, "chain": c} for t, _, c in found])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array(subtrees, pa.list_(pa.int64())), pa.array(blocks, kind)], ["page_id", "url", "text", "subtrees", "blocks"]
-            )
+            blocks = [[{"text": t, "inner": a, "chain": c} for t, a, c in parse(h)] for h in b.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(blocks, kind)], ["page_id", "url", "blocks"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(run, _PARSED)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = materialize(rows.withColumn("host", host).withColumn("row", F.monotonically_increasing_id()))
-    waits = F.col("text").isNull()
-    # subtrees outside articles, once a page
-    every = F.when(waits, F.array_distinct(F.flatten("blocks.chain"))).otherwise(F.col("subtrees"))
-    held = rows.select("row", "host", "page_id", "url", waits.alias("waits"), F.explode(every).alias("subtree"))
-    pages_with = held.select("host", "subtree", "page_id", "url").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    template = pages_with.where(F.col("n") >= min_pages).select("host", "subtree")
-    mine = held.where("waits").select("row", "host", "subtree").join(template, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("gone"))
-    open_ = rows.where(waits).select("row", "page_id", "url", "blocks").join(mine, "row", "left")
-    left = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b.chain, F.col("gone")))
-    rest = open_.select("page_id", "url", F.coalesce(F.array_join(F.transform(left, lambda b: b.text), "\n"), F.lit("")).alias("text"))
-    return rows.where(~waits).select("page_id", "url", "text").unionByName(rest)
+    rows = materialize(rows.withColumn("host", host).withColumn("page", F.xxhash64("page_id", "url")).withColumn("row", F.monotonically_increasing_id()))
+    # subtrees once a page
+    nodes = F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.transform(b.chain, lambda h: F.struct(b.inner.alias("inner"), h.alias("subtree"))))))
+    held = rows.select("row", "host", "page", F.explode(nodes).alias("x")).select("row", "host", "page", "x.inner", "x.subtree")
+    on = held.select("host", "inner", "subtree", "page").distinct().groupBy("host", "inner", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= F.when(F.col("inner"), inner_pages).otherwise(min_pages))
+    of = rows.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    template = on.join(of, "host").where(~F.col("inner") | (F.col("n") >= F.col("pages") * inner_share)).select("host", "inner", "subtree")
+    # as a table, so that its size decides how the texts meet it
+    gone = materialize(held.join(template, ["host", "inner", "subtree"]).groupBy("row").agg(F.collect_set(F.struct("inner", "subtree")).alias("gone")))
+    stays = lambda b: F.col("gone").isNull() | ~F.exists(b.chain, lambda h: F.array_contains("gone", F.struct(b.inner.alias("inner"), h.alias("subtree"))))
+    article = F.filter("blocks", lambda b: b.inner)
+    full = rows.select("row", "page_id", "url", article.alias("article"), F.when(F.size(article) == 0, F.col("blocks")).alias("blocks")).join(gone, "row", "left")
+    left = F.filter("article", stays)
+    text = F.when(F.size("article") == 0, F.filter("blocks", stays)).when(F.size(left) == 0, F.col("article")).otherwise(left)
+    return full.select("page_id", "url", F.array_join(F.transform(text, lambda b: b.text), "\n").alias("text"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

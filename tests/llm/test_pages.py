@@ -51,6 +51,15 @@ def test_subtrees_that_recur_on_a_host_go(spark):
     assert P.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_template_inside_articles(spark):
+    """What most of a host's many pages carry in their articles goes; a quoted passage and copies of a whole article stay."""
+    rows = [page(k, "d.com", f"<p>text {k}</p><div><p>Read our letter</p></div>" + ("<p>quoted</p>" if k % 2 else ""), True) for k in range(30)]
+    rows += [page(k, "e.com", "<h1>One</h1><p>article</p>", True) for k in range(100, 130)]
+    rows += rows[:1]
+    got = P.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted((r.page_id, r.text) for r in got) == sorted((k, f"text {k}" + ("\nquoted" if k % 2 else "") if u.startswith("http://d") else "One\narticle") for k, u, *_ in rows)
+
+
 def test_query_on_pages(spark, sf):
     """The tables' articles, taken by plain pattern."""
     rows = {r.page_id: r for r in P.op6(spark, sf).collect()}
