@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import dynamics, predictive, quality
+from .plans import advice, dynamics, predictive, quality
 
-_GROUPS = (quality.query, dynamics.query, predictive.query)
+_GROUPS = (quality.query, dynamics.query, predictive.query, advice.query)
 
 
 def queries() -> dict:

@@ -59,24 +59,11 @@ def walk_forward(long: DataFrame, signal: str, min_train_days: int = 3) -> DataF
 
 def generalization_summary(long: DataFrame, signal: str) -> dict:
     """Assessment over days: GOOD, MODERATE or POOR, most and least stable signals, fold accuracy, advice. Below three days an error."""
-    days = per_day(long)
-    rows = day_stability(days).orderBy(F.desc("stability_score"), "signal").collect()
-    n_days = max((r.n_days for r in rows), default=0)
-    if n_days < 3:
-        raise ValueError(f"{n_days} days are too few; 3 are needed")
-    folds = walk_forward(long, signal).agg(F.avg("accuracy").alias("a"), F.count("*").alias("n")).first()
-    accuracy = folds.a or 0.0
-    stability = sum(r.stability_score for r in rows) / len(rows)
-    grade = "GOOD" if stability > 2 and accuracy > 0.35 else "MODERATE" if stability > 1 or accuracy > 0.35 else "POOR"
-    advice = []
-    if grade == "POOR":
-        advice.append("signals do not carry over between days; add data or features before training")
-    if unstable := [r.signal for r in rows if not r.is_stable]:
-        advice.append(f"unstable over days: {', '.join(unstable)}")
-    if not unstable:
-        advice.append("all signals are stable over days")
-    if accuracy < 1 / 3:
-        advice.append("walk-forward accuracy is below chance")
-    if folds.n == 0:
-        advice.append("too few days for a walk-forward fold")
-    return {"overall_stability_score": stability, "most_stable_signals": [r.signal for r in rows[:3]], "least_stable_signals": [r.signal for r in rows[-3:]], "walk_forward_avg_accuracy": accuracy, "generalization_assessment": grade, "recommendations": advice}
+    from .advice import generalization, generalization_advice, generalization_facts
+
+    facts = generalization_facts(long, signal)
+    one = generalization(facts).first()
+    if one is None:
+        raise ValueError("3 days are needed")
+    rows = [r.signal for r in day_stability(per_day(long)).orderBy(F.desc("stability_score"), "signal").collect()]
+    return one.asDict() | {"most_stable_signals": rows[:3], "least_stable_signals": rows[-3:], "recommendations": [r.asDict() for r in generalization_advice(facts).collect()]}

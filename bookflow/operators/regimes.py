@@ -62,21 +62,14 @@ def regime_importance(correlations: DataFrame) -> DataFrame:
 
 def regime_summary(df: DataFrame, long: DataFrame) -> dict:
     """All of the above as one small result, with advice."""
-    stats, cor = regime_stats(df).orderBy("regime").collect(), regime_correlations(long)
-    season = seasonality(cor).orderBy("signal").collect()
-    advice = []
-    if any(r.regime_impact_ratio > 2 for r in season):
-        advice.append("the regime changes how much signals predict; give it to the model")
-    spread = [r.label_std for r in stats if r.label_std]
-    if spread and max(spread) / max(min(spread), TINY) > 1.5:
-        advice.append("label volatility differs between regimes")
-    if any(r.regime == 4 and r.n_samples for r in stats):
-        advice.append("samples outside market hours are present; consider leaving them out")
+    from .advice import regime_advice
+
+    stats, cor = regime_stats(df), regime_correlations(long)
+    season, importance = seasonality(cor), regime_importance(cor)
     return {
-        "regime_stats": [r.asDict() for r in stats],
+        "regime_stats": [r.asDict() for r in stats.orderBy("regime").collect()],
         "regime_correlations": [r.asDict() for r in cor.orderBy("signal", "regime").collect()],
-        "signal_seasonality": [r.asDict() for r in season],
-        "overall_regime_importance": {r.regime: r.importance for r in regime_importance(cor).collect()},
-        "recommendations": advice,
+        "signal_seasonality": [r.asDict() for r in season.orderBy("signal").collect()],
+        "overall_regime_importance": {r.regime: r.importance for r in importance.collect()},
+        "recommendations": [r.asDict() for r in regime_advice(stats, season, importance).collect()],
     }
-
