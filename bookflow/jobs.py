@@ -1,7 +1,8 @@
 """Analyses as jobs: named plans over one canonical frame, checks of their results, JSON and text sinks.
 
-A stage is a dictionary of small DataFrames. Nothing runs until a sink writes them, and every plan is over
-all rows unless `first_rows` was asked for.
+A stage is a dictionary of small DataFrames. Plans run when a sink writes them, but for what needs the small
+matrix of signals on the driver (components, variance inflation, clusters, stationarity). Every plan is over all
+rows unless `first_rows` was asked for.
 """
 
 from __future__ import annotations
@@ -132,17 +133,28 @@ def analyze(df: DataFrame, signals: list[str], expected: dict[str, str] | None =
         "generalization": generalization_stage(df, signals),
         "regimes": regime_stage(df, signals, expected),
     }
-    s = out["signals"]
-    facts = advice.together(
-        advice.label_facts(out["overview"]["label_distribution"], out["overview"]["quality"]),
-        advice.signal_facts(s["components"], s["redundant_pairs"], out["predictive"]["groups"]),
-        out["temporal"]["facts"],
-        out["generalization"]["facts"],
-        out["regimes"]["facts"],
-    )
+    facts = training_facts(df, signals, expected)
     return out | {"training": {"facts": facts, "advice": advice.training_advice(facts)}}
 
 
+def training_facts(df: DataFrame, signals: list[str], expected: dict[str, str] | None = None, redundant: float = 0.7) -> DataFrame:
+    """The facts that advice on training needs, from the cheapest plans that give them: no ranks, no information."""
+    long, r = long_form(df, signals), F.col("r")
+    sign = F.lit(None).cast("string")
+    for name, e in (expected or {}).items():
+        sign = F.when(F.col("signal") == name, e).otherwise(sign)
+    own = correlation.finite_correlation(long, ("signal",)).select("signal", r.alias("pearson_r"), F.when(sign == "+", r > 0).when(sign == "-", r < 0).alias("sign_consistent"))
+    temporal_ = temporal.decay_summary(temporal.predictive_decay(long)), temporal.lead_lag(temporal.cross_correlation(df, signals, 20))
+    by = regimes.regime_correlations(long)
+    return advice.together(
+        advice.label_facts(quality.label_distribution(df), quality.data_quality(long)),
+        advice.signal_facts(correlation.pca(df, signals), correlation.redundant_pairs(correlation.correlation_matrix(df, signals), redundant), predictive.predictive_groups(own)),
+        advice.temporal_facts(temporal.persistence(long), *temporal_),
+        advice.generalization_facts(long, signals[0]),
+        advice.regime_facts(regimes.regime_stats(df), regimes.seasonality(by), regimes.regime_importance(by)),
+    )
+
+
 def save_json(stages: dict[str, Stage], path: str) -> None:
     """A folder of JSON lines per result: path/stage/result. The stages' own results are small; the writing is Spark's."""
     for stage, results in stages.items():

@@ -90,5 +90,5 @@ def regime_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def training_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages' facts; components and rules on mutual lags are beyond SQL."""
-    return jobs.analyze(tick_frame(spark, sf_dir), TICK_SIGNALS)["training"]["advice"]
+    """From the facts of all stages; components are beyond SQL."""
+    return advice.training_advice(jobs.training_facts(tick_frame(spark, sf_dir), TICK_SIGNALS))
