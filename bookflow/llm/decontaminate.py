@@ -4,8 +4,11 @@ Texts are lower-cased, ASCII punctuation counts as white space, words are what r
 read in blocks of bounded size, each of which is broadcast; the corpus side is only scanned, never shuffled.
 
 1. Corpus counts: every occurrence of a benchmark word n-gram in any document is counted.
-2. Seeds: from each window of `window` consecutive n-grams of an item the one rarest in the corpus (the
-   first of equals) is taken. Every stretch of an item thus has a seed, however common the item is.
+2. Seeds: from each window of `window` consecutive n-grams of an item the one rarest among those that occur
+   in the corpus (the first of equals) is taken. An n-gram of no document finds nothing, so it never takes
+   the place of one that an edited copy kept; a window without any that occurs has no seed. Every stretch of
+   an item that some document holds thus has a seed, however common the item is. Counts are of the whole
+   corpus: a copy goes unfound if, in each window where it kept n-grams, rarer ones of other copies win.
 3. A document passage that holds a seed of an item is aligned with the whole item by local alignment
    (match 2, mismatch -1, gap -1 a word); the score is divided by that of an exact copy. Pairs that reach
    `threshold` are contamination: exact, edited and paraphrased copies alike.
@@ -91,14 +94,16 @@ class Items:
         return seq, starts, split
 
     def seeds(self, counts: np.ndarray, window: int) -> np.ndarray:
-        """Occurrences (indices into item and place) chosen as seeds."""
+        """Occurrences (indices into item and place) chosen as seeds: of each window the rarest n-gram that occurs at all."""
+        rank = np.where(counts > 0, counts, np.iinfo(np.int64).max)
         chosen = []
         first = 0
         while first < self.item.size:
             last = int(np.searchsorted(self.item, self.item[first], "right"))
-            c = counts[self.at[first:last]]
+            c = rank[self.at[first:last]]
             span = min(window, c.size)
-            chosen.append(first + np.unique(np.arange(c.size - span + 1) + np.lib.stride_tricks.sliding_window_view(c, span).argmin(1)))
+            own = np.unique(np.arange(c.size - span + 1) + np.lib.stride_tricks.sliding_window_view(c, span).argmin(1))
+            chosen.append(first + own[counts[self.at[first + own]] > 0])
             first = last
         return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
 

@@ -77,6 +77,22 @@ def test_a_common_item_still_has_seeds(spark):
     assert D.contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).where("score = 1 and start_word = 1 and end_word = 21").count() == 500
 
 
+def test_copies_with_every_fourth_or_fifth_word_replaced(spark):
+    """Each such copy keeps an n-gram in a window whose others occur nowhere; none may be lost."""
+    r = random.Random(4)
+    items = [(k, " ".join(f"w{r.randrange(5000)}" for _ in range(r.randrange(24, 60)))) for k in range(40)]
+    for every in (4, 5):
+        docs = []
+        for k, t in items:
+            w, first = t.split(), k % every
+            w[first::every] = [f"new{k}x{j}" for j in range(len(w[first::every]))]
+            docs.append((k, " ".join(["before"] * 9 + w + ["after"] * 9)))
+        want = {p: s for p, s in brute(docs, items).items()}
+        assert {(k, k) for k, _ in items} <= want.keys()
+        got = D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert {(x.doc_id, x.item_id): x.score for x in got} == want
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b c d", "", 1)], DOCS), spark.createDataFrame([(1, "a b c d", "")], ITEMS)
     assert D.contamination(docs.limit(0), items).count() == 0
