@@ -5,8 +5,8 @@ a kind, whose length qualifies. The method adds spans of kind guess: a value tha
 would (after a credential word and a separator, or as the password of a URL) is segmented at the least
 total guess cost into dictionary words (by rank, with a factor for capitals and for letters written as
 digits), dates, sequences, repeats, keyboard walks and brute-force characters. A value that costs at least
-`THRESHOLD` powers of ten, and that no base span overlaps, is a secret; words, dates and placeholders are
-cheap and stay. Cost adds up left to right, so a value of any length takes time in proportion to it.
+`THRESHOLD` powers of ten is a secret; words, dates and placeholders are cheap and stay. A value that one
+base span, or one added before, holds whole adds nothing; one that goes beyond is costed whole and added. Cost adds up left to right, so a value of any length takes time in proportion to it.
 
 Rules: null text is empty text; spans are code-point offsets, end exclusive, by start, then kind as
 listed, then end; repeated rows get a row each; other columns are ignored; empty in, empty out.
@@ -154,7 +154,7 @@ def scan(text: str | None, words: dict[str, float], threshold: float = THRESHOLD
     for a, b in sorted(set(values)):
         while b > a and text[b - 1] in ".:!?)":
             b -= 1
-        if all(b <= x or a >= y for _, x, y, _ in taken) and (cost := guess_cost(text[a:b], words)[0]) >= threshold:
+        if not any(x <= a and b <= y for _, x, y, _ in taken) and (cost := guess_cost(text[a:b], words)[0]) >= threshold:
             taken.append(("guess", a, b, cost))
     return sorted(taken, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
