@@ -1,21 +1,29 @@
-"""Main text of web pages, with site templates removed.
-
-Each page is parsed once into its text blocks. A block knows the hashes of the element subtrees that hold
-it; Spark counts on how many pages of a host each subtree occurs, over every page, and the blocks of subtrees
-that recur on many pages of their host are deleted: they are the site's template. Outside an article (article
-or main element) `MIN_PAGES` pages are many. Inside one, where a passage may be quoted and articles copied,
-a subtree must be on `INNER_PAGES` pages and on `INNER_SHARE` of all the host's pages; an article that would
-vanish whole is a copy of others, not a template, and stays. Menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and reader comments, whose content may differ from page to page, also go by
-element or by class, id or role. A page with an article gives the article; any other page gives all blocks
-that are left.
+"""Main text of web pages: subtrees that recur on many pages of a host are its template and go.
+
+Every page is parsed once into a tree. Spark counts, per host and over its distinct pages, two hashes of each
+element subtree: of its content, and of its shape (the path of tags, classes and ids, its *slot*).
+
+* A slot that holds one element a page and most of the host's text is the article (ties: an article or main
+  element with a tenth of the text wins). What lies outside it is left out.
+* A slot on half of the pages is template if it holds a quarter of the host's text at most, or is mostly
+  links (`LINKS` a page or more; such slots go inside the article too). So furniture whose words differ from
+  page to page is found as well. The holder of a page's only h1 stays.
+* A content on `MIN_PAGES` pages and half of the host's is template outside the article; inside, where
+  passages are quoted, it takes `INNER_PAGES` and `INNER_SHARE` of the pages.
+
+What counting cannot see (hosts of few pages, a widget on a few pages) is decided by the meaning of elements
+and of class, id and role words; inside an article only by whole class names and by words for reader
+comments. Where the counts would leave nothing, only these rules are applied. `lists=False` switches the
+class, id and role words off.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed,
 empty ones dropped, and the rest joined in page order by one newline. A line break element ends a block.
 
 Rules: null html is empty html and gives empty text; a null or odd url has the host it parses to, else the
-empty host; unclosed and stray tags are tolerated; repeated rows get a row each (copies of one page count
-as one page of the template statistics); other columns are ignored; empty in, empty out.
+empty host; unclosed and stray tags are tolerated, and a tag whose quotes swallow the rest of the page ends
+at its next `>` (after `STRIKES` such tags quotes no longer count); repeated rows get a row each (equal pages
+of a host count once); other columns are ignored; empty in, empty out. Parsing takes time and memory in
+proportion to a page.
 """
 
 from __future__ import annotations
@@ -31,9 +39,11 @@ from pyspark.sql import functions as F
 
 from .common import materialize, slices, table
 
-MIN_PAGES, INNER_PAGES, INNER_SHARE = 5, 20, 0.8
+MIN_PAGES, SHARE, INNER_PAGES, INNER_SHARE = 5, 0.5, 20, 0.8
+SMALL, LINKS, STRIKES = 0.25, 3, 16
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"""["'>]""")
 _ATTR = re.compile(r"""(?i)(?<![^\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 #: Elements by their part in HTML.
@@ -42,105 +52,159 @@ _RAW = frozenset("script style textarea title xmp iframe noembed noframes noscri
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 _DROP = frozenset("nav footer aside form script style noscript template iframe svg canvas object button select textarea title head dialog audio video menu noembed noframes xmp".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-_WORDS = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login share sharing social comment comments disqus replies respond related recommended skip pagination pager search toolbar".split()
+_ENDS = {"li": ("p", "li"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd"), "tr": ("p", "td", "th", "tr"), "td": ("p", "td", "th"), "th": ("p", "td", "th"), "body": ("head", "p"), "option": ("p",)}
+_COMMENTS = frozenset("comment comments disqus replies respond".split())
+_WORDS = _COMMENTS | frozenset(
+    "ad ads adbox adslot advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login share sharing social related recommended skip pagination pager search toolbar".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
+_BODY = ("", "html", "body")
+
+
+def _chrome(attrs: list[tuple[str, str]], inside: bool) -> bool:
+    for name, value in attrs:
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in _ROLES):
+            return True
+        if name in ("class", "id"):
+            split = re.split(r"[^a-z]+", value)
+            if not (_COMMENTS.isdisjoint(split) and _WORDS.isdisjoint(value.split() if inside else split)):
+                return True
+    return False
 
 
 class _Node:
-    __slots__ = ("tag", "up", "hash", "article", "drop")
+    __slots__ = ("tag", "up", "block", "article", "main", "link", "drop", "hash", "slot", "chars", "linked", "links", "at", "depth")
 
-    def __init__(self, tag: str, up: _Node | None, attrs: str):
-        self.tag, self.up = tag, up
-        self.article = tag in ("article", "main") or (up is not None and up.article)
-        self.drop = (up is not None and up.drop) or tag in _DROP or (tag == "header" and not self.article) or (tag not in ("html", "body", "article", "main") and _chrome(attrs))
-        self.hash = xxhash.xxh64(f"<{tag}{attrs.strip()}>".encode())
+    def __init__(self, tag: str, up: _Node | None, attrs: str, lists: bool):
+        found = [(m[1].lower(), (m[2] or m[3] or m[4] or "").lower()) for m in _ATTR.finditer(attrs)] if attrs else []
+        self.tag, self.up, self.depth = tag, up, up.depth + 1 if up else 0
+        inside = up is not None and up.article
+        chrome = lists and tag not in _BODY and bool(found) and _chrome(found, inside or tag in ("article", "main"))
+        self.drop = (up is not None and up.drop) or tag in _DROP or (tag == "header" and not inside) or chrome
+        self.main = tag in ("article", "main") and not self.drop
+        self.article = inside or self.main
+        self.link = tag == "a" or (up is not None and up.link)
+        self.block = up.block if tag in _INLINE and up is not None else self
+        self.hash = xxhash.xxh64(f"<{tag}{attrs.strip()}>".encode("utf-8", "replace"))
+        self.chars = self.linked = self.links = 0
+        self.at = -1
+        if self.block is self:
+            look = " ".join(re.sub(r"\d+", "", v) for k, v in found if k in ("class", "id"))
+            self.slot = xxhash.xxh64_intdigest(f"{up.block.slot if up else 0}<{tag} {look}>".encode("utf-8", "replace")) >> 1
 
 
-def _chrome(attrs: str) -> bool:
-    if not attrs:
-        return False
-    for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in _ROLES):
-            return True
-        if name in ("class", "id") and not _WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+class Page:
+    """blocks: (text, element, dropped by a rule); elements with text in page order: their parents, content hashes, slots, and whether article or h1; slots: what they hold."""
 
+    def __init__(self) -> None:
+        self.blocks: list[tuple[str, int, bool]] = []
+        self.up: list[int] = []
+        self.hash: list[int] = []
+        self.slot: list[int] = []
+        self.kind: list[int] = []
+        self.slots: dict[int, list[int]] = {}
 
-def parse(page: str | None) -> list[tuple[str, bool, list[int]]]:
-    """(text, in an article, hashes of the subtrees that hold it, for an article's block those inside the article) of each block that no rule drops."""
+
+def parse(page: str | None, lists: bool = True) -> Page:
     page = page or ""
-    blocks: list[tuple[list[str], _Node]] = []
-    root = top = _Node("", None, "")
+    blocks: list[tuple[str, _Node, bool]] = []
+    root = top = _Node("", None, "", lists)
+    made, open_ = [root], dict.fromkeys(("",), 1)
     words: list[str] = []
-    owner = root
-    at, n = 0, len(page)
+    owner, dropped = root, False
+    at, n, last, strikes = 0, len(page), page.rfind(">"), 0
 
     def flush() -> None:
         nonlocal words
-        if words and not owner.drop:
-            blocks.append((words, owner))
+        if words and (said := " ".join("".join(words).split())):
+            blocks.append((said, owner, dropped))
         words = []
 
     def close(node: _Node) -> _Node:
-        """Ends a node: its hash becomes part of the one above."""
-        if node.tag not in _INLINE:
+        """Ends a node: its hash and sums become part of the one above."""
+        if node.block is node:
             flush()
-        if node.up is not None:
-            node.up.hash.update(node.hash.digest())
-        return node.up or node
+        open_[node.tag] -= 1
+        up = node.up
+        up.hash.update(node.hash.digest())
+        up.chars, up.linked, up.links = up.chars + node.chars, up.linked + node.linked, up.links + node.links
+        return up
 
     def text(raw: str) -> None:
-        nonlocal owner
+        nonlocal owner, dropped
         if not raw:
             return
         top.hash.update(raw.encode("utf-8", "replace"))
+        size = len(raw) - raw.count(" ")
+        top.chars += size
+        top.linked += size * top.link
+        if words and dropped != top.drop:
+            flush()  # an inline element that is dropped ends what is not, and the other way round
         if not words:
-            owner = top
-            while owner.tag in _INLINE and owner.up is not None and not owner.drop:
-                owner = owner.up
-        if not top.drop:
-            words.append(html.unescape(raw) if "&" in raw else raw)
+            owner, dropped = top.block, top.drop
+        words.append(html.unescape(raw) if "&" in raw else raw)
+
+    def tag_end(i: int) -> int:
+        """Position after the tag's `>`; quoted ones do not count."""
+        nonlocal strikes
+        first = page.find(">", i)
+        if strikes >= STRIKES:
+            return first + 1
+        while m := _STOP.search(page, i):
+            if m[0] == ">":
+                return m.end()
+            close_ = page.find(m[0], m.end())
+            i = close_ + 1 if close_ >= 0 else m.end()
+        strikes += 1
+        return first + 1
 
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        lt = page.find("<", at)
+        if lt < 0:
             text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        if page.startswith("<!--", lt):
+            text(page[at:lt])
+            stop = page.find("-->", lt + 4)
+            at = n if stop < 0 else stop + 3
+            continue
+        if page.startswith(("<!", "<?"), lt):
+            text(page[at:lt])
+            stop = page.find(">", lt)
+            at = n if stop < 0 else stop + 1
+            continue
+        m = _NAME.match(page, lt + 1)
+        if m is None or lt > last:
+            text(page[at : lt + 1])
+            at = lt + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
-            node = top
-            while node.up is not None and node.tag != tag:
-                node = node.up
-            if node.tag == tag and node.up is not None:
+        text(page[at:lt])
+        at = tag_end(m.end())
+        tag = m[0].lower()
+        if tag[0] == "/":
+            tag = tag[1:]
+            if open_.get(tag, 0) > 0:
                 while True:
                     ended, top = top, close(top)
-                    if ended is node:
+                    if ended.tag == tag:
                         break
             continue
-        if tag in _CLOSES_P or tag == "li" or tag in ("dt", "dd", "option", "tr", "td", "th", "body"):
-            ends = {"li": ("p", "li"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd"), "tr": ("p", "td", "th", "tr"), "td": ("p", "td", "th"), "th": ("p", "td", "th"), "body": ("head", "p")}.get(tag, ("p",))
-            node = top
-            while node.tag in _INLINE and node.up is not None:
-                node = node.up
-            while node.tag in ends:
-                while top is not node:
+        if tag in _CLOSES_P or tag in _ENDS:
+            ends = _ENDS.get(tag, ("p",))
+            while top.block.tag in ends:
+                ended = top.block
+                while top is not ended:
                     top = close(top)
                 top = close(top)
-                node = top
         if tag not in _INLINE:
             flush()
         if tag in _VOID:
             top.hash.update(tag.encode())
             continue
-        top = _Node(tag, top, m[3])
+        top = _Node(tag, top, page[m.end() : at - 1], lists)
+        top.links = tag == "a"
+        made.append(top)
+        open_[tag] = open_.get(tag, 0) + 1
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             stop = end.start() if end else n
@@ -149,55 +213,123 @@ def parse(page: str | None) -> list[tuple[str, bool, list[int]]]:
     while top.up is not None:
         top = close(top)
     flush()
-    out = []
-    for parts, node in blocks:
-        said = " ".join("".join(parts).split())
-        if said:
-            chain, up = [], node
-            while up is not None and up.up is not None:
-                if up.tag in ("article", "main"):
-                    break
-                if up.tag not in ("html", "body"):
-                    chain.append(up.hash.intdigest() - (1 << 63))
-                up = up.up
-            out.append((said, node.article, chain))
+    out = Page()
+    for x in made:
+        if x.block is x and x.chars:
+            x.at = len(out.up)
+            out.up.append(x.up.block.at if x.up is not None else -1)
+            out.hash.append(x.hash.intdigest() - (1 << 63))
+            out.slot.append(x.slot)
+            out.kind.append(2 if x.tag == "h1" and not x.drop else int(x.main))
+            own = out.slots.setdefault(x.slot, [x.depth, int(x.main), int(x.tag in _BODY), 0, 0, 0, 0])
+            for k, v in enumerate((1, x.chars, x.linked, x.links), 3):
+                own[k] += v
+    out.blocks = [(said, x.at, drop) for said, x, drop in blocks if x.at >= 0]
     return out
 
 
-_PARSED = "page_id long, url string, blocks array<struct<text:string,inner:boolean,chain:array<long>>>"
+def choose(blocks, up, hashes, slots, kind, main, small, menus, outer, inner) -> list[str]:
+    """The texts that stay of a page, given its host's template (main: the article's slot; the others are sets)."""
+    n = len(up)
+    is_main = [s == main if main else k == 1 for s, k in zip(slots, kind)]
+    holds, title, inside, gone = is_main[:], [k == 2 for k in kind], [False] * n, [False] * n
+    for i in range(n - 1, 0, -1):
+        if up[i] >= 0:
+            holds[up[i]] |= holds[i]
+            title[up[i]] |= title[i]
+    for i in range(n):
+        inside[i] = is_main[i] or (up[i] >= 0 and inside[up[i]])
+    own_title = any(t and inside[i] for i, t in enumerate(title))
+    for i in range(n):
+        spared = holds[i] or (title[i] and not own_title and not inside[i])
+        by_slot = not spared and (slots[i] in menus or (not inside[i] and slots[i] in small))
+        by_content = not holds[i] and hashes[i] in (inner if inside[i] else outer)
+        gone[i] = by_slot or by_content or (up[i] >= 0 and gone[up[i]])
+    within = any(inside[i] for _, i, drop in blocks if not drop)
+    own = [(t, i) for t, i, drop in blocks if not drop and (not within or inside[i] or (kind[i] == 2 and not own_title))]
+    return [t for t, i in own if not gone[i]] or [t for t, _ in own]
 
 
-def main_text(
-    pages: DataFrame, min_pages: int = MIN_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", inner_pages: int = INNER_PAGES, inner_share: float = INNER_SHARE
-) -> DataFrame:
-    """(page_id, url, text) of every row.
+_PARSED = """page_id long, url string, page long, blocks array<struct<text:string,at:int,drop:boolean>>, up array<int>, hash array<long>, slot array<long>, kind array<int>,
+slots array<struct<slot:long,depth:int,main:int,top:int,n:int,chars:long,linked:long,links:int>>"""
+_BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("at", pa.int32()), ("drop", pa.bool_())]))
+_SLOTS = pa.list_(pa.struct([("slot", pa.int64()), ("depth", pa.int32()), ("main", pa.int32()), ("top", pa.int32()), ("n", pa.int32()), ("chars", pa.int64()), ("linked", pa.int64()), ("links", pa.int32())]))
 
-    The texts are shuffled only if too many rows hold template subtrees for Spark to broadcast which.
-    """
+
+def trees(pages: DataFrame, id_col: str, url_col: str, html_col: str, lists: bool) -> DataFrame:
+    """The parsed pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("text", pa.string()), ("inner", pa.bool_()), ("chain", pa.list_(pa.int64()))]))
-        for b in slices(batches, "html"):
-            blocks = [[{"text": t, "inner": a, "chain": c} for t, a, c in parse(h)] for h in b.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(blocks, kind)], ["page_id", "url", "blocks"])
+        for b in slices(batches, "html", 1 << 20):
+            texts = b.column("html").to_pylist()
+            got = [parse(t, lists) for t in texts]
+            same = [xxhash.xxh64_intdigest((t or "").encode("utf-8", "replace")) - (1 << 63) for t in texts]
+            blocks = [[dict(zip(("text", "at", "drop"), x)) for x in p.blocks] for p in got]
+            slots = [[dict(zip(("slot", "depth", "main", "top", "n", "chars", "linked", "links"), (s, *v))) for s, v in p.slots.items()] for p in got]
+            lists_ = [pa.array([getattr(p, k) for p in got], pa.list_(t)) for k, t in (("up", pa.int32()), ("hash", pa.int64()), ("slot", pa.int64()), ("kind", pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(same, pa.int64()), pa.array(blocks, _BLOCKS), *lists_, pa.array(slots, _SLOTS)], ["page_id", "url", "page", "blocks", "up", "hash", "slot", "kind", "slots"])
 
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(run, _PARSED)
+    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(run, _PARSED)
+
+
+def templates(rows: DataFrame, min_pages: int, share: float, inner_pages: int, inner_share: float) -> DataFrame:
+    """(of, main, small, menus, outer, inner) of each host of rows (row, host, page, hash, slots).
+
+    The lists are bounded by a page's elements over the share that a template needs.
+    """
+    first = rows.groupBy("host", "page").agg(F.min("row").alias("row"))
+    once = rows.select("row", "host", "hash", "slots").join(first.select("row"), "row", "left_semi")
+    slot = once.select("host", F.explode("slots").alias("s")).groupBy("host", "s.slot").agg(
+        F.count("*").alias("pages"), F.max("s.depth").alias("depth"), F.max("s.main").alias("main"), F.max("s.top").alias("top"), F.sum("s.n").alias("n"), F.sum("s.chars").alias("chars"), F.sum("s.linked").alias("linked"), F.sum("s.links").alias("links")
+    )
+    total = once.groupBy("host").agg(F.count("*").alias("all"), F.sum(F.expr("aggregate(slots, 0L, (m, s) -> greatest(m, s.chars))")).alias("text"))
+    slot = slot.join(total.withColumnRenamed("host", "of"), F.col("host") == F.col("of")).where((F.col("all") >= min_pages) & (F.col("pages") >= share * F.col("all")))
+    part = F.col("chars") / F.greatest("text", F.lit(1))
+    likely = (F.col("n") <= 1.2 * F.col("pages")) & (F.col("top") == 0) & F.when(F.col("main") == 1, part >= 0.1).otherwise(part >= 0.5)
+    menu = (F.col("linked") >= 0.5 * F.col("chars")) & (F.col("links") >= LINKS * F.col("pages"))
+    by_slot = slot.groupBy("host").agg(
+        F.max(F.when(likely, F.struct("main", F.when(F.col("main") == 1, part).otherwise(F.col("depth")).alias("by"), F.col("slot")))).alias("best"),
+        F.collect_set(F.when((F.col("top") == 0) & ((part <= SMALL) | menu), F.col("slot"))).alias("small"),
+        F.collect_set(F.when((F.col("top") == 0) & menu, F.col("slot"))).alias("menus"),
+    )
+    seen = once.select("host", F.explode(F.array_distinct("hash")).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    seen = seen.join(total.select(F.col("host").alias("of"), "all"), F.col("host") == F.col("of")).where(F.col("n") >= share * F.col("all"))
+    by_content = seen.groupBy("host").agg(F.collect_set("h").alias("outer"), F.collect_set(F.when((F.col("n") >= inner_pages) & (F.col("n") >= inner_share * F.col("all")), F.col("h"))).alias("inner"))
+    both = by_slot.join(by_content, "host", "full")
+    return both.select(F.col("host").alias("of"), F.coalesce("best.slot", F.lit(0)).alias("main"), "small", "menus", "outer", "inner")
+
+
+def main_text(
+    pages: DataFrame,
+    min_pages: int = MIN_PAGES,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    html_col: str = "html",
+    share: float = SHARE,
+    inner_pages: int = INNER_PAGES,
+    inner_share: float = INNER_SHARE,
+    lists: bool = True,
+) -> DataFrame:
+    """(page_id, url, text) of every row."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = materialize(rows.withColumn("host", host).withColumn("page", F.xxhash64("page_id", "url")).withColumn("row", F.monotonically_increasing_id()))
-    # subtrees once a page
-    nodes = F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.transform(b.chain, lambda h: F.struct(b.inner.alias("inner"), h.alias("subtree"))))))
-    held = rows.select("row", "host", "page", F.explode(nodes).alias("x")).select("row", "host", "page", "x.inner", "x.subtree")
-    on = held.select("host", "inner", "subtree", "page").distinct().groupBy("host", "inner", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= F.when(F.col("inner"), inner_pages).otherwise(min_pages))
-    of = rows.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    template = on.join(of, "host").where(~F.col("inner") | (F.col("n") >= F.col("pages") * inner_share)).select("host", "inner", "subtree")
-    # as a table, so that its size decides how the texts meet it
-    gone = materialize(held.join(template, ["host", "inner", "subtree"]).groupBy("row").agg(F.collect_set(F.struct("inner", "subtree")).alias("gone")))
-    stays = lambda b: F.col("gone").isNull() | ~F.exists(b.chain, lambda h: F.array_contains("gone", F.struct(b.inner.alias("inner"), h.alias("subtree"))))
-    article = F.filter("blocks", lambda b: b.inner)
-    full = rows.select("row", "page_id", "url", article.alias("article"), F.when(F.size(article) == 0, F.col("blocks")).alias("blocks")).join(gone, "row", "left")
-    left = F.filter("article", stays)
-    text = F.when(F.size("article") == 0, F.filter("blocks", stays)).when(F.size(left) == 0, F.col("article")).otherwise(left)
-    return full.select("page_id", "url", F.array_join(F.transform(text, lambda b: b.text), "\n").alias("text"))
+    rows = materialize(trees(pages, id_col, url_col, html_col, lists).withColumn("host", host).withColumn("row", F.monotonically_increasing_id()))
+    # a table, so that its size decides how the texts meet it
+    known = materialize(templates(rows, min_pages, share, inner_pages, inner_share))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("main", "small", "menus", "outer", "inner")
+        held: dict[str, tuple] = {}
+        for b in batches:
+            cols = [b.column(k).to_pylist() for k in ("host", "blocks", "up", "hash", "slot", "kind")]
+            out = []
+            for i, (of, blocks, *page) in enumerate(zip(*cols)):
+                if of not in held:
+                    held = {of: tuple(v if k == "main" else frozenset(v or ()) for k in names for v in (b.column(k)[i].as_py(),))}
+                out.append("\n".join(choose([(x["text"], x["at"], x["drop"]) for x in blocks], *page, *held[of])))
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
+
+    full = rows.join(known, F.col("host") == F.col("of"), "left")
+    return full.select("page_id", "url", "host", "blocks", "up", "hash", "slot", "kind", "main", "small", "menus", "outer", "inner").mapInArrow(run, "page_id long, url string, text string")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
