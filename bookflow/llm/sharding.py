@@ -1,27 +1,33 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
 Groups (rows of one key) are sized in Spark. Groups of at least one `grain` of bytes are items by
-themselves; smaller ones are hashed into parcels of about a grain. Either way there are at most a few
-items per grain, and the number of grains is a parameter, so the items fit the driver whatever the input.
-There they are sorted by size, largest first, and each enters the open bin with the least remaining
-capacity that holds it, found in a balanced tree; a new bin opens where none does. A group larger than a
-whole bin cannot stay in one piece: its rows are cut into parcels by a hash of their ids.
+themselves; smaller ones are hashed into parcels of about a grain. A group larger than a whole bin cannot
+stay in one piece: its rows, repeated ones too, are dealt into cuts of about a grain by their row numbers.
+Items are sorted by size, largest first, and each enters the open bin with the least remaining capacity that
+holds it, found in a balanced tree; a new bin opens where none does.
+
+Near-equal shards: there are at most a few items per grain, `grains` grains a shard, so one task packs them
+whatever the input. Bins of a fixed capacity: as many as the data fill, so items are dealt by hash into classes
+of about `AT_ONCE` bins, each packed by a task of its own, at the price of one open bin a class.
 
 Rules: null text is a group of its own with size 1 a row; equal texts are one group; repeated rows are
 rows; other columns are ignored; an empty table gives an empty table. Slots count from 0 in each shard:
-a parcel's rows are numbered in buckets of bounded size, bucket offsets are sums over the bucket table.
+an item's rows are numbered in buckets of bounded size, bucket offsets are sums over the bucket table.
 """
 
 from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
 
 GRAINS, BUCKET = 1024, 4096
+#: Bins of a class and grains of a bin at a fixed capacity; groups looked up by broadcast.
+AT_ONCE, FINE, NAMED = 256, 64, 1 << 16
 
 
 class Tree:
@@ -98,11 +104,25 @@ def tightest(sizes: list[int], shards: int) -> list[int]:
     return best
 
 
-def shard(docs: DataFrame, shards: int = 16, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text", grains: int = GRAINS) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) of every row: into `shards` near-equal shards, or into as few of `capacity` bytes as best-fit-decreasing needs."""
-    spark, text = docs.sparkSession, F.col(text_col)
+def _packed(shards: int, capacity: int | None):
+    """Packs the items of a class: into `shards` bins, or as many of the capacity as it takes."""
+
+    def run(items: pa.Table) -> pa.Table:
+        items = items.sort_by([("kind", "ascending"), ("item", "ascending"), ("cut", "ascending")])
+        sizes = items.column("bytes").to_pylist()
+        bins = tightest(sizes, shards) if capacity is None else best_fit_decreasing(sizes, capacity)[0]
+        return items.append_column("bin", pa.array(bins, pa.int32()))
+
+    return run
+
+
+def shard(docs: DataFrame, shards: int = 16, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text", grains: int | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot) of every row: into `shards` near-equal shards, or into as few of `capacity` bytes as best-fit-decreasing needs. A row larger than the capacity is an error."""
+    text = F.col(text_col)
+    grains = grains or (GRAINS if capacity is None else FINE)
     rows = materialize(
         docs.select(
+            F.monotonically_increasing_id().alias("row"),
             F.col(id_col).cast("long").alias("doc_id"),
             (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
             F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
@@ -110,39 +130,43 @@ def shard(docs: DataFrame, shards: int = 16, capacity: int | None = None, id_col
         )
     )
     total = rows.agg(F.sum("size")).first()[0] or 0
-    grain = max(1, total // (grains * (shards if capacity is None else max(1, -(-total // capacity)))))
     bin_size = -(-total // shards) if capacity is None else capacity
-    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.max("size").alias("row_bytes"))
-    over = F.col("bytes") > bin_size
+    grain = max(1, bin_size // grains)
+    classes = 1 if capacity is None else -(-total // (capacity * AT_ONCE)) or 1
     parcels = max(1, total // grain)
-    # groups of a grain or more: no more of them than grains, so they are broadcast; the hash of any other key is its place
-    named = groups.where(F.col("bytes") >= grain).select(
-        F.col("key").alias("of"),
-        F.when(over, F.lit(2)).otherwise(F.lit(1)).alias("kind"),
-        F.xxhash64("key").alias("item"),
-        F.when(over, F.ceil(F.col("bytes") / F.lit(grain)).cast("int")).otherwise(F.lit(1)).alias("cuts"),
-    )
-    cut = F.when(F.col("cuts") > 1, F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("cuts"))).otherwise(F.lit(0))
-    item = F.coalesce("item", F.pmod(F.xxhash64("key"), F.lit(parcels)))
-    full = rows.join(F.broadcast(named), F.col("key") == F.col("of"), "left")
-    placed = materialize(full.select("doc_id", "size", "text_crc32", F.coalesce("kind", F.lit(0)).alias("kind"), item.alias("item"), cut.cast("long").alias("cut")))
-    # at most about two items a grain, whatever the input
-    items = placed.groupBy("kind", "item", "cut").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).orderBy("kind", "item", "cut").collect()
-    sizes = [r.bytes for r in items]
-    if capacity is None:
-        bins = tightest(sizes, shards) if sizes else []
-    else:
-        bins = best_fit_decreasing(sizes, capacity)[0]
-    bound = spark.createDataFrame(
-        [(r.kind, r.item, r.cut, s, -(-r.n // BUCKET)) for r, s in zip(items, bins)],
-        "kind int, item long, cut long, shard int, buckets long",
+    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
+    named = materialize(
+        groups.where(F.col("bytes") >= grain).select(
+            F.col("key").alias("of"), "bytes", F.xxhash64("key").alias("named"), F.when(F.col("bytes") > bin_size, F.ceil(F.col("bytes") / F.lit(grain)).cast("int")).otherwise(F.lit(1)).alias("cuts")
+        )
     )
-    dealt = placed.join(F.broadcast(bound), ["kind", "item", "cut"]).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("buckets")))
+    # groups of a grain or more: at most one a grain. The largest ones are broadcast, at most NAMED; each other one is
+    # too small a part of the rows to be a hot key of a join. The hash of any other key is its place.
+    bound = max(grain, total // NAMED)
+    own = ["row", "doc_id", "size", "text_crc32", "key"]
+    full = rows.join(F.broadcast(named.where(F.col("bytes") >= bound).drop("bytes")), F.col("key") == F.col("of"), "left").drop("of")
+    if bound > grain:
+        rest = named.where(F.col("bytes") < bound).select("of", F.col("named").alias("_named"), F.col("cuts").alias("_cuts"))
+        full = full.join(rest, F.col("key") == F.col("of"), "left").select(*own, F.coalesce("named", "_named").alias("named"), F.coalesce("cuts", "_cuts").alias("cuts"))
+    kind = F.when(F.col("named").isNull(), 0).when(F.col("cuts") > 1, 2).otherwise(1)
+    cut = F.when(F.col("cuts") > 1, F.pmod(F.xxhash64("row"), F.col("cuts"))).otherwise(F.lit(0)).cast("long")
+    item = F.coalesce("named", F.pmod(F.xxhash64("key"), F.lit(parcels)))
+    placed = materialize(full.select("row", "doc_id", "size", "text_crc32", kind.alias("kind"), item.alias("item"), cut.alias("cut")))
+    items = placed.groupBy("kind", "item", "cut").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    items = items.withColumn("class", F.pmod(F.xxhash64("kind", "item", "cut"), F.lit(classes)).cast("int"))
+    packed = materialize(items.groupBy("class").applyInArrow(_packed(shards, capacity), "kind int, item long, cut long, bytes long, n long, class int, bin int"))
+    # a row a class: bins of the classes before
+    bins = packed.groupBy("class").agg(F.max("bin").alias("last"))
+    before = Window.orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+    first = bins.select("class", F.coalesce(F.sum(F.col("last") + 1).over(before), F.lit(0)).cast("int").alias("first"))
+    home = packed.join(F.broadcast(first), "class").select("kind", "item", "cut", (F.col("first") + F.col("bin")).alias("shard"), F.ceil(F.col("n") / F.lit(BUCKET)).cast("long").alias("buckets"))
+    home = F.broadcast(home) if parcels <= NAMED else home
+    dealt = placed.join(home, ["kind", "item", "cut"]).withColumn("bucket", F.pmod(F.xxhash64("row", F.lit("bucket")), F.col("buckets")))
     key = ["shard", "kind", "item", "cut", "bucket"]
     counts = dealt.groupBy(*key).agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("kind", "item", "cut", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy(*key).orderBy("doc_id", "text_crc32")
+    within = Window.partitionBy(*key).orderBy("doc_id", "text_crc32", "row")
     numbered = dealt.withColumn("k", F.row_number().over(within) - 1)
     return numbered.join(offsets, key).select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("k")).alias("slot"))
 

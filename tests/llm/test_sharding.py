@@ -68,3 +68,36 @@ def test_fixed_capacity_and_empty(spark):
     got = sharding.shard(docs, capacity=500).groupBy("shard").agg({"size": "sum"}).collect()
     assert max(r[1] for r in got) <= 500 and len(got) <= -(-sum(len("abc" * (k % 7)) + 1 for k in range(200)) // 500) + 3
     assert sharding.shard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_copies_of_one_row_and_null_ids_are_split(spark, monkeypatch):
+    docs = [(1, "hot " * 50)] * 10_000 + [(None, "cold")] * 2_000 + [(k, f"t{k}") for k in range(20)]
+    frame = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, row int")
+    monkeypatch.setattr(sharding, "table", lambda *_: frame)
+    rows = sharding.op8(spark, "").collect()
+    holds(rows, docs)
+    size = Counter()
+    for x in rows:
+        size[x.shard] += x.size
+    assert len(size) == 16 and max(size.values()) < 1.05 * min(size.values())
+    few = spark.createDataFrame([(1, "a" * 50, 1)] * 100 + [(k, "b", 1) for k in range(20)], "doc_id long, text string, row int")
+    got = sharding.shard(few).groupBy("shard").agg({"size": "sum"}).collect()
+    assert max(r[1] for r in got) <= 7 * 51 + 20 * 2  # a hundred rows in sixteen shards: seven to a shard
+    full = sharding.shard(frame, capacity=40_000).groupBy("shard").agg({"size": "sum"}).collect()
+    assert max(r[1] for r in full) <= 40_000 and len(full) <= 1.05 * sum(size.values()) / 40_000 + 1
+
+
+def test_classes_and_joined_groups_at_a_fixed_capacity(spark, monkeypatch):
+    """Many classes of bins, and group tables too large to broadcast whole."""
+    monkeypatch.setattr(sharding, "AT_ONCE", 4)
+    monkeypatch.setattr(sharding, "NAMED", 32)
+    docs = [(k, "x" * (k % 90) + str(k // 30)) for k in range(3000)] + [(k, "hot " * 20) for k in range(1500)]
+    got = sharding.shard(spark.createDataFrame(docs, "doc_id long, text string"), capacity=3000).collect()
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((i, zlib.crc32(t.encode())) for i, t in docs)
+    size, slots = Counter(), defaultdict(list)
+    for r in got:
+        size[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert max(size.values()) <= 3000 and set(size) == set(range(len(size)))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len(size) <= 1.15 * sum(size.values()) / 3000 + 2
