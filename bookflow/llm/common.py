@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at a time.
 SLICE_BYTES = 4 << 20
@@ -23,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, a laptop), a folder of our own."""
+    """The folder in spark.checkpoint.dir; where that is unset on a local master (tests, a laptop), a folder of our own; unset on a cluster is an error."""
     if at := spark.conf.get("spark.checkpoint.dir", None):
         return at
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
@@ -54,6 +57,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """(row, doc): the rows of df as structs, so that no column's name can clash, with row numbers that stay the same whenever the table is read."""
+    return materialize(df.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc")))
+
+
 def _drop(spark: SparkSession) -> None:
     if spark.sparkContext._jsc is None:
         return

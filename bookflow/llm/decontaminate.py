@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import materialize, numbered, slices, table
 
 NGRAM, WINDOW, THRESHOLD, BLOCK_BYTES = 3, 3, 0.5, 4 << 20
 MATCH, MISS, GAP = 2, -1, -1
@@ -227,11 +227,12 @@ def contamination(
     return best.select("doc_id", "item_id", "b.score", (-F.col("b.col2")).alias("start_word"), "b.end_word", "b.passage")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all their columns, whose id has no contaminated text."""
-    found = contamination(docs, benchmark, id_col=id_col, text_col=text_col)
-    bad = found.where("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long") == F.col("_id"), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all their columns, whose text is not contaminated, whatever their ids."""
+    rows = numbered(docs)
+    found = contamination(rows.select("row", F.col("doc")[text_col].alias("text")), benchmark, id_col="row")
+    bad = materialize(found.select(F.col("doc_id").alias("row")).distinct())
+    return rows.join(bad, "row", "left_anti").select("doc.*")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

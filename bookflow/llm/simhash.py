@@ -5,8 +5,8 @@ most three bytes, so they share at least five positional bytes, and of the two h
 has three shared bytes at least. The inverted index therefore posts each fingerprint under the three-byte
 intersections of its positional postings within each half (eight postings): every qualifying pair meets,
 and a posting is 2^24 times rarer than a fingerprint, where single bytes would only be 2^8 times rarer.
-Within a posting the shared positional bytes of each pair are tallied, pairs below five go, and the
-Hamming distance of the rest is verified.
+Within a posting the rows are listed by their bytes at the other five positions, the lists' pairs are tallied,
+pairs below five shared bytes in all go, and the Hamming distance of the rest is verified.
 
 Rules: null or blank text has fingerprint zero and links like any other; equal fingerprints are joined
 before the index, so copies are never paired; a posting of many fingerprints is cut into blocks whose
@@ -29,7 +29,7 @@ from .common import materialize, slices
 from .graph import components, forest
 
 MAX_BITS, MIN_SHARED, BLOCK = 3, 5, 512
-_TRIPLES = [tuple(p for p in half if p != skip) for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for skip in half]
+TRIPLES = [tuple(p for p in half if p != skip) for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for skip in half]
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -71,26 +71,48 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _links(carry)
 
 
+def candidates(group: np.ndarray, slot: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group (rows sorted by group, all of a group under the posting of `slot`) that share `MIN_SHARED` positional bytes.
+
+    The posting gives three. In each other position the group's rows are listed by their byte, every pair of a list
+    is tallied once, and pairs that reach the rest of the minimum stay; pairs that share no byte are never formed.
+    """
+    n, pairs = len(fp), []
+    byte = fp.view(np.uint8).reshape(-1, 8)
+    given = np.zeros((len(TRIPLES), 8), bool)
+    for k, triple in enumerate(TRIPLES):
+        given[k, list(triple)] = True
+    for p in range(8):
+        rows = np.flatnonzero(~given[slot, p])
+        key = group[rows] * 256 + byte[rows, p]
+        order = np.argsort(key, kind="stable")
+        rows, key = rows[order], key[order]
+        left, step = np.arange(len(rows)), 1
+        while True:
+            left = left[left + step < len(rows)]
+            left = left[key[left] == key[left + step]]
+            if not left.size:
+                break
+            pairs.append(rows[left] * n + rows[left + step])
+            step += 1
+    code, tally = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, np.int64),) * 2
+    code = code[tally >= MIN_SHARED - 3]
+    return code // n, code % n
+
+
 def _links(cols: list[np.ndarray]) -> pa.RecordBatch:
     posting, bi, bj, fp, rep = cols
     group = np.concatenate([[0], np.cumsum((posting[1:] != posting[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1]))])
-    n, labels, step, left = len(fp), np.arange(len(fp)), 1, np.arange(len(fp))
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    while True:
-        left = left[left + step < n]
-        left = left[group[left] == group[left + step]]
-        if not left.size:
-            break
-        differ = fp[left] ^ fp[left + step]
-        shared = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(1)
-        at = left[(shared >= MIN_SHARED) & (np.bitwise_count(differ.view(np.uint64)) <= MAX_BITS)]
-        if at.size:
-            held.append((at, at + step))
-        if sum(len(x) for x, _ in held) > 1 << 20:
-            labels, held = forest(labels, *map(np.concatenate, zip(*held))), []
-        step += 1
-    if held:
-        labels = forest(labels, *map(np.concatenate, zip(*held)))
+    n, labels = len(fp), np.arange(len(fp))
+    # groups together, but no more than about a million pairs of rows at a time
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.append(starts, n))
+    part = np.cumsum(size * size) >> 20
+    cuts = [0, *starts[1:][part[1:] != part[:-1]].tolist(), n]
+    for a, b in zip(cuts, cuts[1:]):
+        i, j = candidates(group[a:b] - group[a], (posting[a:b] >> 24).astype(np.int64), fp[a:b])
+        close = np.bitwise_count((fp[a + i] ^ fp[a + j]).view(np.uint64)) <= MAX_BITS
+        labels = forest(labels, a + i[close], a + j[close])
     out = np.flatnonzero(labels != np.arange(n))
     return pa.RecordBatch.from_arrays([pa.array(rep[out]), pa.array(rep[labels[out]])], ["a", "b"])
 
@@ -100,7 +122,7 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     byte = lambda k: F.shiftright("fp", 8 * k).bitwiseAND(F.lit(255))
     postings = [
         F.lit(k << 24).cast("long") + byte(a) * 65536 + byte(b) * 256 + byte(c)
-        for k, (a, b, c) in enumerate(_TRIPLES)
+        for k, (a, b, c) in enumerate(TRIPLES)
     ]
     posted = fps.where("rep is not null").select(F.explode(F.array(*postings)).alias("posting"), "fp", "rep")
     size = posted.groupBy("posting").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("posting", "of")
@@ -122,23 +144,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """The rows of docs, all their columns, without near-duplicates: of each component the document of the smallest id stays.
-
-    Of rows that repeat an id and a text one stays. Rows without id stay unless they resemble a row with one.
-    """
-    found = materialize(near_duplicates(docs, id_col, text_col, words))
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")).withColumnRenamed("doc_id", "_id")
-    with_id = docs.where(F.col(id_col).isNotNull())
-    single = with_id.join(kept.where("_rows = 1"), F.col(id_col).cast("long") == F.col("_id"), "left_semi")
-    several = with_id.join(kept.where("_rows > 1"), F.col(id_col).cast("long") == F.col("_id"), "left_semi").dropDuplicates([id_col, text_col])
-    # rows without an id: their text decides, as they cannot be named
-    alone = found.where("doc_id is null and component_id is null").select("fp").distinct()
-    fp = F.udf(lambda t: int(np.array([fingerprint(t, words)], np.uint64).view(np.int64)[0]), "long")
-    nameless = docs.where(F.col(id_col).isNull()).withColumn("_fp", fp(F.col(text_col))).join(alone, F.col("_fp") == F.col("fp"), "left_semi").drop("_fp").dropDuplicates([text_col])
-    return single.unionByName(several).unionByName(nameless)
-
-
 def op3(spark, sf_dir: str) -> DataFrame:
     from .common import table
 

@@ -6,10 +6,10 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from bookflow.llm import decontaminate, secrets, simhash
+from bookflow.llm import decontaminate, neardup, secrets
 
 from test_decontaminate import smith_waterman
-from test_simhash import brute, brute_components
+from test_neardup import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 EN = "the and attion to thanedble the anea eriner thanea of that with this from were ".split()
@@ -39,15 +39,18 @@ def test_each_stage_takes_effect(spark, sf):
 
     kept = P.dedup(spark, docs, sf)
     assert kept.columns == docs.columns
-    fps = {i: brute(t) for i, t, *_ in rows if i is not None}
-    top = brute_components(fps)
-    want = {(i, t) for i, t, *_ in rows if i is not None and top[i] == i} | {(None, rows[-1][1])}
+    top, least = brute({k: r[1] for k, r in enumerate(rows)}), {}
+    for k, c in top.items():
+        least[c] = min(least.get(c, (True, 0, k)), (rows[k][0] is None, rows[k][0] or 0, k))
+    want = [rows[k][:2] for _, _, k in least.values()]
+    assert not {200, 201} & {i for i, _ in want} and (None, rows[-1][1]) in want
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
 
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    leaked = spark.createDataFrame([*rows, (300, f"{rows[0][1]} {bench[0][1]} {rows[2][1]}", "en", "s", 1)], SCHEMA)
+    bad = [(i, f"{rows[0][1]} {bench[0][1]} {rows[2][1]}", "en", "s", 1) for i in (300, None)]
+    leaked = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in [*rows, *bad]], SCHEMA + ", fp long, _id long, _rows long, row long")
     clean = P.decontamination(spark, leaked, sf)
-    assert clean.columns == docs.columns and as_rows(clean) == sorted(rows, key=str)
+    assert clean.columns == leaked.columns and as_rows(clean.select(*docs.columns)) == sorted(rows, key=str)
 
     masked = P.secret_masking(spark, docs, sf)
     text = {r.doc_id: r for r in masked.collect()}
@@ -70,7 +73,7 @@ def test_pipeline_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     left = {r.doc_id: r.text for r in P.language(spark, docs, sf).collect()}
     assert len(left) > 0.95 * docs.count()
-    top = brute_components({i: brute(t) for i, t in left.items()})
+    top = brute({i: " ".join((t or "").split()) for i, t in left.items()})
     left = {i: t for i, t in left.items() if top[i] == i}
     bench = [decontaminate.words(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     grams = [{tuple(b[i : i + 3]) for i in range(len(b) - 2)} for b in bench]
@@ -97,4 +100,4 @@ def test_empty(spark, sf):
     empty = spark.createDataFrame([], SCHEMA)
     for _, stage in P.STAGES:
         assert stage(spark, empty, sf).count() == 0
-    assert simhash.keep_one(empty).columns == empty.columns
+    assert neardup.keep_one(empty).columns == empty.columns

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 
 from bookflow.llm import simhash
@@ -85,3 +86,21 @@ def test_empty_repeated_and_null_ids(spark):
     rows = [(7, "a b c d", None, None, None), (7, "a b c d", None, None, None), (None, "a b c d", None, None, None), (None, "z", None, None, None)]
     got = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((x.doc_id is None, x.component_id or -1) for x in got) == [(False, 7), (False, 7), (True, -1), (True, 7)]
+
+
+def test_count_filter_forms_few_pairs_and_loses_none():
+    """In one posting: pairs formed are far fewer than all, and all within three bits are among them."""
+    r = np.random.default_rng(6)
+    n, slot = 600, 2
+    fp = r.integers(0, 2**63, n).astype(np.int64)
+    fp[300:] = fp[r.integers(0, 300, 300)] ^ (np.int64(1) << r.integers(0, 63, 300)) ^ (np.int64(1) << r.integers(0, 63, 300))
+    byte = fp.view(np.uint8).reshape(-1, 8)
+    byte[:, list(simhash.TRIPLES[slot])] = 7  # what a posting shares
+    i, j = simhash.candidates(np.zeros(n, np.int64), np.full(n, slot), fp)
+    shared = (byte[:, None] == byte[None, :]).sum(2)
+    want = {(a, b) for a, b in np.argwhere(shared >= 5).tolist() if a < b}
+    assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want)
+    every = n * (n - 1) // 2
+    close = {(a, b) for a in range(n) for b in range(a + 1, n) if (int(fp[a]) ^ int(fp[b])).bit_count() <= 3}
+    print(f"{every} pairs, {len(i)} after the count filter, {len(close)} within three bits")
+    assert close <= want and len(i) < every / 50
