@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookflow.llm import decontaminate, langid, packing, secrets, simhash
+from bookflow.llm import decontaminate, langid, neardup, packing, secrets
 from bookflow.llm.common import materialize, table
 
 #: Below this pooled probability a text is in none of the learned languages.
@@ -24,8 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group."""
-    return simhash.keep_one(docs)
+    """Keeps one document of each group whose five-word shingles are 0.8 alike or more, found by wide SimHash prints."""
+    return neardup.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
