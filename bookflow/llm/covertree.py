@@ -1,22 +1,28 @@
 """Exact cosine links between vectors by a dual traversal of cover trees.
 
 Vectors are scaled to length one, so that cosine >= c is distance <= sqrt(2 - 2c) and the triangle
-inequality holds. The tree's nodes are a centre and a covering radius:
-
-* top: pivots in farthest-first order from a bounded sample (a prefix of that order is a net of each
-  halved radius); every vector goes to its nearest pivot, every cell has its covering radius. Pairs of
-  cells whose centres are farther apart than their radii and the threshold together are pruned.
-* blocks: a cell of many rows is dealt into blocks of bounded size by a hash of the ids, and surviving
-  pairs of cells become pairs of blocks, each compared by one task.
-* below: in each block nested nets of radius 1/2 and 1/4 (halving radii). Two blocks are traversed
-  together, node pair by node pair: pruned by the bound, taken whole where even the farthest two points
-  must link, expanded to the next level otherwise, and at the leaves compared in double precision.
-
-A task returns link counts and a spanning forest, never pairs. Components are found in Spark.
+inequality holds. Equal unit vectors are one point with a multiplicity. The tree's nodes are a centre and a
+covering radius:
+
+* upper levels, built in Spark: a cell of more than `block` points is split by at most `FAN` centres, which a
+  bounded sample of its points gives in farthest-first order down to the level's radius (halving from 1), until
+  every cell fits a block or no radius can part it. Cells, their centres and covering radii are tables.
+* pairs of cells are pruned level by level, in Spark and before any vector is sent: two children of a surviving
+  pair survive unless their centres are farther apart than both radii and the threshold together.
+* a leaf that still has too many points is dealt into blocks by a hash, and surviving pairs of leaves become
+  pairs of blocks, each compared by one task.
+* lower levels, in each block: nested nets of radius 1/2, 1/4, 1/8 and 1/16. Two blocks are traversed together,
+  node pair by node pair: pruned by the bound, taken whole where even the farthest two points must link,
+  expanded to the next level otherwise, and at the leaves compared in double precision.
+
+A task returns link counts and a spanning forest, never pairs. Components are found in Spark. Distances of
+unstructured vectors in many dimensions are nearly equal, so no bound prunes them: there every pair of blocks is compared
+and work grows with the square of the distinct vectors, as a product of matrices.
 
 Rules: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do
-vectors of different lengths; a repeated id keeps its least vector; a null id links with nothing and its
-row keeps a null component; other columns are ignored; an empty table gives an empty table.
+vectors of different lengths; rows are vectors, also where ids repeat or are null, and each row is returned; a
+component's id is its smallest id, null if it has none; other columns are ignored; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -26,39 +32,48 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, table
 from .graph import components, forest
 
-BLOCK, BLOCKS, PIVOTS, SAMPLE = 8192, 8, 256, 4
-RADII = (0.5, 0.25)
+BLOCK, FAN, SAMPLE, LEVELS = 8192, 16, 512, 8
+RADII = (0.5, 0.25, 0.125, 0.0625)
 SLACK = 1e-9
 
 
-def scaled(vectors: list) -> tuple[list[int], list[bytes]]:
-    """Positions of the vectors that can link, and their unit vectors as little-endian doubles."""
+def scaled(vectors: pa.Array) -> tuple[np.ndarray, list[bytes]]:
+    """Positions of the vectors (lists of doubles) that can link, and their unit vectors as little-endian doubles."""
+    size = np.array([-1 if n is None else n for n in pc.list_value_length(vectors).to_pylist()], np.int64)
+    flat = vectors.flatten()  # nulls are left out here, of lists and not of components
+    holes = np.asarray(flat.is_null())
+    values = flat.fill_null(0.0).to_numpy(zero_copy_only=False)
+    starts = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
     at, out = [], []
-    for k, v in enumerate(vectors):
-        if not v or any(x is None for x in v):
-            continue
-        x = np.array(v, "<f8")
-        most = np.abs(x).max()
-        if not np.isfinite(most) or most == 0:
-            continue
-        x = x / most
-        at.append(k)
-        out.append((x / np.linalg.norm(x)).tobytes())
+    for n in np.unique(size[size > 0]).tolist():
+        own = np.flatnonzero(size == n)
+        place = starts[own][:, None] + np.arange(n)
+        x = values[place]
+        with np.errstate(all="ignore"):
+            most = np.abs(x).max(1)
+            good = np.isfinite(x).all(1) & (most > 0) & ~holes[place].any(1)
+            x = x[good] / most[good][:, None]
+            x = x / np.sqrt((x * x).sum(1))[:, None]
+        at.append(own[good])
+        out += [v.tobytes() for v in np.ascontiguousarray(x, "<f8")]
+    at = np.concatenate(at) if at else np.zeros(0, np.int64)
     return at, out
 
 
-def farthest_first(points: np.ndarray, k: int) -> np.ndarray:
-    """Up to k indices, each the point farthest from those before it."""
+def farthest_first(points: np.ndarray, k: int, radius: float = 0.0) -> np.ndarray:
+    """Up to k indices, each the point farthest from those before it, while it is beyond the radius."""
     chosen, near = [0], points @ points[0]
+    most = 1 - max(radius * radius / 2, 1e-12)
     while len(chosen) < min(k, len(points)):
         far = int(near.argmin())
-        if near[far] > 1 - 1e-12:
+        if near[far] > most:
             break
         chosen.append(far)
         near = np.maximum(near, points @ points[far])
@@ -88,22 +103,26 @@ def net(points: np.ndarray, radius: float, step: int = 512) -> np.ndarray:
 
 
 def levels(points: np.ndarray) -> np.ndarray:
-    """(2, n): each point's centre at each radius; the finer nets are nested in the coarser nodes."""
-    top = net(points, RADII[0])
-    sub = top.copy()
-    for c in np.flatnonzero(np.bincount(top, minlength=len(points)) > 32):
-        own = np.flatnonzero(top == c)
-        own = np.concatenate([[c], own[own != c]])
-        sub[own] = own[net(points[own], RADII[1])]
-    return np.stack([top, sub])
+    """(levels, n): each point's centre at each radius; finer nets are nested in the coarser nodes, of which small ones stay whole."""
+    out = [net(points, RADII[0])]
+    for radius in RADII[1:]:
+        sub = out[-1].copy()
+        for c in np.flatnonzero(np.bincount(sub, minlength=len(points)) > 32):
+            own = np.flatnonzero(out[-1] == c)
+            own = np.concatenate([[c], own[own != c]])
+            sub[own] = own[net(points[own], radius)]
+        out.append(sub)
+    return np.stack(out)
 
 
 class Side:
     """A block's points with the nodes of a level: centres, members and covering radii."""
 
-    def __init__(self, points: np.ndarray, top: np.ndarray, sub: np.ndarray):
-        self.points, self.sub = points, sub
-        self.centres, node = np.unique(top, return_inverse=True)
+    def __init__(self, points: np.ndarray, nets: np.ndarray, weight: np.ndarray | None = None):
+        self.points, self.nets = points, nets
+        self.weight = np.ones(len(points), np.int64) if weight is None else weight
+        self.single_precision = points.astype(np.float32)
+        self.centres, node = np.unique(nets[0], return_inverse=True)
         self.members = np.split(np.argsort(node, kind="stable"), np.cumsum(np.bincount(node, minlength=len(self.centres)))[:-1]) if len(points) else []
         self.radius = covering(points, self.centres, node)
         many = np.bincount(node, minlength=len(self.centres)) > 1
@@ -118,34 +137,36 @@ def covering(points: np.ndarray, centres: np.ndarray, node: np.ndarray) -> np.nd
 
 
 class Links:
-    """Link counts of both sides' points and a forest over left points then right points."""
+    """Link counts of both sides' points, by multiplicity, and a forest over left points then right points."""
 
-    def __init__(self, n_left: int, n_right: int, same: bool):
-        self.n, self.same, self.shift = np.zeros(n_left + n_right, np.int64), same, 0 if same else n_left
-        self.labels = np.arange(n_left + n_right)
+    def __init__(self, left: np.ndarray, right: np.ndarray, same: bool):
+        self.left, self.right = left, left if same else right
+        n = len(left) + (0 if same else len(right))
+        self.n, self.same, self.shift = np.zeros(n, np.int64), same, 0 if same else len(left)
+        self.labels = np.arange(n)
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
         """Single pairs."""
-        np.add.at(self.n, i, 1)
+        np.add.at(self.n, i, self.right[j])
         if not self.same:
-            np.add.at(self.n, j + self.shift, 1)
+            np.add.at(self.n, j + self.shift, self.left[i])
         self.labels = forest(self.labels, i, j + self.shift)
 
     def add_all(self, i: np.ndarray, j: np.ndarray) -> None:
         """Every point of i with every point of j."""
-        self.n[i] += len(j)
+        self.n[i] += self.right[j].sum()
         if not self.same:
-            self.n[j + self.shift] += len(i)
+            self.n[j + self.shift] += self.left[i].sum()
         both = np.concatenate([i, j + self.shift])
         self.labels = forest(self.labels, both[1:], np.full(len(both) - 1, both[0]))
 
     def add_matrix(self, i: np.ndarray, j: np.ndarray, linked: np.ndarray) -> None:
-        self.n[i] += linked.sum(1)
-        if not self.same:
-            self.n[j + self.shift] += linked.sum(0)
         row = np.flatnonzero(linked.any(1))
         if not row.size:
             return
+        self.n[i[row]] += linked[row] @ self.right[j]
+        if not self.same:
+            self.n[j + self.shift] += self.left[i[row]] @ linked[row]
         # each row with its first partner, each column with its first row, and rows joined through shared columns
         a, b = [i[row]], [j[linked[row].argmax(1)] + self.shift]
         col = np.flatnonzero(linked.any(0))
@@ -161,14 +182,15 @@ class Links:
 def traverse(left: Side, right: Side, least: float, same: bool) -> Links:
     """Links (cosine >= least) between two blocks, or within one; there each ordered pair counts once and none with itself."""
     eps = math.sqrt(max(0.0, 2 - 2 * least))
-    found = Links(len(left.points), 0 if same else len(right.points), same)
-    # leaves of one point meet through their centres at once
+    found = Links(left.weight, right.weight, same)
+    # leaves of one point meet through their centres at once: in single precision with a margin first, what is left in double
+    across = right.single_precision[right.centres[right.single]].T
     for a in range(0, left.single.size, 1024):
         own = left.single[a : a + 1024]
-        cos = left.points[left.centres[own]] @ right.points[right.centres[right.single]].T
-        i, j = np.nonzero(cos >= least)
+        i, j = np.nonzero(left.single_precision[left.centres[own]] @ across >= least - 1e-4)
         i, j = left.centres[own][i], right.centres[right.single][j]
         keep = (i != j) | (not same)
+        keep[keep] = np.einsum("ij,ij->i", left.points[i[keep]], right.points[j[keep]]) >= least
         if keep.any():
             found.add(i[keep], j[keep])
     pairs = [(left.many, np.arange(len(right.centres))), (left.single, right.many)]
@@ -178,15 +200,15 @@ def traverse(left: Side, right: Side, least: float, same: bool) -> Links:
             cos = left.points[left.centres[own]] @ right.points[right.centres[cols]].T
             reach = left.radius[own][:, None] + right.radius[cols][None, :] + eps + SLACK
             for x, y in np.argwhere(cos >= 1 - np.minimum(reach, 2) ** 2 / 2):
-                _expand(left, right, left.members[own[x]], right.members[cols[y]], least, eps, found, len(RADII) - 1)
+                _expand(left, right, left.members[own[x]], right.members[cols[y]], least, eps, found, 1)
     return found
 
 
 def _expand(left: Side, right: Side, i: np.ndarray, j: np.ndarray, least: float, eps: float, found: Links, depth: int) -> None:
     """Point sets of two nodes: through their finer nodes where there are enough points, else point by point."""
-    if depth and len(i) * len(j) > 4096:
-        ci, ni = np.unique(left.sub[i], return_inverse=True)
-        cj, nj = np.unique(right.sub[j], return_inverse=True)
+    if depth < len(RADII) and len(i) * len(j) > 4096:
+        ci, ni = np.unique(left.nets[depth][i], return_inverse=True)
+        cj, nj = np.unique(right.nets[depth][j], return_inverse=True)
         if len(ci) * len(cj) * 4 < len(i) * len(j):
             mi, mj = [i[ni == k] for k in range(len(ci))], [j[nj == k] for k in range(len(cj))]
             far = lambda s, m, c: max(0.0, math.sqrt(max(0.0, 2 - 2 * float((s.points[m] @ s.points[c]).min()))))
@@ -198,7 +220,7 @@ def _expand(left: Side, right: Side, i: np.ndarray, j: np.ndarray, least: float,
                 if dist[x, y] + reach[x, y] < eps - SLACK and not (found.same and ci[x] == cj[y]):
                     found.add_all(mi[x], mj[y])
                 else:
-                    _expand(left, right, mi[x], mj[y], least, eps, found, depth - 1)
+                    _expand(left, right, mi[x], mj[y], least, eps, found, depth + 1)
             return
     for a in range(0, len(i), 1024):
         own = i[a : a + 1024]
@@ -209,99 +231,151 @@ def _expand(left: Side, right: Side, i: np.ndarray, j: np.ndarray, least: float,
             found.add_matrix(own, j, linked)
 
 
-_NODES = "vec_id long, unit binary, gid int, cell int, top int, sub int"
+def _points(units) -> np.ndarray:
+    rows = units.to_pylist()
+    return np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1) if rows else np.zeros((0, 1))
 
 
-def _build(block):
-    block = block.sort_by("vec_id")
-    points = _points(block.column("unit"))
-    top, sub = levels(points)
-    return pa.table({"vec_id": block.column("vec_id"), "unit": block.column("unit"), "gid": block.column("gid"), "cell": block.column("cell"), "top": pa.array(top, pa.int32()), "sub": pa.array(sub, pa.int32())})
+def _split(radius: float):
+    """A sample of a cell's points -> the cell's centres, one after the other in a binary."""
 
+    def run(sample: pa.Table) -> pa.Table:
+        units = sample.sort_by("rep").column("unit").to_pylist()[: 4 * SAMPLE]
+        points = np.frombuffer(b"".join(units), "<f8").reshape(len(units), -1)
+        return pa.table({"of": sample.column("cell")[:1], "centres": pa.array([points[farthest_first(points, FAN, radius)].tobytes()], pa.binary())})
+
+    return run
+
+
+def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Points of split cells -> the number, centre and distance of the nearest child; others keep what they have."""
+    for b in batches:
+        child, centre, far = [0] * b.num_rows, b.column("centre").to_pylist(), b.column("far").to_pylist()
+        raw = b.column("centres").to_pylist()
+        by: dict[bytes, list[int]] = {}
+        for k, c in enumerate(raw):
+            if c is not None:
+                by.setdefault(c, []).append(k)
+        for c, rows in by.items():
+            x = _points(b.column("unit").take(pa.array(rows)))
+            cos = x @ np.frombuffer(c, "<f8").reshape(-1, x.shape[1]).T
+            best = cos.argmax(1)
+            for k, m, v in zip(rows, best.tolist(), cos.max(1).tolist()):
+                child[k], centre[k], far[k] = m + 1, c[m * 8 * x.shape[1] : (m + 1) * 8 * x.shape[1]], math.sqrt(max(0.0, 2 - 2 * v))
+        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("rep", "m", "unit", "cell")), pa.array(child, pa.int64()), pa.array(centre, pa.binary()), pa.array(far, pa.float64())], ["rep", "m", "unit", "up", "child", "centre", "far"])
+
+
+def tree(points: DataFrame, block: int = BLOCK) -> tuple[DataFrame, list[DataFrame]]:
+    """points (rep, m, unit) with their cell, a leaf; and the nodes (up, node, r, centre) of each level from the roots down."""
+    # vectors of a length are a tree of their own: its root holds them all, without a centre
+    placed = materialize(points.select("rep", "m", "unit", F.length("unit").cast("long").alias("cell"), F.lit(None).cast("binary").alias("centre"), F.lit(2.0).alias("far")))
+    nodes: list[DataFrame] = []
+    while len(nodes) < LEVELS:
+        # cells that points of one place fill are not split
+        big = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("r")).where((F.col("n") > block) & (F.col("r") > 1e-6))
+        big = materialize(big.select(F.col("cell").alias("of"), "n"))
+        if not big.take(1):
+            break
+        chance = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        sample = placed.join(big, F.col("cell") == F.col("of")).where(chance < F.lit(float(SAMPLE)) / F.col("n")).select("cell", "rep", "unit")
+        centres = materialize(sample.groupBy("cell").applyInArrow(_split(2.0 ** -len(nodes)), "of long, centres binary"))
+        dealt = placed.join(centres, F.col("cell") == F.col("of"), "left").select("rep", "m", "unit", "cell", "centre", "far", "centres")
+        dealt = dealt.mapInArrow(_assign, "rep long, m long, unit binary, up long, child long, centre binary, far double")
+        cell = F.when(F.col("child") > 0, F.xxhash64("up", "child")).otherwise(F.col("up"))
+        placed = materialize(dealt.select("rep", "m", "unit", "up", cell.alias("cell"), "centre", "far"))
+        nodes.append(materialize(placed.groupBy("up", F.col("cell").alias("node")).agg(F.max("far").alias("r"), F.max("centre").alias("centre"))))
+    return placed.select("rep", "m", "unit", "cell"), nodes
 
-def _points(units) -> np.ndarray:
-    rows = units.to_pylist()
-    return np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1) if rows else np.zeros((0, 1))
+
+def _reach(eps: float):
+    """Pairs of nodes that may hold a link: centres within both radii and the threshold; a root has no centre and meets all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for k, (x, y, r) in enumerate(zip(b.column("ca").to_pylist(), b.column("cb").to_pylist(), b.column("reach").to_pylist())):
+                if x is None or y is None:
+                    keep.append(k)
+                else:
+                    d = np.frombuffer(x, "<f8") - np.frombuffer(y, "<f8")
+                    if math.sqrt(float(d @ d)) <= r + eps + SLACK:
+                        keep.append(k)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at)], ["a", "b"])
+
+    return run
+
+
+def cell_pairs(placed: DataFrame, nodes: list[DataFrame], least: float) -> DataFrame:
+    """(a, b), a <= b: the pairs of leaves that survive the pruning from the roots down."""
+    eps = math.sqrt(max(0.0, 2 - 2 * least))
+    root = nodes[0].select(F.col("up").alias("a")) if nodes else placed.select(F.col("cell").alias("a"))
+    pairs = root.distinct().withColumn("b", F.col("a"))
+    for node in nodes:
+        side = lambda k: node.select(F.col("up").alias(f"u{k}"), F.col("node").alias(f"n{k}"), F.col("r").alias(f"r{k}"), F.col("centre").alias(f"c{k}"))  # noqa: B023, E731
+        both = pairs.join(side("a"), F.col("a") == F.col("ua")).join(side("b"), F.col("b") == F.col("ub")).where("a <> b or na <= nb")
+        both = both.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "ca", "cb", (F.col("ra") + F.col("rb")).alias("reach"))
+        pairs = materialize(both.mapInArrow(_reach(eps), "a long, b long"))
+    return pairs
+
+
+_NODES = "rep long, m long, unit binary, cell long, gid long, nets array<int>"
+
+
+def _build(block: pa.Table) -> pa.Table:
+    block = block.sort_by("rep")
+    nets = levels(_points(block.column("unit")))
+    return pa.table({k: block.column(k) for k in ("rep", "m", "unit", "cell", "gid")} | {"nets": pa.array(list(nets.T.astype(np.int32)), pa.list_(pa.int32()))})
 
 
 def _meet(least: float):
     def run(key, pair):
         a, b = (k.as_py() for k in key)
-        pair = pair.sort_by([("gid", "ascending"), ("vec_id", "ascending")])
-        gid, ids = pair.column("gid").to_numpy(), pair.column("vec_id").to_numpy()
+        # the lower block first
+        pair = pair.sort_by([("gid", "ascending"), ("rep", "ascending")])
+        gid, ids, weight = (pair.column(k).to_numpy() for k in ("gid", "rep", "m"))
         cut = int(np.searchsorted(gid, a, "right"))
-        points, top, sub = _points(pair.column("unit")), pair.column("top").to_numpy(), pair.column("sub").to_numpy()
-        left = Side(points[:cut], top[:cut], sub[:cut])
-        found = traverse(left, left if a == b else Side(points[cut:], top[cut:], sub[cut:]), least, a == b)
+        points = _points(pair.column("unit"))
+        nets = pair.column("nets").combine_chunks().flatten().to_numpy().reshape(len(ids), -1).T.astype(np.int64)
+        left = Side(points[:cut], nets[:, :cut], weight[:cut])
+        found = traverse(left, left if a == b else Side(points[cut:], nets[:, cut:], weight[cut:]), least, a == b)
         at = np.flatnonzero(found.n)
-        return pa.table({"vec_id": pa.array(ids[at]), "n": pa.array(found.n[at]), "root": pa.array(ids[found.labels[at]])})
+        return pa.table({"rep": pa.array(ids[at]), "n": pa.array(found.n[at]), "root": pa.array(ids[found.labels[at]])})
 
     return run
 
 
 def links(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """(vec_id, n_links, component_id) of every id."""
-    spark = vectors.sparkSession
-    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
-    own = materialize(own)
+    """(vec_id, n_links, component_id) of every row."""
+    rows = materialize(vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")))
 
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, out = scaled(b.column("v").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(at, pa.int64())), pa.array(out, pa.binary())], ["vec_id", "unit"])
-
-    units = materialize(own.where("vec_id is not null and v is not null").mapInArrow(unit, "vec_id long, unit binary"))
-    n = units.count()
-    target = max(BLOCKS, -(-n // block))
-    limit = max(1, -(-n // target))  # rows a block
-    # a bounded sample of the vectors; pivots only steer the pruning
-    sample = [np.frombuffer(r.unit, "<f8") for r in units.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE * min(PIVOTS, target)).collect()]
-    by_size: dict[int, list[np.ndarray]] = {}
-    for x in sample:
-        by_size.setdefault(x.size, []).append(x)
-    pivots: dict[int, tuple[int, np.ndarray]] = {}
-    for size, xs in sorted(by_size.items()):
-        x = np.stack(xs)
-        pivots[size] = (sum(len(p) for _, p in pivots.values()), x[farthest_first(x, max(1, min(PIVOTS, target) * len(xs) // len(sample)))])
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cell, far = [], []
-            for raw in b.column("unit").to_pylist():
-                x = np.frombuffer(raw, "<f8")
-                first, p = pivots.get(x.size, (-x.size, None))
-                cos = p @ x if p is not None else np.zeros(1)
-                cell.append(first + int(cos.argmax()))
-                far.append(math.sqrt(max(0.0, 2 - 2 * float(cos.max()))) if p is not None else 2.0)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("unit"), pa.array(cell, pa.int32()), pa.array(far, pa.float64())], ["vec_id", "unit", "cell", "far"])
-
-    placed = units.mapInArrow(assign, "vec_id long, unit binary, cell int, far double")
-    # at most PIVOTS cells, and one for each further vector length
-    cells = sorted((r.cell, r.n, r.far) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect())
-    first, near = {}, []
-    total = 0
-    for c, rows, _ in cells:
-        first[c], total = (total, -(-rows // limit)), total + -(-rows // limit)
-    centre = {at + k: x for at, p in pivots.values() for k, x in enumerate(p)}
-    eps = math.sqrt(max(0.0, 2 - 2 * least))
-    for c, _, rc in cells:
-        for d, _, rd in cells:
-            a, b = centre.get(c), centre.get(d)
-            if c == d or (a is not None and b is not None and a.size == b.size and np.linalg.norm(a - b) <= rc + rd + eps + SLACK):
-                near.append((c, d, *first[d]))
-    home = spark.createDataFrame([(c, *first[c]) for c, _, _ in cells], "cell int, base int, blocks int")
-    dealt = placed.join(F.broadcast(home), "cell").select("vec_id", "unit", (F.col("base") + F.pmod(F.xxhash64("vec_id"), "blocks")).cast("int").alias("gid"), "cell")
-    nodes = materialize(dealt.groupBy("gid").applyInArrow(_build, _NODES))
-    partners = spark.createDataFrame(near, "cell int, other int, base int, blocks int")
-    sent = nodes.join(F.broadcast(partners), "cell").select("vec_id", "unit", "gid", "top", "sub", F.explode(F.sequence("base", F.col("base") + F.col("blocks") - 1)).alias("with"))
-    sent = sent.select(F.least("gid", "with").alias("p"), F.greatest("gid", "with").alias("q"), "vec_id", "unit", "gid", "top", "sub")
-    found = materialize(sent.groupBy("p", "q").applyInArrow(_meet(least), "vec_id long, n long, root long"))
-    comp = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
-    out = own.select("vec_id").join(counts, "vec_id", "left").join(comp.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+            at, out = scaled(b.column("v"))
+            yield pa.RecordBatch.from_arrays([b.column("row").take(pa.array(at)), pa.array(out, pa.binary())], ["row", "unit"])
+
+    units = materialize(rows.where("v is not null").select("row", "v").mapInArrow(unit, "row long, unit binary").withColumn("same", F.sha2("unit", 256)))
+    first = materialize(units.groupBy("same").agg(F.min("row").alias("rep"), F.count("*").alias("m")))
+    placed, nodes = tree(units.join(first, F.col("row") == F.col("rep")).select("rep", "m", "unit"), block)
+    pairs = cell_pairs(placed, nodes, least)
+    # leaves in blocks: nearly always one
+    leaves = materialize(placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")).select(F.col("cell").alias("of"), "blocks"))
+    gid = lambda cell, k: F.xxhash64(cell, k)
+    dealt = placed.join(leaves, F.col("cell") == F.col("of")).select("rep", "m", "unit", "cell", gid("cell", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).alias("gid"))
+    built = materialize(dealt.groupBy("gid").applyInArrow(_build, _NODES))
+    met = pairs.select(F.col("a").alias("own"), F.col("b").alias("other")).union(pairs.where("a <> b").select("b", "a"))
+    met = met.join(leaves, F.col("other") == F.col("of")).select("own", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: gid(F.col("other"), k))).alias("with"))
+    sent = built.join(met, F.col("cell") == F.col("own")).select(F.least("gid", "with").alias("p"), F.greatest("gid", "with").alias("q"), "rep", "m", "unit", "gid", "nets")
+    found = materialize(sent.groupBy("p", "q").applyInArrow(_meet(least), "rep long, n long, root long"))
+    comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
+    of = units.select("row", "same").join(first, "same").select("row", "rep", "m").join(counts, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
+    of = rows.select("row", "vec_id").join(of.select("row", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("component", "rep").alias("comp")), "row", "left")
+    of = of.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("comp", "row").alias("comp"))
+    named = of.groupBy("comp").agg(F.min("vec_id").alias("component_id"))
+    return of.join(named, "comp").select("vec_id", "n_links", "component_id")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
     done = links(table(spark, sf_dir, "embeddings"))
-    return done.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return done.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
