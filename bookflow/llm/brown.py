@@ -4,10 +4,20 @@ All counts cover every training document. Word counts are a Spark aggregation an
 without bound; only a head of them (`HEAD` words, a parameter) is broadcast, the counts of all other words
 meet their occurrences in a join.
 
-Classes: the most frequent `TOP` words, and for every other word, seen or not, its last two bytes (the
-`SUFFIXES` most frequent endings, one item for the rest) are items. Exchange clustering moves one item at
-a time to the class that gains most likelihood of the class bigrams, until no item moves. So each word has
-a class, by itself or by its ending; the end of a text has its own.
+Classes: items are the head words seen `LOW` times or more, and for every other word, whose few neighbours say
+nothing about unseen ones, the ending of its last two characters (the `SUFFIXES` most frequent endings of such
+words, one item for the rest). Exchange clustering
+moves an item to the class where it gains most likelihood of the class bigrams:
+
+* the `TOP` most frequent words one at a time, from their dense bigram counts, until none moves;
+* then all items in sweeps over the corpus: Spark adds up how often each item follows and precedes each class, and
+  each item moves by the same gain against the class bigrams as they stand. In the first sweep every item outside
+  the top enters its best class; in later ones a salted half of the items may move at a time, as neighbours
+  that move together do not see each other. Sweeps end when no item moves, when the likelihood of the class
+  bigrams rises by less than `LEVEL` of itself, or after `SWEEPS`.
+
+So each word has a class, by itself or by its ending; the end of a text has its own. What is broadcast and collected is
+bounded by items x classes, parameters both.
 
     P(word | words before) = P(class | class before) * (c + 1) / (T + U + 1)
 
@@ -33,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, slices, table
 
-HEAD, TOP, SUFFIXES, CLASSES, SWEEPS = 65_536, 512, 256, 48, 6
+HEAD, TOP, SUFFIXES, CLASSES, SWEEPS, LEVEL, LOW = 65_536, 512, 4096, 64, 6, 0.0005, 8
 KEPT = 300_000
 _END = b"\n"  # no word holds a line break
 
@@ -67,8 +77,34 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def exchange(counts: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
-    """The class of each item by exchange clustering of item bigram counts (I, I). Items start dealt by frequency; the last item keeps the last class to itself."""
+def _log(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-12))
+
+
+def gains(r: np.ndarray, l: np.ndarray, s: float, base: np.ndarray) -> np.ndarray:  # noqa: E741
+    """By how much the class bigrams' likelihood rises as an item enters each class: r, l count the item before and after each class without itself, s itself after itself, base the bigrams of classes without the item."""
+    rows, cols = base.sum(1) + l, base.sum(0) + r  # whichever class it enters
+    x, y = np.flatnonzero(r), np.flatnonzero(l)  # most items have few neighbours' classes
+    after, before = base[:, x], base[y].T
+    out = (_log(after + r[x]) - _log(after)).sum(1) + (_log(before + l[y]) - _log(before)).sum(1)
+    d = np.diagonal(base)
+    out += _log(d + r + l + s) - _log(d) - (_log(d + r) - _log(d)) - (_log(d + l) - _log(d))
+    return out - (_log(rows + r.sum() + s) - _log(rows) + _log(cols + l.sum() + s) - _log(cols))
+
+
+def without(r: np.ndarray, l: np.ndarray, s: float, a: int, both: np.ndarray) -> np.ndarray:  # noqa: E741
+    """The class bigrams without an item of class a; its own pair is taken out of r and l first, in place."""
+    r[a] -= s
+    l[a] -= s
+    base = both.copy()
+    base[a] -= r
+    base[:, a] -= l
+    base[a, a] -= s
+    return base
+
+
+def exchange(counts: np.ndarray, classes: int, sweeps: int | None = None) -> np.ndarray:
+    """The class of each item by exchange clustering of item bigram counts (I, I), until no item moves or `sweeps`. Items start dealt by frequency; the last item keeps the last class to itself."""
     w = counts.astype(np.float64)
     n = len(w)
     k = max(1, min(classes - 1, n - 1))
@@ -79,27 +115,18 @@ def exchange(counts: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarr
     one[np.arange(n), cls] = 1
     right, left = w @ one, w.T @ one  # item followed by class, item preceded by class
     both = one.T @ right
-    log = lambda x: x * np.log(np.maximum(x, 1e-12))
-    for _ in range(sweeps):
-        moved = 0
+    done = 0
+    while sweeps is None or done < sweeps:
+        moved, done = 0, done + 1
         for i in order:
             a, s = cls[i], w[i, i]
             r, l = right[i].copy(), left[i].copy()  # noqa: E741
             if not r.any() and not l.any():
                 continue
-            r[a] -= s
-            l[a] -= s
-            base = both.copy()
-            base[a] -= r
-            base[:, a] -= l
-            base[a, a] -= s
-            rows, cols = base.sum(1) + l, base.sum(0) + r  # whichever class i enters
-            gain = (log(base + r) - log(base)).sum(1) + (log(base.T + l) - log(base.T)).sum(1)
-            d = np.diagonal(base)
-            gain += log(d + r + l + s) - log(d) - (log(d + r) - log(d)) - (log(d + l) - log(d))
-            gain -= log(rows + r.sum() + s) - log(rows) + log(cols + l.sum() + s) - log(cols)
+            base = without(r, l, s, a, both)
+            gain = gains(r, l, s, base)
             b = int(np.argmax(gain[:k]))
-            if gain[b] <= gain[a] + 1e-9:
+            if gain[b] <= gain[a] + 1e-6:  # each move raises the likelihood, so the moves end
                 continue
             moved += 1
             both = base
@@ -116,35 +143,29 @@ def exchange(counts: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarr
     return cls
 
 
+def _ending(word: bytes) -> str:
+    return word.decode("utf-8", "replace")[-2:]
+
+
 class Model:
-    """What scoring needs: head words with counts and classes, class tables, totals. Its size is bounded by the parameters."""
+    """What scoring needs: head words with counts, endings, classes, totals. Its size is bounded by the parameters."""
 
-    def __init__(self, head: list[tuple[bytes, int]], top: int, endings: list[tuple[bytes, int, int]], suffixes: int, documents: int, tokens: int, distinct: int):
+    def __init__(self, head: list[tuple[bytes, int]], low: int, endings: list[tuple[str, int, int]], rest: tuple[int, int], documents: int, tokens: int, distinct: int):
+        """head by falling count; endings: (ending, tokens, words) of words that are no items; rest: tokens and words of all other endings."""
         self.index = {w: k for k, (w, _) in enumerate(head)}
         self.count = np.array([c for _, c in head] + [0], np.float64)
-        self.top = min(top, len(head))
         self.documents, self.tokens, self.distinct = documents, tokens, distinct
-        tops: dict[bytes, list[int]] = {}
-        for w, c in head[: self.top]:
-            x = tops.setdefault(w[-2:], [0, 0])
-            x[0] += c
-            x[1] += 1
-        rest = sorted(((e, n - tops.get(e, (0, 0))[0], u - tops.get(e, (0, 0))[1]) for e, n, u in endings), key=lambda x: (-x[1], x[0]))
-        kept = [x for x in rest if x[1] > 0][:suffixes]
-        self.suffix = {e: self.top + k for k, (e, _, _) in enumerate(kept)}
-        self.other = self.top + len(kept)
+        self.own = sum(c >= low for _, c in head)
+        self.suffix = {e: self.own + k for k, (e, _, _) in enumerate(endings)}
+        self.other = self.own + len(endings)
         self.end = self.other + 1
         self.size = self.end + 1
-        self.item = np.array([k if k < self.top else self.of_ending(w) for k, (w, _) in enumerate(head)] + [-1], np.int64)
-        self.item_tokens, self.item_words = np.zeros(self.size), np.zeros(self.size)
-        self.item_tokens[: self.top], self.item_words[: self.top] = self.count[: self.top], 1
-        for e, n, u in rest:
-            self.item_tokens[self.of_ending(e)] += n
-            self.item_words[self.of_ending(e)] += u
-        self.item_tokens[self.end], self.item_words[self.end] = documents, documents > 0
+        self.item = np.array([k if k < self.own else self.of_ending(w) for k, (w, _) in enumerate(head)] + [-1], np.int64)
+        self.item_tokens = np.array([c for _, c in head[: self.own]] + [n for _, n, _ in endings] + [rest[0], documents], np.float64)
+        self.item_words = np.array([1] * self.own + [u for _, _, u in endings] + [rest[1], documents > 0], np.float64)
 
     def of_ending(self, word: bytes) -> int:
-        return self.suffix.get(word[-2:], self.other)
+        return self.suffix.get(_ending(word), self.other)
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Head numbers (the last stands for words outside the head) and items."""
@@ -154,63 +175,160 @@ class Model:
             items[out] = [self.of_ending(words[k]) for k in out.tolist()]
         return at, items
 
-    def bigrams(self, texts: list[str | None]) -> np.ndarray:
-        """Keys before * size + item of all texts' tokens; an end stands before each text."""
-        parts = [np.array([self.end])]
+    def sequence(self, texts: list[str | None]) -> np.ndarray:
+        """The items of all texts; an end stands before and after each."""
+        end = np.array([self.end])
+        parts = [end]
         for t in texts:
-            parts += [self.encode(_words(t))[1], np.array([self.end])]
-        seq = np.concatenate(parts)
-        return seq[:-1] * self.size + seq[1:]
-
-    def classify(self, counts: np.ndarray, classes: int) -> None:
-        self.cls = exchange(counts, classes)
-        k = int(self.cls.max()) + 1
-        one = np.zeros((self.size, k))
-        one[np.arange(self.size), self.cls] = 1
-        n = one.T @ counts @ one
-        tokens, words = one.T @ self.item_tokens, one.T @ self.item_words
+            parts += [self.encode(_words(t))[1], end]
+        return np.concatenate(parts).astype("<i4")
+
+    def classify(self, cls: np.ndarray, bigrams: np.ndarray) -> None:
+        """Sets the classes and, from their bigrams, what scoring looks up."""
+        self.cls = cls
+        k = len(bigrams)
+        tokens, words = np.bincount(cls, self.item_tokens, k), np.bincount(cls, self.item_words, k)
         prior = (tokens + 1) / (tokens + 1).sum()
-        self.step = np.log10((n + 2 * prior) / (n.sum(1, keepdims=True) + 2))
+        self.step = np.log10((bigrams + 2 * prior) / (bigrams.sum(1, keepdims=True) + 2))
         self.emit = np.log10(tokens + words + 1)
-        self.emit[self.cls[self.end]] = math.log10(self.documents + 1)  # an end is all that its class holds
+        self.emit[cls[self.end]] = math.log10(self.documents + 1)  # an end is all that its class holds
 
-    def score(self, text: str | None) -> tuple[int, int, float, float, list[bytes]]:
-        """Tokens, known head tokens, sum of log10(c + 1) over head tokens and the end, class part, words outside the head."""
+    def score(self, text: str | None) -> tuple[int, int, float, float, list[dict]]:
+        """Tokens, known head tokens, sum of log10(c + 1) over head tokens and the end, class part, words outside the head with their number."""
         words = _words(text)
         at, items = self.encode(words)
         c = self.cls[np.concatenate([[self.end], items, [self.end]])]
         inside = at >= 0
         counts = math.fsum(np.log10(self.count[at[inside]] + 1).tolist()) + math.log10(self.documents + 1)
         part = float(self.step[c[:-1], c[1:]].sum() - self.emit[c[1:]].sum())
-        return len(words) + 1, int(inside.sum()) + (self.documents > 0), counts, part, [words[k] for k in np.flatnonzero(~inside).tolist()]
+        rare = Counter(words[k] for k in np.flatnonzero(~inside).tolist())
+        return len(words) + 1, int(inside.sum()) + (self.documents > 0), counts, part, [{"word": w, "k": k} for w, k in rare.items()]
+
 
+def _added(encoded: DataFrame, size: int, pairs) -> np.ndarray:
+    """A vector of `size`, a parameter, added up over the encoded corpus: pairs gives the positions that an array of items counts."""
 
-def learn(train: DataFrame, counts: DataFrame, head: int = HEAD, top: int = TOP, suffixes: int = SUFFIXES, classes: int = CLASSES) -> Model:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(size, np.int64)
+        for b in batches:
+            for raw in b.column("items"):
+                held += np.bincount(pairs(np.frombuffer(raw.as_py(), "<i4").astype(np.int64)), minlength=size)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["at", "n"])
+
+    got = encoded.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size)
+    out[got["at"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def class_bigrams(encoded: DataFrame, cls: np.ndarray, k: int) -> np.ndarray:
+    """(k, k) bigrams of classes; items without a class yet (-1) are left out."""
+    shared = encoded.sparkSession.sparkContext.broadcast(cls)
+
+    def pairs(seq: np.ndarray) -> np.ndarray:
+        c = shared.value[seq]
+        a, b = c[:-1], c[1:]
+        keep = (a >= 0) & (b >= 0)
+        return a[keep] * k + b[keep]
+
+    return _added(encoded, k * k, pairs).reshape(k, k)
+
+
+def sweep(encoded: DataFrame, cls: np.ndarray, both: np.ndarray, turn: int) -> list:
+    """(item, class) of the items that move, or enter, by the gain against the class bigrams `both`; at most one row an item."""
+    n, k = len(cls), len(both)
+    shared = encoded.sparkSession.sparkContext.broadcast((cls, both))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Item by class counts of a task: before a class, after one, before itself."""
+        own = shared.value[0]
+        held = np.zeros((n, 2 * k + 1), np.int32)
+        for b in batches:
+            for raw in b.column("items"):
+                seq = np.frombuffer(raw.as_py(), "<i4").astype(np.int64)
+                c = own[seq]
+                for item, of, shift in ((seq[:-1], c[1:], 0), (seq[1:], c[:-1], k)):
+                    np.add.at(held.reshape(-1), (item * (2 * k + 1) + of + shift)[of >= 0], 1)
+                np.add.at(held[:, 2 * k], seq[:-1][seq[:-1] == seq[1:]], 1)
+        rows = np.flatnonzero(held.any(1))
+        for lo in range(0, rows.size, 4096):
+            part = rows[lo : lo + 4096]
+            sparse = [(np.flatnonzero(held[i]).astype("<i2"), held[i][held[i] > 0].astype("<i4")) for i in part]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([x.tobytes() for x, _ in sparse], pa.binary()), pa.array([y.tobytes() for _, y in sparse], pa.binary())], ["item", "cells", "counts"])
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, base = shared.value
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for item, cells, counts in zip(b.column("item").to_pylist(), b.column("cells").to_pylist(), b.column("counts").to_pylist()):
+                if item not in held:
+                    held[item] = np.zeros(2 * k + 1)
+                held[item][np.frombuffer(cells, "<i2")] += np.frombuffer(counts, "<i4")
+        moved: list[tuple[int, int]] = []
+        for item, v in held.items():
+            a, r, l, s = int(own[item]), v[:k].copy(), v[k : 2 * k].copy(), v[2 * k]  # noqa: E741
+            if a == k - 1 or (a >= 0 and (item * 2654435761 >> 7) % 2 != turn % 2):
+                continue  # the end, or another half's turn
+            gain = gains(r, l, s if a >= 0 else 0.0, without(r, l, s, a, base) if a >= 0 else base)[: k - 1]
+            b = int(np.argmax(gain)) if r.any() or l.any() else item % (k - 1)
+            if a < 0 or gain[b] > gain[a] + 1e-6:
+                moved.append((item, b))
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in moved], pa.int64()), pa.array([b for _, b in moved], pa.int64())], ["item", "to"])
+
+    counted = encoded.mapInArrow(count, "item long, cells binary, counts binary")
+    return counted.repartition(encoded.sparkSession.sparkContext.defaultParallelism, "item").mapInArrow(move, "item long, to long").collect()
+
+
+def cluster(encoded: DataFrame, size: int, top: int, classes: int, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each item (the last item, the end, has the last class to itself) and the class bigrams."""
+    m = min(top, size - 1)
+
+    def both_top(seq: np.ndarray) -> np.ndarray:
+        a, b = (np.where(x == size - 1, m, x) for x in (seq[:-1], seq[1:]))
+        keep = (a <= m) & (b <= m) & ((seq[:-1] < m) | (a == m)) & ((seq[1:] < m) | (b == m))
+        return a[keep] * (m + 1) + b[keep]
+
+    cls = np.full(size, -1)
+    first = exchange(_added(encoded, (m + 1) ** 2, both_top).reshape(m + 1, -1), classes)
+    k = int(first[-1]) + 1
+    cls[:m], cls[-1] = first[:-1], k - 1
+    both, before = class_bigrams(encoded, cls, k), None
+    for turn in range(sweeps):
+        moved = sweep(encoded, cls, both, turn)
+        for r in moved:
+            cls[r.item] = r.to
+        if turn == 0:
+            cls[cls < 0] = np.flatnonzero(cls < 0) % max(1, k - 1)  # items without any bigram
+        both = class_bigrams(encoded, cls, k)
+        reached = float(_log(both).sum() - _log(both.sum(0)).sum() - _log(both.sum(1)).sum())
+        if not moved or (before is not None and turn > 1 and reached - before < LEVEL * abs(reached)):
+            break
+        before = reached
+    return cls, both
+
+
+def learn(train: DataFrame, counts: DataFrame, head: int = HEAD, top: int = TOP, suffixes: int = SUFFIXES, classes: int = CLASSES, sweeps: int = SWEEPS, low: int = LOW) -> Model:
     """The model of training texts with their materialized word counts."""
     documents = train.count()
     total = counts.agg(F.count("*").alias("u"), F.sum("n").alias("n")).first()
-    first = counts.orderBy(F.desc("n"), "word").limit(head).toArrow().to_pydict()
-    ending = F.when(F.length("word") > 1, F.expr("substring(word, -2, 2)")).otherwise(F.col("word"))
-    # at most 65,792 endings
-    ends = counts.groupBy(ending.alias("e")).agg(F.sum("n").alias("n"), F.count("*").alias("u")).toArrow().to_pydict()
-    model = Model(
-        list(zip(first["word"], first["n"])), top, list(zip(ends["e"], ends["n"], ends["u"])), suffixes, documents, (total.n or 0) + documents, total.u + (documents > 0)
-    )
+    names = materialize(counts.orderBy(F.desc("n"), "word").limit(head))
+    first = names.orderBy(F.desc("n"), "word").toArrow().to_pydict()
+    outside = counts.join(F.broadcast(names.where(F.col("n") >= low).select("word")), "word", "left_anti")
+    ends = materialize(outside.groupBy(F.expr("right(decode(word, 'UTF-8'), 2)").alias("e")).agg(F.sum("n").alias("n"), F.count("*").alias("u")))
+    kept = ends.orderBy(F.desc("n"), "e").limit(suffixes).toArrow().to_pydict()
+    every = ends.agg(F.sum("n"), F.sum("u")).first()
+    rest = tuple((x or 0) - sum(kept[c]) for x, c in zip(every, ("n", "u")))
+    model = Model(list(zip(first["word"], first["n"])), low, list(zip(kept["e"], kept["n"], kept["u"])), rest, documents, (total.n or 0) + documents, total.u + (documents > 0))
     shared = train.sparkSession.sparkContext.broadcast(model)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        held = np.zeros(own.size * own.size, np.int64)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            held += np.bincount(own.bigrams(b.column("text").to_pylist()), minlength=held.size)
-        at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["pair", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([shared.value.sequence(b.column("text").to_pylist()).tobytes()], pa.binary())], ["items"])
 
-    # at most size^2 pairs of items
-    got = train.select("text").mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    table_ = np.zeros(model.size * model.size)
-    table_[got["pair"].to_numpy()] = got["n"].to_numpy()
-    model.classify(table_.reshape(model.size, -1), classes)
+    # the corpus as item numbers, read by every sweep
+    encoded = materialize(train.select("text").mapInArrow(encode, "items binary"))
+    model.classify(*cluster(encoded, model.size, min(top, model.own), classes, sweeps))
     return model
 
 
@@ -225,13 +343,14 @@ def perplexity(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             cols = [list(c) for c in zip(*map(shared.value.score, b.column("text").to_pylist()))]
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())])))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_tokens", "n_known", "counts", "part", "rare"])
 
-    rows = docs.mapInArrow(run, "doc_id long, n_tokens long, n_known long, counts double, part double, rare array<binary>")
+    rows = docs.mapInArrow(run, "doc_id long, n_tokens long, n_known long, counts double, part double, rare array<struct<word:binary,k:long>>")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
-    rare = rows.select("row", F.explode("rare").alias("word")).join(counts, "word")
-    rare = rare.groupBy("row").agg(F.count("*").alias("known"), F.sum(F.log10(F.col("n") + 1)).alias("more"))
+    # a word once a row, so a frequent unseen word brings no more rows than there are texts
+    rare = rows.select("row", F.inline("rare")).join(counts, "word")
+    rare = rare.groupBy("row").agg(F.sum("k").alias("known"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more"))
     full = rows.drop("rare").join(rare, "row", "left")
     added = F.col("counts") + F.coalesce("more", F.lit(0.0))
     floor = math.log10(model.tokens + model.distinct + 1)

@@ -95,3 +95,51 @@ def test_nothing_to_learn_from(spark):
     got = B.perplexity(docs, docs.limit(0)).collect()
     assert sorted((r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got) == [(0, 1, 0, 0, 0.0), (1, 3, 0, 0, 0.0)]
     assert B.perplexity(docs.limit(0), docs).count() == 0
+
+
+def test_score_by_hand(spark, sf):
+    """Each text's score from the model's classes and plain counts, token by token."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    train = docs.where(~B.held_out("doc_id"))
+    counts = B.word_counts(train)
+    model = B.learn(train, counts, head=800)
+    got = {r.doc_id: r for r in B.perplexity(docs, train, head=800).collect()}
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    learned = [split(t) for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for t in learned for w in t)
+    cls = lambda w: int(model.cls[model.end if w == "\n" else model.encode([w.encode()])[1][0]])
+    of = {w: cls(w) for w in {w for _, t in texts for w in split(t)} | {"\n"}}
+    k, n = len(model.step), Counter()
+    for t in learned:
+        n.update(zip([of["\n"], *(of[w] for w in t)], [*(of[w] for w in t), of["\n"]]))
+    tokens, kinds = Counter(), Counter()
+    for w, m in [*c.items(), ("\n", len(learned))]:
+        tokens[of[w]] += m
+        kinds[of[w]] += w != "\n"
+    every = sum(tokens[x] + 1 for x in range(k))
+    after = Counter()
+    for (a, _), m in n.items():
+        after[a] += m
+    for i, t in texts[:60]:
+        want, a = 0.0, of["\n"]
+        for w in [*split(t), "\n"]:
+            b = of[w]
+            want += math.log10((n[a, b] + 2 * (tokens[b] + 1) / every) / (after[a] + 2)) + math.log10((c[w] if w != "\n" else len(learned)) + 1) - math.log10(tokens[b] + kinds[b] + 1)
+            a = b
+        assert got[i].score == pytest.approx(want, rel=1e-9), i
+
+
+def test_sweeps_raise_the_likelihood(spark, sf):
+    train = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    counts = B.word_counts(train)
+    reached = []
+    for sweeps in (1, 6):
+        model = B.learn(train, counts, head=2000, top=100, suffixes=50, classes=16, sweeps=sweeps)
+        n = np.zeros_like(model.step)
+        for r in train.collect():
+            seq = model.cls[model.sequence([r.text])]
+            np.add.at(n, (seq[:-1], seq[1:]), 1)
+        f = lambda x: (x * np.log(np.maximum(x, 1e-12))).sum()
+        reached.append(f(n) - f(n.sum(0)) - f(n.sum(1)))
+        assert len(set(model.cls[:-1].tolist())) > 8 and (model.cls[:-1] < 15).all() and model.cls[-1] == 15
+    assert reached[1] > reached[0]
