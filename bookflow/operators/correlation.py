@@ -5,11 +5,15 @@ The data is read once, in one aggregate of all pairs; what follows works on the
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import finite, pearson
+from ..functions.stats import TINY, finite, pearson
 from .quality import complete_cases
 
 
@@ -28,14 +32,34 @@ def redundant_pairs(matrix: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def _matrix(df: DataFrame, signals: list[str]) -> tuple[np.ndarray, int]:
-    """The correlation matrix over complete cases, a constant signal's row and column zero; and the cases."""
-    whole = complete_cases(df, signals)
-    n = whole.count()
+    """The correlation matrix over complete cases, a constant signal's row and column zero; and the cases.
+
+    One scan for the means, one for the products around them: each task adds up a matrix over its Arrow batches, so the
+    plan has a row per cell and not an expression per pair.
+    """
+    whole = complete_cases(df, signals).select(*[F.col(s).cast("double").alias(s) for s in signals])
+    first = whole.agg(F.count("*"), *[F.avg(s) for s in signals]).first()
+    n = first[0]
     if n < 100:
         raise ValueError(f"{n} complete rows are too few; 100 are needed")
-    out = np.zeros((len(signals), len(signals)))
-    for r in correlation_matrix(whole, signals).collect():
-        out[r.i, r.j] = out[r.j, r.i] = r.r if r.r is not None else 0.0
+    mean, size = np.array(first[1:], float), len(signals)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((size, size))
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1) - mean
+            held += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size * size)), pa.array(held.ravel())], ["cell", "v"])
+
+    cells = whole.mapInArrow(run, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect()  # size^2
+    gram = np.zeros(size * size)
+    for r in cells:
+        gram[r.cell] = r.v
+    gram = gram.reshape(size, size)
+    spread = np.sqrt(np.diagonal(gram) / n)
+    scale = np.where(spread >= TINY, spread * math.sqrt(n), np.inf)
+    out = gram / np.outer(scale, scale)
+    out[np.diag_indices(size)] = (spread >= TINY).astype(float)
     return out, n
 
 

@@ -14,7 +14,7 @@ from .frames import halo, quantiles, ranked
 from .quality import percent
 
 
-def distribution_stats(long: DataFrame, outlier: float = 3.0, step: int = 100, most: int = 5000) -> DataFrame:
+def distribution_stats(long: DataFrame, outlier: float = 3.0, step: int = 1, most: int | None = None) -> DataFrame:
     """Per signal: mean, std, min, max, median, population skewness and excess kurtosis (null when constant), percentage beyond `outlier` deviations, p of normality. NaN spreads, as nothing is filtered."""
     v = F.col("value")
     whole = long.groupBy("signal").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.skewness(v).alias("skewness"), F.kurtosis(v).alias("kurtosis"))
@@ -24,12 +24,14 @@ def distribution_stats(long: DataFrame, outlier: float = 3.0, step: int = 100, m
     return out.join(normality(long, step, most), "signal", "left")
 
 
-def normality(long: DataFrame, step: int = 100, most: int = 5000) -> DataFrame:
-    """(signal, k2, p_normal): the omnibus test of D'Agostino and Pearson on every step-th row of the global order, `most` of them; null below 20 rows or for a constant.
+def normality(long: DataFrame, step: int = 1, most: int | None = None) -> DataFrame:
+    """(signal, k2, p_normal): the omnibus test of D'Agostino and Pearson over all rows; null below 20 rows or for a constant.
 
-    That systematic sample is part of the test's definition here: without it any long series is significantly non-normal.
+    Any long series is significantly non-normal. With step and most only every step-th row of the global order
+    is tested, `most` of them: then long needs gidx.
     """
-    rows = long.where((F.col("gidx") % step == 0) & (F.col("gidx") < step * most))
+    rows = long if step == 1 else long.where(F.col("gidx") % step == 0)
+    rows = rows if most is None else rows.where(F.col("gidx") < step * most)
     v = F.col("value")
     got = rows.groupBy("signal").agg(F.count(v).cast("double").alias("n"), F.skewness(v).alias("s"), F.kurtosis(v).alias("k"), F.stddev_pop(v).alias("sd"))
     n, s, k = F.col("n"), F.col("s"), F.col("k") + 3
@@ -92,26 +94,37 @@ def adf_p(tau: float) -> float:
     return normal_cdf(sum(c * tau**k for k, c in enumerate(_SMALL_P if tau <= _TAU_STAR else _LARGE_P)))
 
 
-def _gram(long: DataFrame, lags: int, first: int) -> dict[str, tuple[int, np.ndarray]]:
-    """Per signal: rows and the Gram matrix of (dx_t, 1, x_{t-1}, dx_{t-1}, ..., dx_{t-lags}) over rows t >= first. One scan; each task adds up its blocks, and only matrices come back."""
+def _gram(long: DataFrame, lags: int) -> dict[str, tuple[int, np.ndarray, np.ndarray]]:
+    """Per signal: rows and the Gram matrix of (dx_t, 1, x_{t-1}, dx_{t-1}, ..., dx_{t-lags}) over rows t > lags, and the first lags + 1 values. One scan; each task adds up its blocks, and only matrices come back."""
     size = lags + 3
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("gidx")
         x, t, own = pdf["value"].to_numpy(), pdf["gidx"].to_numpy(), pdf["_own"].to_numpy()
         d = np.diff(x)
-        at = np.flatnonzero(own & (t >= first) & (np.arange(len(x)) >= lags + 1))
-        cols = [d[at - 1], np.ones(len(at)), x[at - 1]] + [d[at - 1 - k] for k in range(1, lags + 1)]
-        z = np.stack(cols)
-        return pd.DataFrame({"signal": [pdf["signal"].iloc[0]], "n": [len(at)], "g": [(z @ z.T).ravel()]})
-
-    blocks = halo(long.select("signal", "gidx", "value"), lags + 1).groupBy("signal", "_block").applyInPandas(run, "signal string, n long, g array<double>")
-    cells = blocks.select("signal", "n", F.posexplode("g").alias("i", "v")).groupBy("signal", "i").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
-    out: dict[str, tuple[int, np.ndarray]] = {}
+        at = np.flatnonzero(own & (t > lags) & (np.arange(len(x)) >= lags + 1))
+        z = _columns(x, d, at, lags)
+        return pd.DataFrame({"signal": [pdf["signal"].iloc[0]], "n": [len(at)], "g": [(z @ z.T).ravel()], "head": [x[: lags + 1] if t[0] == 0 else None]})
+
+    blocks = halo(long.select("signal", "gidx", "value"), lags + 1).groupBy("signal", "_block").applyInPandas(run, "signal string, n long, g array<double>, head array<double>")
+    cells = blocks.select("signal", "n", "head", F.posexplode("g").alias("i", "v")).groupBy("signal", "i").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.first("head", ignorenulls=True).alias("head"))
+    out: dict[str, tuple[int, np.ndarray, np.ndarray]] = {}
     for r in cells.collect():  # signals times size^2
-        n, g = out.setdefault(r.signal, (r.n, np.zeros(size * size)))
-        g[r.i] = r.v
-    return {s: (n, g.reshape(size, size)) for s, (n, g) in out.items()}
+        if r.signal not in out:
+            out[r.signal] = (r.n, np.zeros(size * size), np.array(r.head or [], float))
+        out[r.signal][1][r.i] = r.v
+    return {s: (n, g.reshape(size, size), head) for s, (n, g, head) in out.items()}
+
+
+def _columns(x: np.ndarray, d: np.ndarray, at: np.ndarray, lags: int) -> np.ndarray:
+    return np.stack([d[at - 1], np.ones(len(at)), x[at - 1]] + [d[at - 1 - k] for k in range(1, lags + 1)])
+
+
+def _more_rows(n: int, g: np.ndarray, head: np.ndarray, lags: int, k: int) -> tuple[int, np.ndarray]:
+    """Rows and Gram matrix for k lags from those for `lags`: fewer lags leave room for the rows k + 1 to lags, which the first values give."""
+    at = np.arange(k + 1, lags + 1)
+    z = _columns(head, np.diff(head), at, k) if at.size else np.zeros((k + 3, 0))
+    return n + at.size, g[: k + 3, : k + 3] + z @ z.T
 
 
 def _fit(g: np.ndarray, n: int, lags: int) -> tuple[float, float]:
@@ -126,28 +139,27 @@ def _fit(g: np.ndarray, n: int, lags: int) -> tuple[float, float]:
     return aic, float(beta[1] / math.sqrt(max(rss / max(n - k, 1) * inverse[1, 1], 1e-300)))
 
 
-def stationarity(long: DataFrame, max_samples: int = 100_000) -> DataFrame:
-    """Augmented Dickey-Fuller per signal, constant only, lags by AIC up to ceil(12 (n / 100)^(1/4)); every (n // max_samples)-th row of longer series.
+def stationarity(long: DataFrame, max_samples: int | None = None) -> DataFrame:
+    """Augmented Dickey-Fuller per signal over all rows, constant only, lags by AIC up to ceil(12 (n / 100)^(1/4)).
 
+    With max_samples every (n // max_samples)-th row is taken instead.
     (signal, n, lags, adf_statistic, p_value, critical values, is_stationary, reading). Too short or constant: statistic 0, p 1.
     """
     spark = long.sparkSession
-    total = long.select("signal", "gidx").groupBy("signal").count().agg(F.max("count")).first()[0] or 0
-    step = max(1, total // max_samples)
-    rows = long.where(F.col("gidx") % step == 0).select("signal", F.floor(F.col("gidx") / step).cast("long").alias("gidx"), "value")
+    seen = long.groupBy("signal").agg(F.count("*").alias("n"), F.stddev_pop("value").alias("s")).collect()  # a row a signal
+    total = max((r.n for r in seen), default=0)
+    step = max(1, total // max_samples) if max_samples else 1
+    rows = long if step == 1 else long.where(F.col("gidx") % step == 0).withColumn("gidx", F.floor(F.col("gidx") / step).cast("long"))
     n = -(-total // step)
     lags = max(0, min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2))
-    flat = {r.signal for r in rows.groupBy("signal").agg(F.stddev_pop("value").alias("s")).where(~(F.col("s") > TINY)).collect()}
     out = []
     if n >= 6:
-        same = _gram(rows, lags, lags + 1)
-        best = {s: min(range(lags + 1), key=lambda k: _fit(g, m, k)[0]) for s, (m, g) in same.items() if s not in flat}
-        again = {k: _gram(rows.where(F.col("signal").isin([s for s, b in best.items() if b == k])), k, k + 1) for k in sorted(set(best.values()))}
-        for s, k in best.items():
-            m, g = again[k][s]
+        for s, (m, g, head) in _gram(rows.where(F.col("signal").isin([r.signal for r in seen if r.s is not None and r.s > TINY])), lags).items():
+            k = min(range(lags + 1), key=lambda k: _fit(g, m, k)[0])  # noqa: B023
+            m, g = _more_rows(m, g, head, lags, k)
             tau = _fit(g, m, k)[1]
             out.append((s, m, k, tau, adf_p(tau), [float(sum(c / m**j for j, c in enumerate(cs))) for cs in _CRITICAL.values()]))
-    out += [(s, int(n), 0, 0.0, 1.0, [None] * 3) for s in {r.signal for r in long.select("signal").distinct().collect()} - {x[0] for x in out}]
+    out += [(s, int(n), 0, 0.0, 1.0, [None] * 3) for s in {r.signal for r in seen} - {x[0] for x in out}]
     rows_ = [(s, m, k, t, p, *c, p < 0.05, "stationary" if p < 0.05 else "marginal" if p < 0.1 else "non-stationary") for s, m, k, t, p, c in sorted(out)]
     return spark.createDataFrame(rows_, "signal string, n long, lags int, adf_statistic double, p_value double, critical_1 double, critical_5 double, critical_10 double, is_stationary boolean, reading string")
 
@@ -155,8 +167,10 @@ def stationarity(long: DataFrame, max_samples: int = 100_000) -> DataFrame:
 def running_day_moments(long: DataFrame) -> DataFrame:
     """(signal, date, n, mean, std) over each day and all before it, from per-day moments: the mergeable form of a running statistic."""
     day = long.groupBy("signal", "date").agg(F.count("value").alias("_n"), F.avg("value").alias("_m"), F.var_pop("value").alias("_v"))
+    # measured from the signal's first day, so that no digits go where the mean is much larger than the spread
+    day = day.withColumn("_o", F.coalesce(F.first("_m", ignorenulls=True).over(Window.partitionBy("signal").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0.0)))
     w = Window.partitionBy("signal").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.sum("_n").over(w)
-    mean = F.sum(F.col("_n") * F.col("_m")).over(w) / n
-    square = F.sum(F.col("_n") * (F.col("_v") + F.col("_m") * F.col("_m"))).over(w) / n
-    return day.select("signal", "date", n.alias("n"), mean.alias("mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std"))
+    n, off = F.sum("_n").over(w), F.col("_m") - F.col("_o")
+    mean = F.sum(F.col("_n") * off).over(w) / n
+    square = F.sum(F.col("_n") * (F.col("_v") + off * off)).over(w) / n
+    return day.select("signal", "date", n.alias("n"), (F.col("_o") + mean).alias("mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std"))

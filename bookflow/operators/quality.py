@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import finite, is_finite
@@ -24,11 +24,13 @@ def column_stats(long: DataFrame, by: tuple[str, ...] = ("signal",)) -> DataFram
 
 def merge_stats(parts: DataFrame, by: tuple[str, ...] = ("signal",)) -> DataFrame:
     """Statistics of a whole from rows (n, mean, std, min, max) of its parts: the parallel combination of moments."""
-    full = parts.where("n > 0")
+    # means are taken from the first part's, so that no digits go where they are much larger than the spread
+    whole = Window.partitionBy(*by)
+    full = parts.where("n > 0").withColumn("_o", F.first("mean").over(whole)).withColumn("_d", F.col("mean") - F.col("_o"))
     n = F.sum("n")
-    mean = F.sum(F.col("n") * F.col("mean")) / n
-    square = F.sum(F.col("n") * (F.col("std") * F.col("std") + F.col("mean") * F.col("mean"))) / n
-    return full.groupBy(*by).agg(n.alias("n"), mean.alias("mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std"), F.min("min").alias("min"), F.max("max").alias("max"))
+    off = F.sum(F.col("n") * F.col("_d")) / n
+    square = F.sum(F.col("n") * (F.col("std") * F.col("std") + F.col("_d") * F.col("_d"))) / n
+    return full.groupBy(*by).agg(n.alias("n"), (F.first("_o") + off).alias("mean"), F.sqrt(F.greatest(square - off * off, F.lit(0.0))).alias("std"), F.min("min").alias("min"), F.max("max").alias("max"))
 
 
 def data_quality(long: DataFrame) -> DataFrame:

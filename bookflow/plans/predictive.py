@@ -47,15 +47,39 @@ def trade_rank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pre.rank_metrics(pre.labelled(long_form(trades(spark, sf_dir), TRADE_SIGNALS)))
 
 
-@query()
+#: The nearest-neighbour estimate: the third neighbour's distance within the label, the rows of any label strictly nearer, digamma as harmonic sums.
+_MI = """
+c1 AS (SELECT signal, label, value, count(*) OVER (PARTITION BY signal, label) AS ny FROM long WHERE isfinite(value)),
+c2 AS (SELECT signal, label, value, ny, list_sort([value - lag(value, 1) OVER o, value - lag(value, 2) OVER o, value - lag(value, 3) OVER o, lead(value, 1) OVER o - value, lead(value, 2) OVER o - value, lead(value, 3) OVER o - value], 'ASC', 'NULLS LAST')[least(3, ny - 1)] AS radius
+  FROM c1 WHERE ny > 1 WINDOW o AS (PARTITION BY signal, label ORDER BY value)),
+c3 AS (SELECT signal, label, value, ny, radius, count(*) AS n FROM c2 GROUP BY ALL),
+c4 AS (SELECT signal, value AS other, count(*) AS many FROM c2 GROUP BY ALL),
+c5 AS (SELECT c3.signal, c3.label, c3.value, any_value(ny) AS ny, any_value(n) AS n, sum(many) AS m FROM c3 JOIN c4 ON c4.signal = c3.signal AND CASE WHEN radius > 0 THEN other > value - radius AND other < value + radius ELSE other = value END GROUP BY c3.signal, c3.label, c3.value),
+hs AS (SELECT i, coalesce(sum(CAST(1 AS DOUBLE) / (i - 1)) OVER (ORDER BY i), 0) - 0.57721566490153286 AS psi FROM range(1, 1 + (SELECT max(n) FROM (SELECT count(*) AS n FROM long GROUP BY signal))) t(i) WHERE i > 1 UNION ALL SELECT 1, -0.57721566490153286),
+mi AS (SELECT c5.signal, greatest(0, any_value(ht.psi) + sum(n * (hk.psi - hy.psi - hm.psi)) / sum(n)) AS nats
+  FROM c5 JOIN (SELECT signal, sum(n) AS total FROM c5 GROUP BY signal) t ON t.signal = c5.signal JOIN hs ht ON ht.i = t.total JOIN hs hk ON hk.i = least(3, ny - 1) JOIN hs hy ON hy.i = ny JOIN hs hm ON hm.i = m GROUP BY c5.signal)"""
+
+
+@query(
+    ticks_sql(
+        f"""SELECT b.signal, n AS n_samples, {r_("r")} AS pearson_r, {r_("mean_up")} AS mean_up, {r_("mean_stable")} AS mean_stable, {r_("mean_down")} AS mean_down, {r_("rs")} AS spearman_r, {r_("auc_up")} AS auc_up, {r_("auc_down")} AS auc_down,
+  {r_("nats", 5)} AS mi_nats, {r_("nats / ln(2)", 5)} AS mi_bits, {r_(tail_("r", "n"), 5)} AS pearson_p, {r_(tail_("rs", "n"), 5)} AS spearman_p, CASE WHEN b.signal <> 'k' THEN '-' END AS expected_sign, CASE WHEN b.signal <> 'k' THEN r < 0 END AS sign_consistent
+FROM b JOIN rm ON rm.signal = b.signal JOIN mi ON mi.signal = b.signal""",
+        f"b AS (SELECT signal, count(*) AS n, {corr_('value', 'label')} AS r, avg(value) FILTER (WHERE label = 1) AS mean_up, avg(value) FILTER (WHERE label = 0) AS mean_stable, avg(value) FILTER (WHERE label = -1) AS mean_down FROM long GROUP BY signal)",
+        _RANKS.format(of="long"),
+        f"rm AS (SELECT signal, corr(rx, ry) AS rs, {auc_(1, False)} AS auc_up, {auc_(-1, True)} AS auc_down FROM rk GROUP BY signal)",
+        _MI,
+    )
+)
 def signal_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of a signal's predictive power; the nearest-neighbour estimate has no SQL form."""
-    return pre.signal_metrics(tick_long(spark, sf_dir, gidx=False), {"v": "-", "dv": "-"})
+    """All of a signal's predictive power."""
+    got = pre.signal_metrics(tick_long(spark, sf_dir, gidx=False), {"v": "-", "dv": "-"})
+    return got.withColumns({c: F.round(c, 5) for c in ("mi_nats", "mi_bits", "pearson_p", "spearman_p")})
 
 
-@query()
+@query(ticks_sql(f"SELECT signal, {r_('nats', 5)} AS mi_nats, {r_('nats / ln(2)', 5)} AS mi_bits FROM mi", _MI))
 def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pre.mutual_information(tick_long(spark, sf_dir, gidx=False))
+    return pre.mutual_information(tick_long(spark, sf_dir, gidx=False)).withColumns({c: F.round(c, 5) for c in ("mi_nats", "mi_bits")})
 
 
 @query(
@@ -114,13 +138,14 @@ def variance_inflation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [f"e{k}" for k in range(8)]
-    return cor.pca(vectors(spark, sf_dir), names)
+    """Of all components of the embeddings."""
+    df = vectors(spark, sf_dir)
+    return cor.pca(df, [c for c in df.columns if c.startswith("e")])
 
 
 @query()
 def signal_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = tick_frame(spark, sf_dir)
+    df = tick_frame(spark, sf_dir, gidx=False)
     return cor.clusters(cor.correlation_matrix(df, TICK_SIGNALS), TICK_SIGNALS)
 
 
@@ -152,13 +177,23 @@ FROM mo JOIN long l ON l.signal = mo.signal GROUP BY mo.signal, mo.n, mo.mean, m
     )
 )
 def distribution_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dist.distribution_stats(tick_long(spark, sf_dir)).drop("k2", "p_normal")
+    return dist.distribution_stats(tick_long(spark, sf_dir, gidx=False)).drop("k2", "p_normal")
 
 
-@query()
+_SCORES = """
+a1 AS (SELECT signal, CAST(count(*) AS DOUBLE) AS n, avg(value) AS mean, stddev_pop(value) AS sd FROM long GROUP BY signal),
+a2 AS (SELECT l.signal, any_value(n) AS n, avg(pow((value - mean) / sd, 3)) AS s, avg(pow((value - mean) / sd, 4)) AS k FROM long l JOIN a1 ON a1.signal = l.signal WHERE n >= 20 AND sd > 1e-10 GROUP BY l.signal),
+a3 AS (SELECT *, s * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS b2,
+  (k - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x,
+  6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS b1 FROM a2),
+a4 AS (SELECT *, sqrt(2 * (b2 - 1)) - 1 AS w2, 6 + 8 / b1 * (2 / b1 + sqrt(1 + 4 / (b1 * b1))) AS a FROM a3),
+a5 AS (SELECT *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(ln(w2) / 2) AS z1, 1 + x * sqrt(2 / (a - 4)) AS d FROM a4),
+a6 AS (SELECT *, (1 - 2 / (9 * a) - sign(d) * pow((1 - 2 / a) / abs(d), CAST(1 AS DOUBLE) / 3)) / sqrt(2 / (9 * a)) AS z2 FROM a5)"""
+
+
+@query(ticks_sql(f"SELECT signal, {r_('z1 * z1 + z2 * z2')} AS k2, {r_('exp(-(z1 * z1 + z2 * z2) / 2)')} AS p_normal FROM a6", _SCORES))
 def normality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth row, so that small tables have a sample at all."""
-    return dist.normality(tick_long(spark, sf_dir), step=10)
+    return dist.normality(tick_long(spark, sf_dir, gidx=False))
 
 
 @query()

@@ -108,7 +108,7 @@ SELECT '{name}' AS name, array_to_string(list(CAST(CAST({name} AS INTEGER) AS VA
 )
 def categorical_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regimes as expected, labels with an unexpected value, a feature without expectations."""
-    df = tick_frame(spark, sf_dir)
+    df = tick_frame(spark, sf_dir, gidx=False)
     got = q.categorical(df, "regime", [0, 1, 2, 3, 4]).unionByName(q.categorical(df, "label", [0, 1])).unionByName(q.categorical(df, "k", None))
     whole = lambda c, t: F.array_join(F.transform(c, lambda x: x.cast(t).cast("string")), ",").alias(c)
     return got.select("name", whole("unique_values", "int"), whole("value_counts", "long"), "is_valid")
@@ -124,12 +124,12 @@ def _split(df: DataFrame) -> DataFrame:
 
 @query(ticks_sql("SELECT split, count(DISTINCT date) AS n_days, count(*) AS n_samples, count(label) AS n_labels, min(date) AS first_date, max(date) AS last_date FROM t GROUP BY ROLLUP (split)", _SPLIT_SQL))
 def dataset_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q.overview(_split(tick_frame(spark, sf_dir)))
+    return q.overview(_split(tick_frame(spark, sf_dir, gidx=False)))
 
 
 @query(ticks_sql(f"SELECT split, count(*) AS n_samples, count(*) * 392 AS bytes, {r_('count(*) * 392 / CAST(1048576 AS DOUBLE)')} AS mb, {r_('count(*) * 392 / CAST(1073741824 AS DOUBLE)')} AS gb FROM t GROUP BY ROLLUP (split)", _SPLIT_SQL))
 def memory_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q.memory_estimate(_split(tick_frame(spark, sf_dir)))
+    return q.memory_estimate(_split(tick_frame(spark, sf_dir, gidx=False)))
 
 
 @query(
@@ -161,7 +161,7 @@ def day_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def aligned_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A label every second row, windows of five rows; labels past the end take the day's last row."""
-    df = tick_frame(spark, sf_dir).withColumn("split", F.lit("train"))
+    df = tick_frame(spark, sf_dir, gidx=False).withColumn("split", F.lit("train"))
     labels = df.where("seq % 2 = 0").select("split", "date", F.floor(F.col("seq") / 2).cast("long").alias("seq"), "label")
     return aligned(df.select("split", "date", "seq", "v"), labels, window=5, stride=2).select("date", "seq", "label", "v")
 

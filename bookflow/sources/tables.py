@@ -40,7 +40,8 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.date_format("l_shipdate", "yyyy-MM").alias("date"), label.alias("label"), *TRADE_SIGNALS)
 
 
-def vectors(spark: SparkSession, sf_dir: str, width: int = 8) -> DataFrame:
-    """`embeddings` with the first components as signals e0, e1, ..."""
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`embeddings` with every component as a signal e0, e1, ..., as many as the longest vector has."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return v.select("vec_id", (F.pmod("label", F.lit(3)) - 1).cast("int").alias("label"), *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(width)])
+    width = v.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return v.select("vec_id", (F.pmod("label", F.lit(3)) - 1).cast("int").alias("label"), *[F.get("embedding", F.lit(k)).cast("double").alias(f"e{k}") for k in range(width)])
