@@ -14,7 +14,11 @@ is taken, and its positional bytes are the inverted index:
    those that differ in more than `MAX_BITS` (at 0.8 the mean is 233 of 1536, the deviation 14) go before any text
    moves. Of each text's pairs the best is verified by the shingle sets themselves.
 3. Postings that still hold texts of several components are cut into blocks of bounded size, and pairs of
-   blocks are compared by tasks of their own: pairs across components are tallied, filtered and verified.
+   blocks are compared by tasks of their own: pairs across components are tallied and filtered.
+4. What is left is verified between cells: texts whose least similar first text is the same are cut into cells of
+   bounded size, pairs are held as lists under their two cells, and a task for each pair of cells gets every
+   text it needs once and returns a spanning forest of the links. So the rows that move are a text for each cell it has a
+   candidate in, not pairs, though many texts may be alike and below the similarity.
 
 So a group of near copies is joined by a few links a text, and only what is apart after that is compared pair
 by pair. Texts without words are equal to each other and to nothing else.
@@ -34,10 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, numbered, slices
-from .graph import components
+from .graph import components, forest
 from .simhash import TRIPLES
 
 WORDS, LEAST, PRINTS, MIN_SHARED, MAX_BITS, BLOCK = 5, 0.8, 24, 30, 281, 256
+#: A cell holds about so many texts, and shingles, at most (a longer text is a cell by itself, or shares one with few).
+CELL_TEXTS, CELL_SHINGLES = 128, 1 << 20
 _SALT = (np.arange(1, PRINTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(1, -1)
 
 
@@ -96,20 +102,36 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(at)), b.column("b").take(pa.array(at)), pa.array(shared[at].astype(np.int64))], ["a", "b", "shared"])
 
 
+_LISTS = "ca long, cb long, a array<long>, b array<long>, need array<long>"
+
+
 def _cross(block: pa.Table) -> pa.Table:
-    """Pairs across components of a pair of blocks that share enough positional bytes, smaller representative first."""
-    rep, comp, size, x = block.column("rep").to_numpy(), block.column("comp").to_numpy(), block.column("size").to_numpy(), _bytes(block.column("print").combine_chunks())
-    out = [np.zeros((0, 3), np.int64)]
+    """Pairs across components of a pair of blocks that share enough positional bytes, as lists under their two cells."""
+    rep, comp, size, cell = (block.column(k).to_numpy() for k in ("rep", "comp", "size", "cell"))
+    x, left, right = _bytes(block.column("print").combine_chunks()), [], []
     for i in range(len(rep) - 1):
         j = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (np.minimum(size[i + 1 :], size[i]) >= LEAST * np.maximum(size[i + 1 :], size[i])))
         if j.size:
-            shared = (x[j] == x[i]).sum(1)
-            j, shared = j[shared >= MIN_SHARED], shared[shared >= MIN_SHARED]
-            near = _bits(x[j] ^ x[i]) <= MAX_BITS
-            j, shared = j[near], shared[near]
-            out.append(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j]), shared], 1))
-    a, b, shared = np.concatenate(out).T
-    return pa.table({"a": pa.array(a), "b": pa.array(b), "shared": pa.array(shared)})
+            j = j[(x[j] == x[i]).sum(1) >= MIN_SHARED]
+            j = j[_bits(x[j] ^ x[i]) <= MAX_BITS]
+            left.append(np.full(j.size, i))
+            right.append(j)
+    i, j = (np.concatenate([np.zeros(0, np.int64), *k]) for k in (left, right))
+    i, j = np.where(cell[i] > cell[j], j, i), np.where(cell[i] > cell[j], i, j)
+    order = np.lexsort((cell[j], cell[i]))
+    i, j = i[order], j[order]
+    ca, cb = cell[i], cell[j]
+    first = np.flatnonzero(np.concatenate([[True], (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1])])) if i.size else i
+    cuts = np.append(first, i.size)
+    need = [np.unique(rep[np.concatenate([i[s:e], j[s:e]])]) for s, e in zip(cuts, cuts[1:])]
+    lists = lambda v, at: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v, pa.int64()))
+    ends = np.cumsum([0, *map(len, need)])
+    return pa.table({"ca": ca[first], "cb": cb[first], "a": lists(rep[i], cuts), "b": lists(rep[j], cuts), "need": lists(np.concatenate([np.zeros(0, np.int64), *need]), ends)})
+
+
+def _alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    both = np.intersect1d(x, y, assume_unique=True).size
+    return both >= least * (x.size + y.size - both)
 
 
 def _jaccard(least: float):
@@ -117,9 +139,7 @@ def _jaccard(least: float):
         for b in batches:
             keep = []
             for k, (x, y) in enumerate(zip(b.column("x"), b.column("y"))):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = np.intersect1d(x, y, assume_unique=True).size
-                if both >= least * (x.size + y.size - both):
+                if _alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), least):
                     keep.append(k)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at)], ["a", "b"])
@@ -127,19 +147,60 @@ def _jaccard(least: float):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts (row, text) have the similarity; only texts of pairs move."""
-    need = materialize(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("need")))
+def _between(least: float):
+    def run(sets: pa.Table, lists: pa.Table) -> pa.Table:
+        """The texts and candidate pairs of two cells -> a spanning forest of the pairs that have the similarity."""
+        rep = sets.column("rep").to_numpy()
+        order = np.argsort(rep)
+        rep, s = rep[order], [np.frombuffer(sets.column("s")[k].as_py(), np.uint64) for k in order.tolist()]
+        i, j = (np.searchsorted(rep, lists.column(k).combine_chunks().flatten().to_numpy()) for k in ("a", "b"))
+        i, j = np.divmod(np.unique(np.minimum(i, j) * len(rep) + np.maximum(i, j)), len(rep))
+        labels = np.arange(len(rep))
+        for a, b in zip(i.tolist(), j.tolist()):
+            if labels[a] != labels[b] and _alike(s[a], s[b], least):
+                labels = forest(labels, np.array([a]), np.array([b]))
+        out = np.flatnonzero(labels != np.arange(len(rep)))
+        return pa.table({"a": rep[out], "b": rep[labels[out]]})
+
+    return run
+
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(need: DataFrame, texts: DataFrame) -> DataFrame:
+    """(row, s): the shingle sets of the texts (row, text) that need (need) names; only these texts move."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([shingle_set(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["row", "s"])
 
-    held = materialize(texts.join(need, F.col("row") == F.col("need"), "left_semi").mapInArrow(sets, "row long, s binary"))
+    need = materialize(need.distinct())
+    return materialize(texts.join(need, F.col("row") == F.col("need"), "left_semi").mapInArrow(run, "row long, s binary"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts (row, text) have the similarity."""
+    held = _sets(pairs.select(F.col("a").alias("need")).union(pairs.select("b")), texts)
     both = pairs.join(held.select(F.col("row").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("row").alias("b"), F.col("s").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_jaccard(least), "a long, b long")
 
 
+def _verified_lists(lists: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b): of each two cells a spanning forest of their pairs that have the similarity; the lists are of `_LISTS`."""
+    need = materialize(lists.select("ca", "cb", F.explode("need").alias("rep")).distinct())
+    held = _sets(need.select(F.col("rep").alias("need")), texts)
+    sets = need.join(held, F.col("rep") == F.col("row")).select("ca", "cb", "rep", "s")
+    return sets.groupBy("ca", "cb").cogroup(lists.select("ca", "cb", "a", "b").groupBy("ca", "cb")).applyInArrow(_between(least), "a long, b long")
+
+
+def _cells(heads: DataFrame, stars: DataFrame) -> DataFrame:
+    """(rep, cell): texts of one least similar first text are near each other, and are dealt to cells of bounded size."""
+    home = stars.groupBy("b").agg(F.min("a").alias("home"))
+    at = heads.join(home, F.col("rep") == F.col("b"), "left").select("rep", "size", F.coalesce("home", "rep").alias("home"))
+    n = F.greatest(F.ceil(F.count("*") / CELL_TEXTS), F.ceil(F.sum("size") / CELL_SHINGLES))
+    many = at.groupBy("home").agg(n.alias("n")).where("n > 1").select(F.col("home").alias("of"), "n")
+    slot = F.coalesce(F.pmod(F.xxhash64("rep"), F.col("n")), F.lit(0))
+    return at.join(many, F.col("home") == F.col("of"), "left").select("rep", F.xxhash64("home", slot).alias("cell"))
+
+
 def groups(texts: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """(row, comp) for every row of texts (row long, text string): comp is the least row of its group."""
     own = materialize(texts.select("row", "text").mapInArrow(_prints, "row long, same binary, size int, print binary"))
@@ -155,7 +216,7 @@ def groups(texts: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFr
     stars = materialize(stars.join(side("a", "p", "m"), "a").join(side("b", "q", "n"), "b").where(near).select("a", "b", "p", "q").mapInArrow(_tally, "a long, b long, shared long"))
     best = stars.groupBy("b").agg(F.max(F.struct("shared", F.col("a").alias("a"))).alias("x")).select(F.col("x.a").alias("a"), "b")
     links = materialize(_verified(best, texts, least))
-    comp = materialize(_named(heads, links))
+    comp = materialize(_named(heads, links).join(_cells(heads, stars), "rep"))
     # postings whose texts are still apart
     apart = met.where("n > 2").join(comp, "rep").groupBy("posting").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("n").alias("n")).where("lo < hi")
     apart = apart.select(F.col("posting").alias("of"), F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks"))
@@ -163,11 +224,11 @@ def groups(texts: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFr
     # the same texts often meet in many postings of one family: one group for equal lists is not sought, blocks are
     held = held.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     held = held.select("posting", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "rep").join(heads, "rep").join(comp, "rep")
-    found = held.groupBy("posting", "bi", "bj").applyInArrow(_cross, "a long, b long, shared long")
-    more = materialize(found.select("a", "b").union(stars.select("a", "b")).distinct())
-    of = lambda k, c: comp.select(F.col("rep").alias(k), F.col("comp").alias(c))
-    more = materialize(more.join(of("a", "ca"), "a").join(of("b", "cb"), "b").where("ca <> cb").select("a", "b").join(best.select(F.col("a").alias("a"), "b"), ["a", "b"], "left_anti"))
-    links = links.union(_verified(more, texts, least))
+    found = held.groupBy("posting", "bi", "bj").applyInArrow(_cross, _LISTS)
+    of = lambda k: comp.select(F.col("rep").alias(k), F.col("comp").alias(f"m{k}"), F.col("cell").alias(f"c{k}"))
+    rest = stars.join(best, ["a", "b"], "left_anti").join(of("a"), "a").join(of("b"), "b").where("ma <> mb")
+    rest = rest.select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), F.array("a").alias("a"), F.array("b").alias("b"), F.array("a", "b").alias("need"))
+    links = links.union(materialize(_verified_lists(materialize(found.union(rest)), texts, least)))
     comp = _named(first.select("rep"), links)
     return own.select("row", "same").join(first, "same").join(comp, "rep").select("row", "comp")
 
