@@ -1,8 +1,8 @@
-"""The registered queries of this subpackage; none of the ten can be written in SQL, so tests hold them against brute force."""
+"""The registered queries of this subpackage; none of them can be written in SQL, so tests hold them against brute force."""
 
 from __future__ import annotations
 
-from . import brown, covertree, decontaminate, langid, packing, pages, secrets, sharding, simhash, tokencount
+from . import brown, covertree, decontaminate, langid, negatives, packing, pages, repair, secrets, sharding, simhash, tokencount, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_bfd_sharding": sharding.op8,
         "op9_decontaminate": decontaminate.op9,
         "op10_cover_tree": covertree.op10,
+        "op11_toxicity": toxicity.op11,
+        "op12_hard_negatives": negatives.op12,
+        "op13_turn_repair": repair.op13,
     }
 
 
