@@ -9,15 +9,17 @@ nothing about unseen ones, the ending of its last two characters (the `SUFFIXES`
 words, one item for the rest). Exchange clustering
 moves an item to the class where it gains most likelihood of the class bigrams:
 
-* the `TOP` most frequent words one at a time, from their dense bigram counts, until none moves;
-* then all items in sweeps over the corpus: Spark adds up how often each item follows and precedes each class, and
-  each item moves by the same gain against the class bigrams as they stand. In the first sweep every item outside
-  the top enters its best class; in later ones a salted half of the items may move at a time, as neighbours
-  that move together do not see each other. Sweeps end when no item moves, when the likelihood of the class
-  bigrams rises by less than `LEVEL` of itself, or after `SWEEPS`.
-
-So each word has a class, by itself or by its ending; the end of a text has its own. What is broadcast and collected is
-bounded by items x classes, parameters both.
+* the bigrams of items are counted once over the corpus, into a table of (item, next item, count);
+* the `TOP` most frequent words move one at a time, from their dense bigram counts, until none moves;
+* then all items move in sweeps over that table: Spark adds up how often each item follows and precedes each class, and each
+  item's best class is found by the same gain against the class bigrams as they stand. In the first sweep every item
+  outside the top enters its best class. In later ones a half of the items, another each time, may move; as neighbours that move
+  together do not see each other, the moves are tried all at once, then the half of most gain and so on (`HALVINGS`), until the
+  likelihood of the class bigrams, counted anew, rises; if it does not, the classes stay. Sweeps end when two in a row bring less
+  than `LEVEL` of the likelihood each, or after `SWEEPS`.
+
+So no sweep lowers the likelihood, and each word has a class, by itself or by its ending; the end of a text has its own. What is
+broadcast and collected is bounded by items x classes, parameters both.
 
     P(word | words before) = P(class | class before) * (c + 1) / (T + U + 1)
 
@@ -43,8 +45,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, slices, table
 
-HEAD, TOP, SUFFIXES, CLASSES, SWEEPS, LEVEL, LOW = 65_536, 512, 4096, 64, 6, 0.0005, 8
-KEPT = 300_000
+HEAD, TOP, SUFFIXES, CLASSES, SWEEPS, LEVEL, LOW, HALVINGS = 65_536, 512, 4096, 64, 12, 0.0003, 8, 7
+#: Words and bigrams that a task holds before it passes their counts on.
+KEPT, HELD = 300_000, 1 << 22
 _END = b"\n"  # no word holds a line break
 
 
@@ -205,56 +208,81 @@ class Model:
         return len(words) + 1, int(inside.sum()) + (self.documents > 0), counts, part, [{"word": w, "k": k} for w, k in rare.items()]
 
 
-def _added(encoded: DataFrame, size: int, pairs) -> np.ndarray:
-    """A vector of `size`, a parameter, added up over the encoded corpus: pairs gives the positions that an array of items counts."""
+def item_bigrams(train: DataFrame, shared) -> DataFrame:
+    """(a, b, n): how often item b follows item a in the texts; tasks add up their own first. shared: the broadcast model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, held, n = shared.value.size, [], 0
+
+        def out() -> pa.RecordBatch:
+            key, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array((key // size).astype(np.int32)), pa.array((key % size).astype(np.int32)), pa.array(count)], ["a", "b", "n"])
+
+        for b in slices(batches):
+            seq = shared.value.sequence(b.column("text").to_pylist()).astype(np.int64)
+            held.append(seq[:-1] * size + seq[1:])
+            n += len(seq)
+            if n >= HELD:
+                yield out()
+                n = 0
+        yield out()
+
+    return train.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _added(pairs: DataFrame, size: int, place) -> np.ndarray:
+    """A vector of `size`, a parameter, added up over the item bigrams: place gives positions for arrays of items, -1 for none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(size, np.int64)
         for b in batches:
-            for raw in b.column("items"):
-                held += np.bincount(pairs(np.frombuffer(raw.as_py(), "<i4").astype(np.int64)), minlength=size)
+            at = place(b.column("a").to_numpy(), b.column("b").to_numpy())
+            np.add.at(held, at[at >= 0], b.column("n").to_numpy()[at >= 0])
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["at", "n"])
 
-    got = encoded.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    got = pairs.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size)
     out[got["at"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
-def class_bigrams(encoded: DataFrame, cls: np.ndarray, k: int) -> np.ndarray:
+def class_bigrams(pairs: DataFrame, cls: np.ndarray, k: int) -> np.ndarray:
     """(k, k) bigrams of classes; items without a class yet (-1) are left out."""
-    shared = encoded.sparkSession.sparkContext.broadcast(cls)
+    shared = pairs.sparkSession.sparkContext.broadcast(cls)
 
-    def pairs(seq: np.ndarray) -> np.ndarray:
-        c = shared.value[seq]
-        a, b = c[:-1], c[1:]
-        keep = (a >= 0) & (b >= 0)
-        return a[keep] * k + b[keep]
+    def place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, y = shared.value[a], shared.value[b]
+        return np.where((x >= 0) & (y >= 0), x * k + y, -1)
 
-    return _added(encoded, k * k, pairs).reshape(k, k)
+    return _added(pairs, k * k, place).reshape(k, k)
 
 
-def sweep(encoded: DataFrame, cls: np.ndarray, both: np.ndarray, turn: int) -> list:
-    """(item, class) of the items that move, or enter, by the gain against the class bigrams `both`; at most one row an item."""
+def likelihood(both: np.ndarray) -> float:
+    """Of class bigrams, up to what does not depend on the classes."""
+    return float(_log(both).sum() - _log(both.sum(0)).sum() - _log(both.sum(1)).sum())
+
+
+def sweep(pairs: DataFrame, cls: np.ndarray, both: np.ndarray, turn: int) -> list:
+    """(item, class, gain) of the items that would move, or enter, by the gain against the class bigrams `both`; at most one row an item."""
     n, k = len(cls), len(both)
-    shared = encoded.sparkSession.sparkContext.broadcast((cls, both))
+    shared = pairs.sparkSession.sparkContext.broadcast((cls, both))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Item by class counts of a task: before a class, after one, before itself."""
         own = shared.value[0]
-        held = np.zeros((n, 2 * k + 1), np.int32)
+        held = np.zeros((n, 2 * k + 1), np.int64)
+        flat = held.reshape(-1)
         for b in batches:
-            for raw in b.column("items"):
-                seq = np.frombuffer(raw.as_py(), "<i4").astype(np.int64)
-                c = own[seq]
-                for item, of, shift in ((seq[:-1], c[1:], 0), (seq[1:], c[:-1], k)):
-                    np.add.at(held.reshape(-1), (item * (2 * k + 1) + of + shift)[of >= 0], 1)
-                np.add.at(held[:, 2 * k], seq[:-1][seq[:-1] == seq[1:]], 1)
+            x, y, m = (b.column(c).to_numpy().astype(np.int64) for c in ("a", "b", "n"))
+            for item, of, shift in ((x, own[y], 0), (y, own[x], k)):
+                np.add.at(flat, (item * (2 * k + 1) + of + shift)[of >= 0], m[of >= 0])
+            np.add.at(held[:, 2 * k], x[x == y], m[x == y])
         rows = np.flatnonzero(held.any(1))
         for lo in range(0, rows.size, 4096):
             part = rows[lo : lo + 4096]
-            sparse = [(np.flatnonzero(held[i]).astype("<i2"), held[i][held[i] > 0].astype("<i4")) for i in part]
+            sparse = [(np.flatnonzero(held[i]).astype("<i2"), held[i][held[i] > 0].astype("<i8")) for i in part]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([x.tobytes() for x, _ in sparse], pa.binary()), pa.array([y.tobytes() for _, y in sparse], pa.binary())], ["item", "cells", "counts"])
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,51 +292,64 @@ def sweep(encoded: DataFrame, cls: np.ndarray, both: np.ndarray, turn: int) -> l
             for item, cells, counts in zip(b.column("item").to_pylist(), b.column("cells").to_pylist(), b.column("counts").to_pylist()):
                 if item not in held:
                     held[item] = np.zeros(2 * k + 1)
-                held[item][np.frombuffer(cells, "<i2")] += np.frombuffer(counts, "<i4")
-        moved: list[tuple[int, int]] = []
+                held[item][np.frombuffer(cells, "<i2")] += np.frombuffer(counts, "<i8")
+        moved: list[tuple[int, int, float]] = []
         for item, v in held.items():
             a, r, l, s = int(own[item]), v[:k].copy(), v[k : 2 * k].copy(), v[2 * k]  # noqa: E741
-            if a == k - 1 or (a >= 0 and (item * 2654435761 >> 7) % 2 != turn % 2):
-                continue  # the end, or another half's turn
+            if a == k - 1 or (a >= 0 and (item * 2654435761 + turn * 40503 * 65537 >> 9) & 1):
+                continue  # the end, or the half that waits
             gain = gains(r, l, s if a >= 0 else 0.0, without(r, l, s, a, base) if a >= 0 else base)[: k - 1]
             b = int(np.argmax(gain)) if r.any() or l.any() else item % (k - 1)
             if a < 0 or gain[b] > gain[a] + 1e-6:
-                moved.append((item, b))
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in moved], pa.int64()), pa.array([b for _, b in moved], pa.int64())], ["item", "to"])
+                moved.append((item, b, float(gain[b] - gain[max(a, 0)])))
+        cols = [pa.array([x[c] for x in moved], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
+        yield pa.RecordBatch.from_arrays(cols, ["item", "to", "gain"])
 
-    counted = encoded.mapInArrow(count, "item long, cells binary, counts binary")
-    return counted.repartition(encoded.sparkSession.sparkContext.defaultParallelism, "item").mapInArrow(move, "item long, to long").collect()
+    counted = pairs.mapInArrow(count, "item long, cells binary, counts binary")
+    got = counted.repartition(pairs.sparkSession.sparkContext.defaultParallelism, "item").mapInArrow(move, "item long, to long, gain double").collect()
+    return sorted(((r.item, r.to, r.gain) for r in got), key=lambda r: (-r[2], r[0]))
 
 
-def cluster(encoded: DataFrame, size: int, top: int, classes: int, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each item (the last item, the end, has the last class to itself) and the class bigrams."""
+def cluster(pairs: DataFrame, size: int, top: int, classes: int, sweeps: int = SWEEPS, seen: list[float] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each item (the last item, the end, has the last class to itself) and the class bigrams. seen: gets the likelihood once all items have a class, then after each sweep."""
     m = min(top, size - 1)
 
-    def both_top(seq: np.ndarray) -> np.ndarray:
-        a, b = (np.where(x == size - 1, m, x) for x in (seq[:-1], seq[1:]))
-        keep = (a <= m) & (b <= m) & ((seq[:-1] < m) | (a == m)) & ((seq[1:] < m) | (b == m))
-        return a[keep] * (m + 1) + b[keep]
+    def both_top(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, y = (np.where(v == size - 1, m, np.where(v < m, v, -1)).astype(np.int64) for v in (a, b))
+        return np.where((x >= 0) & (y >= 0), x * (m + 1) + y, -1)
 
     cls = np.full(size, -1)
-    first = exchange(_added(encoded, (m + 1) ** 2, both_top).reshape(m + 1, -1), classes)
+    first = exchange(_added(pairs, (m + 1) ** 2, both_top).reshape(m + 1, -1), classes)
     k = int(first[-1]) + 1
     cls[:m], cls[-1] = first[:-1], k - 1
-    both, before = class_bigrams(encoded, cls, k), None
-    for turn in range(sweeps):
-        moved = sweep(encoded, cls, both, turn)
-        for r in moved:
-            cls[r.item] = r.to
-        if turn == 0:
-            cls[cls < 0] = np.flatnonzero(cls < 0) % max(1, k - 1)  # items without any bigram
-        both = class_bigrams(encoded, cls, k)
-        reached = float(_log(both).sum() - _log(both.sum(0)).sum() - _log(both.sum(1)).sum())
-        if not moved or (before is not None and turn > 1 and reached - before < LEVEL * abs(reached)):
+    for item, to, _ in sweep(pairs, cls, class_bigrams(pairs, cls, k), 0):
+        cls[item] = to if cls[item] < 0 else cls[item]
+    cls[cls < 0] = np.flatnonzero(cls < 0) % max(1, k - 1)  # items without any bigram
+    both = class_bigrams(pairs, cls, k)
+    reached = likelihood(both)
+    seen = [] if seen is None else seen
+    seen.append(reached)
+    part = little = 0
+    for turn in range(1, sweeps):
+        moved, rise = sweep(pairs, cls, both, turn), 0.0
+        for part in range(max(0, part - 1), HALVINGS + 1):  # from twice the share that rose last
+            tried = moved[: -(-len(moved) // 2**part)]
+            if not tried:
+                break
+            new = cls.copy()
+            new[[i for i, _, _ in tried]] = [to for _, to, _ in tried]
+            new_both = class_bigrams(pairs, new, k)
+            if (got := likelihood(new_both)) > reached:
+                cls, both, rise, reached = new, new_both, got - reached, got
+                break
+        seen.append(reached)
+        little = little + 1 if rise < LEVEL * abs(reached) else 0
+        if little == 2:
             break
-        before = reached
     return cls, both
 
 
-def learn(train: DataFrame, counts: DataFrame, head: int = HEAD, top: int = TOP, suffixes: int = SUFFIXES, classes: int = CLASSES, sweeps: int = SWEEPS, low: int = LOW) -> Model:
+def learn(train: DataFrame, counts: DataFrame, head: int = HEAD, top: int = TOP, suffixes: int = SUFFIXES, classes: int = CLASSES, sweeps: int = SWEEPS, low: int = LOW, seen: list[float] | None = None) -> Model:
     """The model of training texts with their materialized word counts."""
     documents = train.count()
     total = counts.agg(F.count("*").alias("u"), F.sum("n").alias("n")).first()
@@ -322,13 +363,8 @@ def learn(train: DataFrame, counts: DataFrame, head: int = HEAD, top: int = TOP,
     model = Model(list(zip(first["word"], first["n"])), low, list(zip(kept["e"], kept["n"], kept["u"])), rest, documents, (total.n or 0) + documents, total.u + (documents > 0))
     shared = train.sparkSession.sparkContext.broadcast(model)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([shared.value.sequence(b.column("text").to_pylist()).tobytes()], pa.binary())], ["items"])
-
-    # the corpus as item numbers, read by every sweep
-    encoded = materialize(train.select("text").mapInArrow(encode, "items binary"))
-    model.classify(*cluster(encoded, model.size, min(top, model.own), classes, sweeps))
+    pairs = materialize(item_bigrams(train, shared))  # read by every sweep
+    model.classify(*cluster(pairs, model.size, min(top, model.own), classes, sweeps, seen))
     return model
 
 

@@ -134,12 +134,14 @@ def test_sweeps_raise_the_likelihood(spark, sf):
     counts = B.word_counts(train)
     reached = []
     for sweeps in (1, 6):
-        model = B.learn(train, counts, head=2000, top=100, suffixes=50, classes=16, sweeps=sweeps)
+        seen = []
+        model = B.learn(train, counts, head=2000, top=100, suffixes=50, classes=16, sweeps=sweeps, seen=seen)
         n = np.zeros_like(model.step)
         for r in train.collect():
             seq = model.cls[model.sequence([r.text])]
             np.add.at(n, (seq[:-1], seq[1:]), 1)
         f = lambda x: (x * np.log(np.maximum(x, 1e-12))).sum()
         reached.append(f(n) - f(n.sum(0)) - f(n.sum(1)))
+        assert seen == sorted(seen) and seen[-1] == pytest.approx(reached[-1], rel=1e-12) and len(seen) == sweeps
         assert len(set(model.cls[:-1].tolist())) > 8 and (model.cls[:-1] < 15).all() and model.cls[-1] == 15
     assert reached[1] > reached[0]
