@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import TINY, normal_cdf
-from .frames import halo, quantiles, ranked
+from .frames import BLOCK, halo, quantiles, ranked
 from .quality import percent
 
 
@@ -94,70 +94,100 @@ def adf_p(tau: float) -> float:
     return normal_cdf(sum(c * tau**k for k, c in enumerate(_SMALL_P if tau <= _TAU_STAR else _LARGE_P)))
 
 
-def _gram(long: DataFrame, lags: int) -> dict[str, tuple[int, np.ndarray, np.ndarray]]:
-    """Per signal: rows and the Gram matrix of (dx_t, 1, x_{t-1}, dx_{t-1}, ..., dx_{t-lags}) over rows t > lags, and the first lags + 1 values. One scan; each task adds up its blocks, and only matrices come back."""
-    size = lags + 3
+#: Blocks whose triangular factors meet in a task.
+_FAN = 64
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("gidx")
-        x, t, own = pdf["value"].to_numpy(), pdf["gidx"].to_numpy(), pdf["_own"].to_numpy()
-        d = np.diff(x)
-        at = np.flatnonzero(own & (t > lags) & (np.arange(len(x)) >= lags + 1))
-        z = _columns(x, d, at, lags)
-        return pd.DataFrame({"signal": [pdf["signal"].iloc[0]], "n": [len(at)], "g": [(z @ z.T).ravel()], "head": [x[: lags + 1] if t[0] == 0 else None]})
 
-    blocks = halo(long.select("signal", "gidx", "value"), lags + 1).groupBy("signal", "_block").applyInPandas(run, "signal string, n long, g array<double>, head array<double>")
-    cells = blocks.select("signal", "n", "head", F.posexplode("g").alias("i", "v")).groupBy("signal", "i").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.first("head", ignorenulls=True).alias("head"))
-    out: dict[str, tuple[int, np.ndarray, np.ndarray]] = {}
-    for r in cells.collect():  # signals times size^2
-        if r.signal not in out:
-            out[r.signal] = (r.n, np.zeros(size * size), np.array(r.head or [], float))
-        out[r.signal][1][r.i] = r.v
-    return {s: (n, g.reshape(size, size), head) for s, (n, g, head) in out.items()}
+def _columns(x: np.ndarray, at: np.ndarray, lags: int) -> np.ndarray:
+    """Rows t of the regression: 1, x_{t-1}, dx_{t-1}, ..., dx_{t-lags}, and last dx_t."""
+    d = np.diff(x)
+    return np.stack([np.ones(len(at)), x[at - 1], *[d[at - 1 - k] for k in range(1, lags + 1)], d[at - 1]], axis=1)
 
 
-def _columns(x: np.ndarray, d: np.ndarray, at: np.ndarray, lags: int) -> np.ndarray:
-    return np.stack([d[at - 1], np.ones(len(at)), x[at - 1]] + [d[at - 1 - k] for k in range(1, lags + 1)])
+def _triangle(rows: np.ndarray) -> np.ndarray:
+    """The square triangular factor of rows, padded with zeros where there are fewer rows than columns."""
+    r = np.linalg.qr(rows, mode="r")
+    return np.concatenate([r, np.zeros((rows.shape[1] - len(r), rows.shape[1]))])
 
 
-def _more_rows(n: int, g: np.ndarray, head: np.ndarray, lags: int, k: int) -> tuple[int, np.ndarray]:
-    """Rows and Gram matrix for k lags from those for `lags`: fewer lags leave room for the rows k + 1 to lags, which the first values give."""
-    at = np.arange(k + 1, lags + 1)
-    z = _columns(head, np.diff(head), at, k) if at.size else np.zeros((k + 3, 0))
-    return n + at.size, g[: k + 3, : k + 3] + z @ z.T
+def _factors(long: DataFrame, lags: int, blocks: int) -> dict[str, tuple[int, np.ndarray, np.ndarray]]:
+    """Per signal: rows and triangular factor of the regression over rows t > lags, and the first lags + 1 values.
 
+    long: (signal, gidx, value), values less their signal's mean, which changes nothing as the regression has a constant, and keeps all
+    digits of a small spread at a large level. Each task factors its blocks; factors are stacked and factored again in a tree,
+    so that no task holds more than `_FAN` of them and no product of the values (whose condition is the square) is formed.
+    """
+    size = lags + 3
 
-def _fit(g: np.ndarray, n: int, lags: int) -> tuple[float, float]:
-    """AIC and the t of the level's coefficient, with the first `lags` differences."""
-    k = lags + 2
-    xx, xy, yy = g[1 : k + 1, 1 : k + 1], g[1 : k + 1, 0], g[0, 0]
-    scale = np.sqrt(np.maximum(np.diagonal(xx), 1e-300))
-    inverse = np.linalg.pinv(xx / np.outer(scale, scale), hermitian=True) / np.outer(scale, scale)
-    beta = inverse @ xy
-    rss = max(float(yy - beta @ xy), 1e-300)
-    aic = n * (math.log(2 * math.pi) + math.log(rss / n) + 1) + 2 * k
-    return aic, float(beta[1] / math.sqrt(max(rss / max(n - k, 1) * inverse[1, 1], 1e-300)))
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("gidx")
+        x, t, own = pdf["value"].to_numpy(), pdf["gidx"].to_numpy(), pdf["_own"].to_numpy()
+        at = np.flatnonzero(own & (t > lags) & (np.arange(len(x)) >= lags + 1))
+        r = _triangle(_columns(x, at, lags)) if len(at) else np.zeros((size, size))
+        return pd.DataFrame({"signal": [pdf["signal"].iloc[0]], "part": [pdf["_block"].iloc[0]], "n": [len(at)], "r": [r.ravel()], "head": [x[: lags + 1] if t[0] == 0 else None]})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = _triangle(np.concatenate([np.asarray(x).reshape(size, size) for x in pdf.sort_values("part")["r"]]))
+        head = next((x for x in pdf["head"] if x is not None), None)
+        return pd.DataFrame({"signal": [pdf["signal"].iloc[0]], "part": [pdf["part"].iloc[0] // _FAN], "n": [pdf["n"].sum()], "r": [r.ravel()], "head": [head]})
+
+    schema = "signal string, part long, n long, r array<double>, head array<double>"
+    parts = halo(long.select("signal", "gidx", "value"), lags + 1).groupBy("signal", "_block").applyInPandas(block, schema)
+    while True:
+        parts = parts.groupBy("signal", F.floor(F.col("part") / _FAN)).applyInPandas(merge, schema)
+        blocks = -(-blocks // _FAN)
+        if blocks <= 1:
+            break
+    got = parts.collect()  # signals times size^2
+    return {x.signal: (x.n, np.array(x.r).reshape(size, size), np.array(x.head or [], float)) for x in got}
+
+
+def _fit(r: np.ndarray, n: int, k: int) -> tuple[float, float]:
+    """AIC and the t of the level's coefficient with the first k lagged differences, from a triangular factor; (inf, 0) where these columns depend on each other."""
+    c = k + 2
+    own = np.abs(np.diagonal(r)[:c])
+    if (own <= 1e-10 * np.sqrt((r[:, :c] ** 2).sum(0))).any():
+        return math.inf, 0.0
+    rss = max(float((r[c:, -1] ** 2).sum()), 1e-300)
+    aic = n * (math.log(2 * math.pi) + math.log(rss / n) + 1) + 2 * c
+    inverse = np.linalg.inv(r[:c, :c])
+    beta = inverse @ r[:c, -1]
+    return aic, float(beta[1] / math.sqrt(max(rss / max(n - c, 1) * float((inverse[1] ** 2).sum()), 1e-300)))
+
+
+def _with_head(r: np.ndarray, n: int, head: np.ndarray, lags: int, k: int) -> tuple[int, np.ndarray]:
+    """Rows and factor for k lags from those for `lags`: fewer lags leave room for the rows k + 1 to lags, which the first values give."""
+    at = np.arange(k + 1, lags + 1)
+    own = r[:, [*range(k + 2), r.shape[1] - 1]]
+    return n + at.size, _triangle(np.concatenate([own, _columns(head, at, k)]) if at.size else own)
 
 
-def stationarity(long: DataFrame, max_samples: int | None = None) -> DataFrame:
-    """Augmented Dickey-Fuller per signal over all rows, constant only, lags by AIC up to ceil(12 (n / 100)^(1/4)).
+def stationarity(long: DataFrame, max_samples: int | None = None, lags: int | None = None) -> DataFrame:
+    """Augmented Dickey-Fuller per signal over all rows, constant only, lags by AIC up to ceil(12 (n / 100)^(1/4)), or `lags` where given.
 
-    With max_samples every (n // max_samples)-th row is taken instead.
+    The lag with the least AIC is read off one triangular factor, over the rows that all lags share; the statistic is then
+    that of all rows which the chosen lag leaves. With max_samples every (n // max_samples)-th row is taken instead.
     (signal, n, lags, adf_statistic, p_value, critical values, is_stationary, reading). Too short or constant: statistic 0, p 1.
     """
     spark = long.sparkSession
-    seen = long.groupBy("signal").agg(F.count("*").alias("n"), F.stddev_pop("value").alias("s")).collect()  # a row a signal
+    # a row a signal
+    seen = long.groupBy("signal").agg(F.count("*").alias("n"), F.stddev_pop("value").alias("s"), F.avg("value").alias("m")).collect()
     total = max((r.n for r in seen), default=0)
     step = max(1, total // max_samples) if max_samples else 1
     rows = long if step == 1 else long.where(F.col("gidx") % step == 0).withColumn("gidx", F.floor(F.col("gidx") / step).cast("long"))
     n = -(-total // step)
-    lags = max(0, min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2))
+    most = max(0, min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)) if lags is None else lags
     out = []
-    if n >= 6:
-        for s, (m, g, head) in _gram(rows.where(F.col("signal").isin([r.signal for r in seen if r.s is not None and r.s > TINY])), lags).items():
-            k = min(range(lags + 1), key=lambda k: _fit(g, m, k)[0])  # noqa: B023
-            m, g = _more_rows(m, g, head, lags, k)
-            tau = _fit(g, m, k)[1]
+    if n >= 2 * most + 6:
+        level = {r.signal: r.m for r in seen if r.s is not None and r.s > TINY}
+        centre = F.col("value")
+        for s, m in level.items():
+            centre = F.when(F.col("signal") == s, F.col("value") - m).otherwise(centre)
+        own = rows.where(F.col("signal").isin(list(level))).withColumn("value", centre)
+        for s, (m, r, head) in (_factors(own, most, n // BLOCK + 2) if level else {}).items():
+            k = min(range(most + 1), key=lambda k: (_fit(r, m, k)[0], k)) if lags is None else lags  # noqa: B023
+            m, r = _with_head(r, m, head, most, k)
+            tau = _fit(r, m, k)[1]
             out.append((s, m, k, tau, adf_p(tau), [float(sum(c / m**j for j, c in enumerate(cs))) for cs in _CRITICAL.values()]))
     out += [(s, int(n), 0, 0.0, 1.0, [None] * 3) for s in {r.signal for r in seen} - {x[0] for x in out}]
     rows_ = [(s, m, k, t, p, *c, p < 0.05, "stationary" if p < 0.05 else "marginal" if p < 0.1 else "non-stationary") for s, m, k, t, p, c in sorted(out)]

@@ -43,11 +43,13 @@ def walk_forward(long: DataFrame, signal: str, min_train_days: int = 3) -> DataF
     """
     own = long.where(F.col("signal") == signal)
     day = own.groupBy("date").agg(F.count("*").alias("_n"), F.avg("value").alias("_m"), F.var_pop("value").alias("_v"))
+    # means are taken from the first day's, so that no digits go where they are much larger than the spread
+    day = day.withColumn("_o", F.coalesce(F.first("_m", ignorenulls=True).over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0.0)))
     w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)  # over one row a day
-    n = F.sum("_n").over(w)
-    mean = F.sum(F.col("_n") * F.col("_m")).over(w) / n
-    square = F.sum(F.col("_n") * (F.col("_v") + F.col("_m") * F.col("_m"))).over(w) / n
-    folds = day.select("date", F.count("*").over(w).alias("train_days"), n.alias("train_n"), mean.alias("_mu"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("_sd")).where(F.col("train_days") >= min_train_days)
+    n, off = F.sum("_n").over(w), F.col("_m") - F.col("_o")
+    apart = F.sum(F.col("_n") * off).over(w) / n
+    square = F.sum(F.col("_n") * (F.col("_v") + off * off)).over(w) / n
+    folds = day.select("date", F.count("*").over(w).alias("train_days"), n.alias("train_n"), (F.col("_o") + apart).alias("_mu"), F.sqrt(F.greatest(square - apart * apart, F.lit(0.0))).alias("_sd")).where(F.col("train_days") >= min_train_days)
     half = F.col("_sd") * 0.5
     said = F.when(F.col("value") > F.col("_mu") + half, 1).when(F.col("value") < F.col("_mu") - half, -1).otherwise(0)
     return (

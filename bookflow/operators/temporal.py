@@ -91,13 +91,18 @@ def decay_summary(decay: DataFrame) -> DataFrame:
 
 def level_vs_change(long: DataFrame, back: int = 10, least: int = 100) -> DataFrame:
     """(signal, level_r, change_r, level_auc, change_auc, recommendation): the value against its change over `back` rows (from the first row where there are fewer). Score |r| + (AUC - 0.5), better by 1.2 times wins."""
-    from .predictive import labelled, rank_metrics
-
     w = block_window("signal")
     first = long.groupBy("signal").agg(F.min_by("value", "gidx").alias("_first"))
     rows = halo(long.select("signal", "gidx", "label", "value"), back).withColumn("_was", F.lag("value", back).over(w)).where("_own").join(F.broadcast(first), "signal")
-    change = F.col("value") - F.coalesce("_was", "_first")
-    both = rows.select("label", F.explode(F.array(F.struct(F.concat(F.col("signal"), F.lit("\tlevel")).alias("signal"), F.col("value").alias("value")), F.struct(F.concat(F.col("signal"), F.lit("\tchange")).alias("signal"), change.alias("value")))).alias("x")).select("label", "x.*")
+    return compare(rows.select("signal", "label", F.col("value").alias("level"), (F.col("value") - F.coalesce("_was", "_first")).alias("change")), least)
+
+
+def compare(rows: DataFrame, least: int = 100) -> DataFrame:
+    """The comparison of level_vs_change for rows (signal, label, level, change)."""
+    from .predictive import labelled, rank_metrics
+
+    kinds = [F.struct(F.concat(F.col("signal"), F.lit(f"\t{k}")).alias("signal"), F.col(k).alias("value")) for k in ("level", "change")]
+    both = rows.select("label", F.explode(F.array(*kinds)).alias("x")).select("label", "x.*")
     r = both.groupBy("signal").agg(F.count("*").alias("n"), F.coalesce(pearson(F.col("value"), F.col("label").cast("double")), F.lit(0.0)).alias("r"))
     got = r.join(rank_metrics(labelled(both)), "signal").select(F.split("signal", "\t")[0].alias("signal"), F.split("signal", "\t")[1].alias("kind"), "n", "r", "auc_up")
     pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))

@@ -40,6 +40,19 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.date_format("l_shipdate", "yyyy-MM").alias("date"), label.alias("label"), *TRADE_SIGNALS)
 
 
+def two_clocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Samples and labels of different lengths: `events` in time order (gidx, v, k), `orders` in key order (i, label), labelled by what they come to."""
+    from ..operators.clocks import with_position
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = e.select("ts", F.col("value").alias("v"), F.get_json_object("props", "$.k").cast("double").alias("k"))
+    samples = with_position(e, F.date_trunc("hour", "ts"), ["ts"]).select("gidx", "v", "k")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
+    label = F.when(F.col("o_totalprice") > 300_000, 1).when(F.col("o_totalprice") < 150_000, -1).otherwise(0)
+    labels = with_position(o, F.floor(F.col("o_orderkey") / 65_536), ["o_orderkey"], out="i").select("i", label.alias("label"))
+    return samples, labels
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`embeddings` with every component as a signal e0, e1, ..., as many as the longest vector has."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
