@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bookflow.operators import quality as q
 from bookflow.operators.frames import long_form
+from bookflow.sources import days as stored
 from bookflow.sources import npy
 from bookflow.streaming import stats as st
 
@@ -62,6 +63,72 @@ def test_read_aligned(spark, root):
     assert quality.nan_count == 3 and quality.columns_with_nan == ["ask_price_l0"]
 
 
+def test_only_the_days_asked_for_are_opened(spark, root, monkeypatch):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, IsNull, LessThanOrEqual, Not
+
+    seen = []
+    monkeypatch.setattr(npy, "opened", lambda path, f=npy.opened: seen.append(path) or f(path))
+
+    def read(filters, kind="features", **options):
+        seen.clear()
+        reader = npy._PushingReader(root, kind, **options)
+        rest = list(reader.pushFilters(filters))
+        batches = [b for p in reader.partitions() for b in reader.read(p)]
+        return rest, {(b.column("split")[0].as_py(), b.column("date")[0].as_py()) for b in batches}, len(set(seen))
+
+    for kind in ("features", "labels"):
+        assert read([EqualTo(("date",), "2025-01-02")], kind) == ([], {("train", "2025-01-02")}, 1)
+        assert read([], kind, splits="train", dates="2025-01-02,2025-01-03") == ([], {("train", "2025-01-02"), ("train", "2025-01-03")}, 2)
+        assert read([In(("split",), ("val", "test"))], kind)[1:] == ({("val", "2025-01-01"), ("test", "2025-02-01")}, 2)
+        assert read([Not(EqualTo(("split",), "train")), LessThanOrEqual(("date",), "2025-01-31")], kind)[1:] == ({("val", "2025-01-01")}, 1)
+    other = [GreaterThan(("seq",), 3), IsNull(("date",))]
+    rest, days, n = read([*other, GreaterThan(("date",), "2025-01-02")])
+    assert rest == other and days == {("train", "2025-01-03"), ("test", "2025-02-01")} and n == 2
+    samples, labels = npy.read_days(spark, root)
+    two = [samples.where(f"date = '{d}' and split = 'train'").groupBy("date").agg(F.count("*").alias("n")) for d in ("2025-01-01", "2025-01-02")]
+    assert sorted(r.date for r in two[0].union(two[1]).collect()) == ["2025-01-01", "2025-01-02"]
+    assert npy.read_aligned(spark, root, splits=["train"], dates=["2025-01-02"]).count() == 20
+    with pytest.raises(ValueError):
+        npy.read_aligned(spark, root, splits=["none"])
+    samples, labels = npy.read_days(spark, root, push=True)
+    one = samples.where("date = '2025-01-02' and split = 'train' and seq >= 5")
+    assert one.rdd.getNumPartitions() == 1 and one.count() == 15
+    x = np.load(f"{root}/train/2025-01-02_sequences.npy")
+    got = {r.seq: r.features for r in one.collect()}
+    assert all(np.array_equal(np.float32(got[k]), x[k, -1]) for k in range(5, 20))
+    assert {len(r.labels) for r in labels.where("split = 'train'").collect()} == {2}
+
+
+def test_inventory_through_spark(spark, root):
+    want = sorted((s, d, k, n) for s, d, k, _, n in npy.inventory(root))
+    assert sorted((r.split, r.date, r.kind, r.bytes) for r in npy.files(spark, "file://" + root).collect()) == want
+    assert npy.header(spark, f"{root}/test/2025-02-01_features.npy")[1:] == ((500, 98), np.dtype("<f4"))
+    got = {r.split or "total": (r.n_days, r.n_samples, r.bytes) for r in npy.sizes(spark, root).collect()}
+    assert got == {k: tuple(int(v[c]) for c in ("n_days", "n_samples", "bytes")) for k, v in npy.file_sizes(root).items()}
+    plan = npy.sizes(spark, root)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
+
+
+def test_stored_days(spark, tmp_path):
+    at = str(tmp_path / "set")
+    make = lambda days, value: spark.createDataFrame([(s, d, k, value) for s, d, n in days for k in range(n)], "split string, date string, seq long, value double")
+    days = [("train", f"2025-01-{d:02}", 10 * d) for d in range(1, 7)] + [("val", "2025-01-01", 5)]
+    stored.store(make(days, 1.0), at)
+    read = lambda: sorted((r.split, str(r.date), r.n, r.s) for r in spark.read.parquet(at + "/rows").groupBy("split", "date").agg(F.count("*").alias("n"), F.sum("value").alias("s")).collect())
+    first = read()
+    for _ in range(2):  # writing a day again changes nothing
+        stored.store(make([days[2]], 1.0), at)
+        assert read() == first and sorted((r.split, r.date, r.n) for r in stored.sizes(spark, at).collect()) == sorted(days)
+    stored.store(make([("train", "2025-01-03", 7)], 2.0), at)
+    assert [x for x in read() if x[:2] == ("train", "2025-01-03")] == [("train", "2025-01-03", 7, 14.0)] and len(read()) == len(days)
+    # 10 + 20 + 7 + 40 rows: the fourth day reaches 50
+    got = stored.until(spark, at, "train", 50)
+    assert sorted({str(r.date) for r in got.collect()}) == [f"2025-01-0{d}" for d in range(1, 5)] and got.count() == 77
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    assert stored.until(spark, at, "train", 0).count() == 0 and stored.until(spark, at, "none", 9).count() == 0 and stored.until(spark, at, "train", 10**9).count() == 10 + 20 + 7 + 40 + 50 + 60
+
+
 def test_streaming_equals_batch(spark, sf, tmp_path):
     rows = spark.read.parquet(f"{sf}/events.parquet").select(F.to_date("ts").alias("date"), F.lit("v").alias("signal"), "value", (F.col("event_id") % 3 - 1).cast("int").alias("label"))
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
