@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import advice, clocks, dynamics, predictive, quality
+from .plans import advice, clocks, dynamics, overview, predictive, quality
 
-_GROUPS = (quality.query, dynamics.query, predictive.query, clocks.query, advice.query)
+_GROUPS = (quality.query, dynamics.query, predictive.query, clocks.query, overview.query, advice.query)
 
 
 def queries() -> dict:

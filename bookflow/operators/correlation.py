@@ -96,19 +96,31 @@ def vif(df: DataFrame, signals: list[str]) -> DataFrame:
 
 
 def clusters(matrix: DataFrame, signals: list[str], threshold: float = 0.5) -> DataFrame:
-    """(cluster_id, signals, mean_within): in order, each free signal leads a cluster that the free signals correlated with it beyond the threshold join (not their own followers)."""
-    r = np.eye(len(signals))
-    for x in matrix.collect():
-        if x.i != x.j:
-            r[x.i, x.j] = r[x.j, x.i] = x.r if x.r is not None else 0.0
-    free, rows = list(range(len(signals))), []
-    while free:
-        lead = free[0]
-        own = [lead] + [j for j in free[1:] if abs(r[lead, j]) > threshold]
-        free = [j for j in free if j not in own]
-        inner = [abs(r[a, b]) for x, a in enumerate(own) for b in own[x + 1 :]]
-        rows.append((len(rows), [signals[k] for k in own], float(np.mean(inner)) if inner else 1.0))
-    return matrix.sparkSession.createDataFrame(rows, "cluster_id int, signals array<string>, mean_within double")
+    """(cluster_id, signals, mean_within): in order, each free signal leads a cluster that the free signals correlated with it beyond the threshold join (not their own followers).
+
+    A recursive query over the matrix's rows: a step takes the first free signal and its free neighbours.
+    """
+    spark = matrix.sparkSession
+    r = matrix.where("i <> j").select("i", "j", F.abs("r").alias("r"))
+    both = r.union(r.select("j", "i", "r"))
+    # a row a signal: itself and its neighbours
+    near = spark.range(len(signals)).select(F.col("id").cast("int").alias("lead")).join(both.where(F.col("r") > threshold), F.col("lead") == F.col("i"), "left")
+    near = near.groupBy("lead").agg(F.collect_list("j").alias("near")).select("lead", F.concat(F.array("lead"), "near").alias("near"))
+    every = F.sort_array(F.collect_list("lead"))
+    steps = f"""
+    WITH RECURSIVE c(cluster_id, own, free) MAX RECURSION LEVEL {len(signals) + 1} AS (
+      SELECT 0, array_intersect(every, near), array_except(every, near) FROM {{all}} JOIN {{near}} ON lead = 0
+      UNION ALL
+      SELECT cluster_id + 1, array_intersect(free, near), array_except(free, near) FROM c JOIN {{near}} ON lead = free[0] WHERE size(free) > 0
+    ) SELECT cluster_id, own FROM c"""
+    own = spark.sql(steps, near=near, all=near.agg(every.alias("every")))
+    members = own.select("cluster_id", F.explode("own").alias("k"))
+    inner = members.alias("a").join(members.alias("b"), F.expr("a.cluster_id = b.cluster_id and a.k < b.k")).select(F.col("a.cluster_id").alias("_c"), F.col("a.k").alias("_a"), F.col("b.k").alias("_b"))
+    # signals without a correlation count as not correlated
+    inner = inner.join(both, F.expr("i = _a and j = _b"), "left").groupBy("_c").agg(F.avg(F.coalesce("r", F.lit(0.0))).alias("_r"))
+    names = F.array(*[F.lit(s) for s in signals])
+    named = own.select("cluster_id", F.transform(F.sort_array("own"), lambda k: F.get(names, k)).alias("signals"))
+    return named.join(inner, F.col("cluster_id") == F.col("_c"), "left").select("cluster_id", "signals", F.coalesce("_r", F.lit(1.0)).alias("mean_within"))
 
 
 def finite_correlation(long: DataFrame, by: tuple[str, ...]) -> DataFrame:

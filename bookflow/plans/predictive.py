@@ -143,7 +143,19 @@ def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cor.pca(df, [c for c in df.columns if c.startswith("e")])
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + ticks_sql("", _MATRIX)[5:].strip()
+    + """, m AS (SELECT i, j, abs(r) AS r FROM cm WHERE i <> j UNION ALL SELECT j, i, abs(r) FROM cm WHERE i <> j),
+nr AS (SELECT list(own ORDER BY i) AS near FROM (SELECT x.i, [x.i] || coalesce(list(m.j) FILTER (WHERE m.r > 0.5), []) AS own FROM (SELECT CAST(unnest(range(3)) AS INTEGER) AS i) x LEFT JOIN m ON m.i = x.i GROUP BY x.i)),
+cl(cluster_id, own, free) AS (
+  SELECT 0, list_filter([0, 1, 2], lambda x: list_contains(near[1], x)), list_filter([0, 1, 2], lambda x: NOT list_contains(near[1], x)) FROM nr
+  UNION ALL SELECT cluster_id + 1, list_filter(free, lambda x: list_contains(near[free[1] + 1], x)), list_filter(free, lambda x: NOT list_contains(near[free[1] + 1], x)) FROM cl, nr WHERE len(free) > 0
+), mem AS (SELECT cluster_id, unnest(own) AS k FROM cl)
+SELECT cluster_id, list_transform(list_sort(own), lambda x: ['v', 'k', 'dv'][x + 1]) AS signals, """
+    + r_("coalesce((SELECT avg(coalesce(m.r, 0)) FROM mem a JOIN mem b ON a.cluster_id = b.cluster_id AND a.k < b.k LEFT JOIN m ON m.i = a.k AND m.j = b.k WHERE a.cluster_id = cl.cluster_id), 1)")
+    + " AS mean_within FROM cl"
+)
 def signal_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = tick_frame(spark, sf_dir, gidx=False)
     return cor.clusters(cor.correlation_matrix(df, TICK_SIGNALS), TICK_SIGNALS)
