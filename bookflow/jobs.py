@@ -7,10 +7,12 @@ rows unless `first_rows` was asked for.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import advice, correlation, distribution, generalization, labels, predictive, quality, regimes, temporal
+from .operators import advice, correlation, distribution, generalization, labels, overview, predictive, quality, regimes, temporal
 from .operators.frames import long_form
 from .schema import LABELS
 
@@ -50,7 +52,8 @@ def label_stage(df: DataFrame, signals: list[str], max_lag: int = 100) -> Stage:
 
 def overview_stage(df: DataFrame, signals: list[str]) -> Stage:
     long = long_form(df, signals)
-    return {
+    splits = {"splits": overview.overview(df, signals)} if "split" in df.columns else {}
+    return splits | {
         "days": labels.day_statistics(df),
         "quality": quality.data_quality(long),
         "label_distribution": quality.label_distribution(df),
@@ -194,36 +197,68 @@ def save_report(spark: SparkSession, stages: dict[str, Stage], path: str, most:
     spark.createDataFrame([(report(stages, most),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def validate(stages: dict[str, Stage]) -> DataFrame:
-    """(name, passed): what must hold of any results. An empty result passes what it says nothing about."""
+def _within(c: str, lo: float, hi: float) -> Column:
+    return F.bool_and(F.col(c).isNull() | F.col(c).between(lo - 1e-9, hi + 1e-9))
 
-    def check(df: DataFrame, name: str, holds) -> DataFrame:
-        return df.agg(F.coalesce(F.bool_and(holds), F.lit(True)).alias("passed")).select(F.lit(name).alias("name"), "passed")
 
-    def within(c: str, lo: float, hi: float):
-        return F.col(c).isNull() | F.col(c).between(lo - 1e-9, hi + 1e-9)
+def _states_add_up() -> Column:
+    each = [F.coalesce(F.sum(F.when(F.col("from_label") == k, F.col("probability"))), F.lit(0.0)) for k in LABELS]
+    return reduce(lambda a, b: a & b, [(F.abs(p - 1) < 1e-9) | (p == 0) for p in each])
 
-    o, la, s, p, t, g, r = (stages[k] for k in ("overview", "labels", "signals", "predictive", "temporal", "generalization", "regimes"))
+
+def checks() -> list[tuple[str, str, str, Column]]:
+    """(stage, result, name, aggregate that is true if the check holds, null if it says nothing): what must hold of any results."""
     counted = F.col("down_count") + F.col("stable_count") + F.col("up_count")
-    whole = la["transitions"].groupBy("from_label").agg(F.sum("probability").alias("p"))
-    days = o["days"].agg(F.sum("n_samples").alias("n"))
-    return advice.together(
-        check(o["label_distribution"], "labels are known", counted == F.col("total")),
-        check(o["quality"], "finite, NaN and infinite values are all values", F.col("finite_count") + F.col("nan_count") + F.col("inf_count") == F.col("total_values")),
-        check(o["column_stats"], "means lie between least and greatest", F.col("mean").between(F.col("min") - 1e-6 * F.abs("min"), F.col("max") + 1e-6 * F.abs("max")) | (F.col("n") == 0)),
-        check(days.join(o["size"], days["n"] == o["size"]["n_samples"], "left"), "days hold all samples", F.col("n_samples").isNotNull()),
-        check(la["autocorrelation"].where("lag = 0"), "a series equals itself", F.abs(F.col("acf") - 1) < 1e-9),
-        check(whole, "transitions add up", (F.abs(F.col("p") - 1) < 1e-9) | (F.col("p") == 0)),
-        check(la["transitions"], "states are labels", F.col("from_label").isin([*LABELS]) & F.col("to_label").isin([*LABELS])),
-        check(s["matrix"], "correlations are within one", within("r", -1, 1)),
-        check(s["variance_inflation"], "variance inflation is at least one", F.col("vif") >= 1 - 1e-9),
-        check(s["components"].groupBy().agg(F.sum("explained").alias("e")), "components explain all", F.abs(F.col("e") - 1) < 1e-6),
-        check(s["stationarity"], "unit-root p is a probability", within("p_value", 0, 1)),
-        check(p["metrics"], "AUC is a probability", within("auc_up", 0, 1) & within("auc_down", 0, 1)),
-        check(p["metrics"], "information is not negative", F.col("mi_nats").isNull() | (F.col("mi_nats") >= 0)),
-        check(p["bins"], "bins' shares add up", F.abs(F.col("p_up") + F.col("p_down") + F.col("p_stable") - 1) < 1e-6),
-        check(t["persistence"], "half-lives are positive", F.col("half_life") > 0),
-        check(t["lead_lag"], "lagged correlations are within one", within("max_correlation", -1, 1)),
-        check(g["walk_forward"], "accuracy is a share", within("accuracy", 0, 1)),
-        check(r["correlations"], "correlations by regime are within one", within("correlation", -1, 1)),
-    )
+    share = F.abs(F.col("p_up") + F.col("p_down") + F.col("p_stable") - 1) < 1e-6
+    return [
+        ("overview", "label_distribution", "labels are known", F.bool_and(counted == F.col("total"))),
+        ("overview", "quality", "finite, NaN and infinite values are all values", F.bool_and(F.col("finite_count") + F.col("nan_count") + F.col("inf_count") == F.col("total_values"))),
+        ("overview", "column_stats", "means lie between least and greatest", F.bool_and(F.col("mean").between(F.col("min") - 1e-6 * F.abs("min"), F.col("max") + 1e-6 * F.abs("max")) | (F.col("n") == 0))),
+        ("labels", "autocorrelation", "a series equals itself", F.bool_and((F.col("lag") != 0) | (F.abs(F.col("acf") - 1) < 1e-9))),
+        ("labels", "transitions", "transitions add up", _states_add_up()),
+        ("labels", "transitions", "states are labels", F.bool_and(F.col("from_label").isin([*LABELS]) & F.col("to_label").isin([*LABELS]))),
+        ("signals", "matrix", "correlations are within one", _within("r", -1, 1)),
+        ("signals", "variance_inflation", "variance inflation is at least one", F.bool_and(F.col("vif") >= 1 - 1e-9)),
+        ("signals", "components", "components explain all", F.abs(F.sum("explained") - 1) < 1e-6),
+        ("signals", "stationarity", "unit-root p is a probability", _within("p_value", 0, 1)),
+        ("predictive", "metrics", "AUC up is a probability", _within("auc_up", 0, 1)),
+        ("predictive", "metrics", "AUC down is a probability", _within("auc_down", 0, 1)),
+        ("predictive", "metrics", "information is not negative", F.bool_and(F.col("mi_nats").isNull() | (F.col("mi_nats") >= 0))),
+        ("predictive", "bins", "bins' shares add up", F.bool_and(share)),
+        ("temporal", "persistence", "half-lives are positive", F.bool_and(F.col("half_life") > 0)),
+        ("temporal", "lead_lag", "lagged correlations are within one", _within("max_correlation", -1, 1)),
+        ("generalization", "walk_forward", "accuracy is a share", _within("accuracy", 0, 1)),
+        ("regimes", "correlations", "correlations by regime are within one", _within("correlation", -1, 1)),
+    ]
+
+
+_DAYS_HOLD_ALL = "days hold all samples"
+
+
+def validate(stages: dict[str, Stage]) -> DataFrame:
+    """(name, passed): the checks over results that are there. An empty result passes what it says nothing about."""
+    one = [stages[s][r].agg(F.coalesce(holds, F.lit(True)).alias("passed")).select(F.lit(name).alias("name"), "passed") for s, r, name, holds in checks() if r in stages.get(s, {})]
+    if {"days", "size"} <= set(stages.get("overview", {})):
+        days, size = stages["overview"]["days"].agg(F.sum("n_samples").alias("n")), stages["overview"]["size"]
+        both = days.join(size, days["n"] == size["n_samples"], "left").agg(F.bool_and(F.col("n_samples").isNotNull()).alias("passed"))
+        one.append(both.select(F.lit(_DAYS_HOLD_ALL).alias("name"), F.coalesce("passed", F.lit(True)).alias("passed")))
+    return advice.together(*one)
+
+
+def save_checked(stages: dict[str, Stage], path: str) -> list[str]:
+    """save_json() with the checks as metrics observed on each write, so that no result is computed or read again for them. The names of the checks that fail."""
+    failed, samples = [], {}
+    for stage, results in stages.items():
+        for result, df in results.items():
+            own = {name: F.coalesce(holds, F.lit(True)).alias(name) for s, r, name, holds in checks() if (s, r) == (stage, result)}
+            if stage == "overview" and result in ("days", "size"):
+                own["n"] = F.coalesce(F.sum("n_samples"), F.lit(0)).alias("n")
+            seen = Observation(f"{stage}/{result}") if own else None
+            (df.observe(seen, *own.values()) if seen else df).write.mode("overwrite").json(f"{path.rstrip('/')}/{stage}/{result}")
+            got = seen.get if seen else {}
+            if "n" in got:
+                samples[result] = got.pop("n")
+            failed += [name for name, passed in got.items() if not passed]
+    if len(set(samples.values())) > 1:
+        failed.append(_DAYS_HOLD_ALL)
+    return failed

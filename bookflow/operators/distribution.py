@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import TINY, normal_cdf
-from .frames import BLOCK, halo, quantiles, ranked
+from .frames import BLOCK, exact_quantiles, halo
 from .quality import percent
 
 
@@ -18,7 +18,7 @@ def distribution_stats(long: DataFrame, outlier: float = 3.0, step: int = 1, mos
     """Per signal: mean, std, min, max, median, population skewness and excess kurtosis (null when constant), percentage beyond `outlier` deviations, p of normality. NaN spreads, as nothing is filtered."""
     v = F.col("value")
     whole = long.groupBy("signal").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.skewness(v).alias("skewness"), F.kurtosis(v).alias("kurtosis"))
-    middle = quantiles(ranked(long), [0.5]).select("signal", F.col("q").alias("median"))
+    middle = exact_quantiles(long, [0.5]).select("signal", F.col("q").alias("median"))
     far = long.join(F.broadcast(whole.select("signal", "mean", "std")), "signal").groupBy("signal").agg(F.count_if(F.abs(v - F.col("mean")) > outlier * F.col("std")).alias("_far"))
     out = whole.join(middle, "signal", "left").join(far, "signal").withColumn("pct_outliers", F.when(F.col("std") > TINY, percent(F.col("_far"), F.col("n"))).otherwise(0.0)).drop("_far")
     return out.join(normality(long, step, most), "signal", "left")

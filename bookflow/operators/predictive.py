@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import correlation_p_udf, digamma, finite, pairs, pearson
-from .frames import BUCKETS, quantiles, ranked, value_bucket
+from ..functions.stats import correlation_p_udf, digamma, finite, is_finite, pairs, pearson
+from .frames import BUCKETS, exact_quantiles, ranked, value_bucket
 
 _LABELS = {"n_down": -1, "n_stable": 0, "n_up": 1}
 
@@ -62,13 +62,14 @@ def signal_metrics(long: DataFrame, expected: dict[str, str] | None = None) -> D
 
 def binned_probabilities(long: DataFrame, n_bins: int = 10) -> DataFrame:
     """(signal, bin, n, mean, min, max, p_up, p_down, p_stable) by quantile bins (a, b], the least value in the first; equal edges are one edge. A constant signal has no bins."""
-    values = ranked(long, {k: F.col("label") == v for k, v in _LABELS.items()})
-    edges = quantiles(values, [k / n_bins for k in range(n_bins + 1)]).groupBy("signal").agg(F.sort_array(F.collect_set("q")).alias("_e"))  # n_bins + 1 at most
+    edges = exact_quantiles(long, [k / n_bins for k in range(n_bins + 1)]).groupBy("signal").agg(F.sort_array(F.collect_set("q")).alias("_e"))  # n_bins + 1 at most
     inner = F.slice("_e", F.lit(2), F.greatest(F.size("_e") - 2, F.lit(0)))
-    placed = values.join(F.broadcast(edges), "signal").where(F.size("_e") > 1).withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col("value"))))
-    n = F.sum("n")
-    share = lambda k: F.sum(k) / n
-    return placed.groupBy("signal", "bin").agg(n.alias("n"), (F.sum(F.col("n") * F.col("value")) / n).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), share("n_up").alias("p_up"), share("n_down").alias("p_down"), share("n_stable").alias("p_stable"))
+    rows = long.where(is_finite(F.col("value"))).join(F.broadcast(edges.where(F.size("_e") > 1).select("signal", inner.alias("_i"))), "signal")
+    # comparisons are compiled; a filter over the array would be interpreted for each of its entries
+    above = sum((F.coalesce((F.get("_i", F.lit(k)) < F.col("value")).cast("int"), F.lit(0)) for k in range(n_bins - 1)), F.lit(0))
+    v, n = F.col("value"), F.count("*")
+    share = lambda k: F.count_if(F.col("label") == k) / n
+    return rows.groupBy("signal", above.alias("bin")).agg(n.alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), share(1).alias("p_up"), share(-1).alias("p_down"), share(0).alias("p_stable"))
 
 
 def mutual_information(long: DataFrame, k: int = 3, buckets: int = BUCKETS) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import finite, is_finite
 from ..schema import LABELS
-from .frames import quantiles, ranked
+from .frames import exact_quantiles
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -105,14 +105,14 @@ def shape(samples: DataFrame, labels: DataFrame, expected: int = 98) -> DataFram
 
 
 def signal_statistics(long: DataFrame, outlier: float = 4.0) -> DataFrame:
-    """Per signal: moments, exact quartiles, distinct values, percentage beyond `outlier` deviations. Sorts distinct values only."""
-    values = ranked(long)
-    whole = column_stats(long)
-    q = quantiles(values, [0.25, 0.5, 0.75]).groupBy("signal").agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(c) for p, c in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))])
-    far = values.join(F.broadcast(whole.select("signal", "mean", "std")), "signal").groupBy("signal").agg(
-        F.count("*").alias("n_unique"), F.sum(F.when((F.col("std") > 0) & (F.abs(F.col("value") - F.col("mean")) > outlier * F.col("std")), F.col("n")).otherwise(0)).alias("_far")
-    )
-    return whole.join(q, "signal", "left").join(far, "signal", "left").withColumn("pct_outliers", percent(F.coalesce("_far", F.lit(0)), F.col("n"))).drop("_far")
+    """Per signal: moments, exact quartiles, distinct values, percentage beyond `outlier` deviations. Only distinct values are shuffled, to be counted."""
+    whole, v = column_stats(long), F.col("value")
+    q = exact_quantiles(long, [0.25, 0.5, 0.75]).groupBy("signal").agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(c) for p, c in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))])
+    rows = long.where(is_finite(v))
+    unique = rows.groupBy("signal").agg(F.count_distinct("value").alias("n_unique"))
+    far = rows.join(F.broadcast(whole.select("signal", "mean", "std")), "signal").groupBy("signal").agg(F.count_if((F.col("std") > 0) & (F.abs(v - F.col("mean")) > outlier * F.col("std"))).alias("_far"))
+    out = whole.join(q, "signal", "left").join(unique, "signal", "left").join(far, "signal", "left")
+    return out.withColumn("pct_outliers", percent(F.coalesce("_far", F.lit(0)), F.col("n"))).drop("_far")
 
 
 def overview(df: DataFrame, split: str = "split") -> DataFrame:

@@ -23,6 +23,50 @@ def test_results_hold(saved):
     assert not [r.name for r in jobs.validate(saved).collect() if not r.passed]
 
 
+def _made(spark, **faults):
+    """Small results that hold, but for the faults."""
+    x = {"total": 10, "auc": 0.6, "p": 0.5, "acf": 1.0, "size": 10} | faults
+    row = lambda **c: spark.createDataFrame([tuple(c.values())], list(c))
+    return {
+        "overview": {
+            "label_distribution": row(down_count=3, stable_count=3, up_count=4, total=x["total"]),
+            "days": spark.createDataFrame([("a", 4), ("b", 6)], "date string, n_samples long"),
+            "size": row(n_samples=x["size"]),
+        },
+        "labels": {
+            "autocorrelation": spark.createDataFrame([(0, x["acf"]), (1, 0.2)], "lag int, acf double"),
+            "transitions": spark.createDataFrame([(k, j, x["p"] if k == 0 and j < 1 else 0.5 if j < 1 else 0.0) for k in (-1, 0, 1) for j in (-1, 0, 1)], "from_label int, to_label int, probability double"),
+        },
+        "predictive": {"metrics": spark.createDataFrame([(x["auc"], 0.5, None)], "auc_up double, auc_down double, mi_nats double")},
+        "other": {"free": row(x=1)},
+    }
+
+
+def test_checks_are_observed_on_the_write(spark, tmp_path):
+    sc = spark.sparkContext
+
+    def jobs_of(name, f):
+        sc.setJobGroup(name, name)
+        try:
+            got = f()
+        finally:
+            sc._jsc.sc().clearJobGroup()
+        return got, len(sc.statusTracker().getJobIdsForGroup(name))
+
+    stages = _made(spark)
+    _, plain = jobs_of("plain", lambda: jobs.save_json(stages, str(tmp_path / "a")))
+    failed, checked = jobs_of("checked", lambda: jobs.save_checked(stages, str(tmp_path / "b")))
+    assert failed == [] and plain == checked > 0
+    read = lambda at: {(s, r): sorted(map(str, spark.read.json(str(tmp_path / at / s / r)).collect())) for s in stages for r in stages[s]}
+    assert read("a") == read("b")
+    for fault, names in (({"total": 11}, ["labels are known"]), ({"auc": 1.5}, ["AUC up is a probability"]), ({"p": 0.2}, ["transitions add up"]), ({"acf": 0.9, "size": 9}, ["a series equals itself", "days hold all samples"])):
+        bad = _made(spark, **fault)
+        assert sorted(jobs.save_checked(bad, str(tmp_path / "c"))) == sorted(names)
+        assert sorted(r.name for r in jobs.validate(bad).collect() if not r.passed) == sorted(names)
+    empty = {s: {r: df.limit(0) for r, df in results.items()} for s, results in stages.items() if s == "predictive"}
+    assert jobs.save_checked(empty, str(tmp_path / "d")) == []
+
+
 def test_advice_follows(saved):
     got = {(r.topic, r.code): r.detail for r in saved["training"]["advice"].collect()}
     assert got["features", "primary_signals"].startswith("x") and ("data", "clean") in got and ("training", "predictive_baseline") in got
