@@ -9,10 +9,10 @@ nothing about unseen ones, the ending of its last two characters (the `SUFFIXES`
 words, one item for the rest). Exchange clustering
 moves an item to the class where it gains most likelihood of the class bigrams:
 
-* the bigrams of items are counted once over the corpus, into a table of (item, next item, count);
+* the bigrams of items are counted once over the corpus, into a table with a row per item: its neighbours and their counts;
 * the `TOP` most frequent words move one at a time, from their dense bigram counts, until none moves;
-* then all items move in sweeps over that table: Spark adds up how often each item follows and precedes each class, and each
-  item's best class is found by the same gain against the class bigrams as they stand. In the first sweep every item
+* then all items move in sweeps over that table, which needs no shuffle: each item's best class is found by the same gain against the
+  class bigrams as they stand. In the first sweep every item
   outside the top enters its best class. In later ones a half of the items, another each time, may move; as neighbours that move
   together do not see each other, the moves are tried all at once, then the half of most gain and so on (`HALVINGS`), until the
   likelihood of the class bigrams, counted anew, rises; if it does not, the classes stay. Sweeps end when two in a row bring less
@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, slices, table
 
-HEAD, TOP, SUFFIXES, CLASSES, SWEEPS, LEVEL, LOW, HALVINGS = 65_536, 512, 4096, 64, 12, 0.0003, 8, 7
+HEAD, TOP, SUFFIXES, CLASSES, SWEEPS, LEVEL, LOW, HALVINGS = 65_536, 512, 4096, 64, 8, 0.0005, 8, 2
 #: Words and bigrams that a task holds before it passes their counts on.
 KEPT, HELD = 300_000, 1 << 22
 _END = b"\n"  # no word holds a line break
@@ -231,32 +231,84 @@ def item_bigrams(train: DataFrame, shared) -> DataFrame:
     return train.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def _added(pairs: DataFrame, size: int, place) -> np.ndarray:
-    """A vector of `size`, a parameter, added up over the item bigrams: place gives positions for arrays of items, -1 for none."""
+_ITEMS = "item int, after binary, after_n binary, before binary, before_n binary"
+
+
+def neighbours(pairs: DataFrame) -> DataFrame:
+    """A row per item: the items after it with their counts, and those before it. No row is longer than there are items."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by item; an item may go on in the next batch."""
+        held: list[np.ndarray] = []
+
+        def out(x: np.ndarray) -> pa.RecordBatch:
+            cuts = np.flatnonzero(np.diff(x[0])) + 1
+            parts = np.split(x, cuts, axis=1) if x.shape[1] else []
+            side = lambda p, after: p[:, p[3] == after]
+            cols = [[int(p[0, 0]) for p in parts]]
+            for after in (1, 0):
+                cols += [[side(p, after)[1].astype("<i4").tobytes() for p in parts], [side(p, after)[2].astype("<i8").tobytes() for p in parts]]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], [c.split()[0] for c in _ITEMS.split(", ")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(size, np.int64)
         for b in batches:
-            at = place(b.column("a").to_numpy(), b.column("b").to_numpy())
-            np.add.at(held, at[at >= 0], b.column("n").to_numpy()[at >= 0])
-        at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["at", "n"])
-
-    got = pairs.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size)
-    out[got["at"].to_numpy()] = got["n"].to_numpy()
-    return out
+            held.append(np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("item", "other", "n", "after")]))
+            if held[0][0, 0] != held[-1][0, -1]:
+                x = np.concatenate(held, axis=1)
+                last = int(np.searchsorted(x[0], x[0, -1]))
+                held[:] = [x[:, last:]]
+                yield out(x[:, :last])
+        yield out(np.concatenate(held, axis=1) if held else np.zeros((4, 0), np.int64))
+
+    side = lambda item, other, after: pairs.select(F.col(item).alias("item"), F.col(other).alias("other"), "n", F.lit(after).alias("after"))
+    both = side("a", "b", 1).union(side("b", "a", 0))
+    return both.repartition("item").sortWithinPartitions("item").mapInArrow(pack, _ITEMS)
+
+
+def _sides(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    for item, *raw in zip(*(c.to_pylist() for c in b.columns)):
+        yield (item, *(np.frombuffer(x, t).astype(np.int64) for x, t in zip(raw, ("<i4", "<i8", "<i4", "<i8"))))
+
+
+def _class_counts(other: np.ndarray, n: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    c = own[other]
+    return np.bincount(c[c >= 0], n[c >= 0], k)
 
 
-def class_bigrams(pairs: DataFrame, cls: np.ndarray, k: int) -> np.ndarray:
+def class_bigrams(items: DataFrame, cls: np.ndarray, k: int) -> np.ndarray:
     """(k, k) bigrams of classes; items without a class yet (-1) are left out."""
-    shared = pairs.sparkSession.sparkContext.broadcast(cls)
+    shared = items.sparkSession.sparkContext.broadcast(cls)
 
-    def place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        x, y = shared.value[a], shared.value[b]
-        return np.where((x >= 0) & (y >= 0), x * k + y, -1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((k, k))
+        for b in batches:
+            for item, after, n, _, _ in _sides(b):
+                if shared.value[item] >= 0:
+                    held[shared.value[item]] += _class_counts(after, n, shared.value, k)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(list(held), pa.list_(pa.float64()))], ["of", "n"])
+
+    out = np.zeros((k, k))
+    for r in items.mapInArrow(run, "of long, n array<double>").select("of", F.posexplode("n").alias("at", "n")).groupBy("of", "at").agg(F.sum("n").alias("n")).where("n > 0").collect():
+        out[r.of, r.at] = r.n
+    return out
 
-    return _added(pairs, k * k, place).reshape(k, k)
+
+def top_bigrams(items: DataFrame, m: int, end: int) -> np.ndarray:
+    """(m + 1, m + 1) bigrams of the first m items and, last, the end."""
+    out = np.zeros((m + 1, m + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, found = [], []
+            for item, after, n, _, _ in _sides(b):
+                if item < m or item == end:
+                    keep = (after < m) | (after == end)
+                    rows.append(m if item == end else item)
+                    found.append(np.bincount(np.where(after[keep] == end, m, after[keep]), n[keep], m + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(found, pa.list_(pa.float64()))], ["of", "n"])
+
+    for r in items.mapInArrow(run, "of long, n array<double>").collect():  # a row an item, m + 1 of them
+        out[r.of] = r.n
+    return out
 
 
 def likelihood(both: np.ndarray) -> float:
@@ -264,81 +316,57 @@ def likelihood(both: np.ndarray) -> float:
     return float(_log(both).sum() - _log(both.sum(0)).sum() - _log(both.sum(1)).sum())
 
 
-def sweep(pairs: DataFrame, cls: np.ndarray, both: np.ndarray, turn: int) -> list:
+def sweep(items: DataFrame, cls: np.ndarray, both: np.ndarray, turn: int) -> list:
     """(item, class, gain) of the items that would move, or enter, by the gain against the class bigrams `both`; at most one row an item."""
-    n, k = len(cls), len(both)
-    shared = pairs.sparkSession.sparkContext.broadcast((cls, both))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Item by class counts of a task: before a class, after one, before itself."""
-        own = shared.value[0]
-        held = np.zeros((n, 2 * k + 1), np.int64)
-        flat = held.reshape(-1)
-        for b in batches:
-            x, y, m = (b.column(c).to_numpy().astype(np.int64) for c in ("a", "b", "n"))
-            for item, of, shift in ((x, own[y], 0), (y, own[x], k)):
-                np.add.at(flat, (item * (2 * k + 1) + of + shift)[of >= 0], m[of >= 0])
-            np.add.at(held[:, 2 * k], x[x == y], m[x == y])
-        rows = np.flatnonzero(held.any(1))
-        for lo in range(0, rows.size, 4096):
-            part = rows[lo : lo + 4096]
-            sparse = [(np.flatnonzero(held[i]).astype("<i2"), held[i][held[i] > 0].astype("<i8")) for i in part]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([x.tobytes() for x, _ in sparse], pa.binary()), pa.array([y.tobytes() for _, y in sparse], pa.binary())], ["item", "cells", "counts"])
+    k = len(both)
+    shared = items.sparkSession.sparkContext.broadcast((cls, both))
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, base = shared.value
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            for item, cells, counts in zip(b.column("item").to_pylist(), b.column("cells").to_pylist(), b.column("counts").to_pylist()):
-                if item not in held:
-                    held[item] = np.zeros(2 * k + 1)
-                held[item][np.frombuffer(cells, "<i2")] += np.frombuffer(counts, "<i8")
-        moved: list[tuple[int, int, float]] = []
-        for item, v in held.items():
-            a, r, l, s = int(own[item]), v[:k].copy(), v[k : 2 * k].copy(), v[2 * k]  # noqa: E741
-            if a == k - 1 or (a >= 0 and (item * 2654435761 + turn * 40503 * 65537 >> 9) & 1):
-                continue  # the end, or the half that waits
-            gain = gains(r, l, s if a >= 0 else 0.0, without(r, l, s, a, base) if a >= 0 else base)[: k - 1]
-            b = int(np.argmax(gain)) if r.any() or l.any() else item % (k - 1)
-            if a < 0 or gain[b] > gain[a] + 1e-6:
-                moved.append((item, b, float(gain[b] - gain[max(a, 0)])))
-        cols = [pa.array([x[c] for x in moved], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
-        yield pa.RecordBatch.from_arrays(cols, ["item", "to", "gain"])
-
-    counted = pairs.mapInArrow(count, "item long, cells binary, counts binary")
-    got = counted.repartition(pairs.sparkSession.sparkContext.defaultParallelism, "item").mapInArrow(move, "item long, to long, gain double").collect()
+        for batch in batches:
+            moved: list[tuple[int, int, float]] = []
+            for item, after, after_n, before, before_n in _sides(batch):
+                a = int(own[item])
+                if a == k - 1 or (a >= 0 and (item * 2654435761 + turn * 40503 * 65537 >> 9) & 1):
+                    continue  # the end, or the half that waits
+                r, l = _class_counts(after, after_n, own, k), _class_counts(before, before_n, own, k)  # noqa: E741
+                s = float(after_n[after == item].sum()) if a >= 0 else 0.0
+                gain = gains(r, l, s, without(r, l, s, a, base) if a >= 0 else base)[: k - 1]
+                b = int(np.argmax(gain)) if r.any() or l.any() else item % (k - 1)
+                if a < 0 or gain[b] > gain[a] + 1e-6:
+                    moved.append((item, b, float(gain[b] - gain[max(a, 0)])))
+            cols = [pa.array([x[c] for x in moved], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["item", "to", "gain"])
+
+    got = items.mapInArrow(move, "item long, to long, gain double").collect()
     return sorted(((r.item, r.to, r.gain) for r in got), key=lambda r: (-r[2], r[0]))
 
 
-def cluster(pairs: DataFrame, size: int, top: int, classes: int, sweeps: int = SWEEPS, seen: list[float] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def cluster(items: DataFrame, size: int, top: int, classes: int, sweeps: int = SWEEPS, seen: list[float] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The class of each item (the last item, the end, has the last class to itself) and the class bigrams. seen: gets the likelihood once all items have a class, then after each sweep."""
     m = min(top, size - 1)
 
-    def both_top(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        x, y = (np.where(v == size - 1, m, np.where(v < m, v, -1)).astype(np.int64) for v in (a, b))
-        return np.where((x >= 0) & (y >= 0), x * (m + 1) + y, -1)
-
     cls = np.full(size, -1)
-    first = exchange(_added(pairs, (m + 1) ** 2, both_top).reshape(m + 1, -1), classes)
+    first = exchange(top_bigrams(items, m, size - 1), classes)
     k = int(first[-1]) + 1
     cls[:m], cls[-1] = first[:-1], k - 1
-    for item, to, _ in sweep(pairs, cls, class_bigrams(pairs, cls, k), 0):
+    for item, to, _ in sweep(items, cls, class_bigrams(items, cls, k), 0):
         cls[item] = to if cls[item] < 0 else cls[item]
     cls[cls < 0] = np.flatnonzero(cls < 0) % max(1, k - 1)  # items without any bigram
-    both = class_bigrams(pairs, cls, k)
+    both = class_bigrams(items, cls, k)
     reached = likelihood(both)
     seen = [] if seen is None else seen
     seen.append(reached)
     part = little = 0
     for turn in range(1, sweeps):
-        moved, rise = sweep(pairs, cls, both, turn), 0.0
+        moved, rise = sweep(items, cls, both, turn), 0.0
         for part in range(max(0, part - 1), HALVINGS + 1):  # from twice the share that rose last
             tried = moved[: -(-len(moved) // 2**part)]
             if not tried:
                 break
             new = cls.copy()
             new[[i for i, _, _ in tried]] = [to for _, to, _ in tried]
-            new_both = class_bigrams(pairs, new, k)
+            new_both = class_bigrams(items, new, k)
             if (got := likelihood(new_both)) > reached:
                 cls, both, rise, reached = new, new_both, got - reached, got
                 break
@@ -363,8 +391,8 @@ def learn(train: DataFrame, counts: DataFrame, head: int = HEAD, top: int = TOP,
     model = Model(list(zip(first["word"], first["n"])), low, list(zip(kept["e"], kept["n"], kept["u"])), rest, documents, (total.n or 0) + documents, total.u + (documents > 0))
     shared = train.sparkSession.sparkContext.broadcast(model)
 
-    pairs = materialize(item_bigrams(train, shared))  # read by every sweep
-    model.classify(*cluster(pairs, model.size, min(top, model.own), classes, sweeps, seen))
+    items = materialize(neighbours(item_bigrams(train, shared)))  # read by every sweep
+    model.classify(*cluster(items, model.size, min(top, model.own), classes, sweeps, seen))
     return model
 
 
