@@ -11,11 +11,14 @@ read in blocks of bounded size, each of which is broadcast; the corpus side is o
    corpus: a copy goes unfound if, in each window where it kept n-grams, rarer ones of other copies win.
 3. A document passage that holds a seed of an item is aligned with the whole item by local alignment
    (match 2, mismatch -1, gap -1 a word); the score is divided by that of an exact copy. Pairs that reach
-   `threshold` are contamination: exact, edited and paraphrased copies alike.
+   `threshold` are contamination: exact, edited and paraphrased copies alike. A passage is bounded by the first and
+   last place of its seed in the item and by the ends of a run of near positions in the text, so a seed that repeats
+   in both costs the sum of its repeats, not their product.
 
 Rules: null texts hold nothing; an item of fewer words than an n-gram is evidence of nothing and never
-matches; repeated items or rows are each compared and a pair is returned once with its best score; ties go
-to the first passage; other columns are ignored; empty tables give an empty table.
+matches; repeated items or rows are each compared and a pair of ids is returned once with its best score; items
+or rows without an id are compared like any other, as those of the id null; ties go to the first passage; other
+columns are ignored; empty tables give an empty table.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from .common import materialize, numbered, slices, table
 
 NGRAM, WINDOW, THRESHOLD, BLOCK_BYTES = 3, 3, 0.5, 4 << 20
 MATCH, MISS, GAP = 2, -1, -1
+EXACT_KEYS, _KEY_BITS = 1 << 62, (1 << 62) - 1
 _PUNCT = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
 
@@ -43,13 +47,13 @@ def words(text: str | None) -> list[bytes]:
 class Items:
     """A block of the benchmark: word ids, n-gram keys, and for each n-gram where in which items it is."""
 
-    def __init__(self, rows: list[tuple[int, str | None]], n: int):
+    def __init__(self, rows: list[tuple[int | None, str | None]], n: int):
         self.n, self.vocab = n, {}
         self.ids = [i for i, t in rows]
         self.seqs = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(t)], np.int64) for _, t in rows]
-        self.base = len(self.vocab) + 2
-        if self.base**n >= 2**62:
-            raise ValueError("a benchmark block has too many words for its n-grams' keys")
+        # keys are numbers to the base of the vocabulary; a larger one has hashes, where an equal key is at worst a seed too many
+        self.factor = len(self.vocab) + 2 if (len(self.vocab) + 2) ** n <= EXACT_KEYS else 0x1E3779B97F4A7C15
+        self.sizes = np.array([s.size for s in self.seqs], np.int64)
         flat, item, place = [], [], []
         for k, s in enumerate(self.seqs):
             g = self.grams(s)
@@ -69,7 +73,7 @@ class Items:
         key = np.zeros(parts[0].size, np.int64)
         known = np.ones(parts[0].size, bool)
         for p in parts:
-            key = key * self.base + p
+            key = (key * self.factor + p) & _KEY_BITS
             known &= p > 0
         return np.where(known, key, -1)
 
@@ -163,37 +167,60 @@ def _block(docs: DataFrame, items: Items, window: int, threshold: float) -> Data
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, chosen = shared.value, seeds.value
-        keys, first = np.unique(own.keys[own.at[chosen]], return_inverse=True)
-        chosen = chosen[np.argsort(first, kind="stable")]
-        ends = np.concatenate([[0], np.cumsum(np.bincount(first, minlength=keys.size))]) if keys.size else np.zeros(1, np.int64)
+        keys, of, item, low, high = _places(own, chosen)
+        ends = np.searchsorted(of, np.arange(keys.size + 1))
         for b in slices(batches):
             seq, starts, split = own.encode(b.column("text").to_pylist())
-            pos, key = own.hits(seq, keys)
+            doc, key, head, tail = _runs(own, starts, *own.hits(seq, keys))
             many = ends[key + 1] - ends[key]
-            pos = np.repeat(pos, many)
-            occ = chosen[np.repeat(ends[key], many) + np.arange(pos.size) - np.repeat(np.cumsum(many) - many, many)]
-            doc = np.searchsorted(starts, pos, "right") - 1
-            spans = _spans(own, doc, own.item[occ], pos - starts[doc], own.place[occ], np.diff(starts) - own.n)
+            run = np.repeat(np.arange(key.size), many)
+            at = ends[key[run]] + np.arange(run.size) - np.repeat(np.cumsum(many) - many, many)
+            size = own.sizes[item[at]]
+            pad = own.n + size // 2
+            lo = np.maximum(0, head[run] - high[at] - pad)
+            hi = np.minimum((np.diff(starts) - own.n)[doc[run]], tail[run] - low[at] + size + pad)
+            spans = _merged(doc[run], item[at], lo, hi)
             # a group of passages at a time: a text may hold very many
-            for lo in range(0, len(spans), 2000):
-                yield _rows(own, spans[lo : lo + 2000], seq, starts, split, b.column("doc_id"), threshold)
+            for k in range(0, len(spans), 2000):
+                yield _rows(own, spans[k : k + 2000].tolist(), seq, starts, split, b.column("doc_id"), threshold)
 
     return docs.mapInArrow(search, "doc_id long, item_id long, score double, start_word long, end_word long, passage string")
 
 
-def _spans(own: Items, doc, item, pos, place, length) -> list[tuple[int, int, int, int]]:
-    """(doc, item, from, to): stretches of a document around seeds of an item that an alignment with it can cover."""
-    order = np.lexsort((pos, item, doc))
-    out: list[tuple[int, int, int, int]] = []
-    for d, k, p, q in zip(doc[order].tolist(), item[order].tolist(), pos[order].tolist(), place[order].tolist()):
-        n = len(own.seqs[k])
-        pad = own.n + n // 2
-        lo, hi = max(0, p - q - pad), min(int(length[d]), p - q + n + pad)
-        if out and out[-1][:2] == (d, k) and lo <= out[-1][3]:
-            out[-1] = (d, k, min(lo, out[-1][2]), max(hi, out[-1][3]))
-        else:
-            out.append((d, k, lo, hi))
-    return out
+def _places(own: Items, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The seeds' keys, and by key a row for each item that holds it: the key's index, the item, its first and last place there."""
+    keys, of = np.unique(own.keys[own.at[chosen]], return_inverse=True)
+    order = np.lexsort((own.place[chosen], own.item[chosen], of))
+    of, item, place = of[order], own.item[chosen][order], own.place[chosen][order]
+    first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (item[1:] != item[:-1])][: of.size])
+    last = np.r_[first[1:], of.size][: first.size] - 1
+    return keys, of[first], item[first], place[first], place[last]
+
+
+def _runs(own: Items, starts: np.ndarray, pos: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, key, first, last): positions of a key in a text, those whose passages overlap with any item as one."""
+    doc = np.searchsorted(starts, pos, "right") - 1
+    order = np.lexsort((pos, key, doc))
+    doc, key, pos = doc[order], key[order], (pos - starts[doc])[order]
+    near = own.n + 2 * (own.n + own.n // 2)  # the shortest passage: that of an item of one n-gram
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (pos[1:] - pos[:-1] > near)][: pos.size]
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], pos.size][: first.size] - 1
+    return doc[first], key[first], pos[first], pos[last]
+
+
+def _merged(doc: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Rows (doc, item, from, to): the union of a text's passages for an item."""
+    order = np.lexsort((lo, item, doc))
+    doc, item, lo, hi = doc[order], item[order], lo[order], hi[order]
+    if not doc.size:
+        return np.zeros((0, 4), np.int64)
+    pair = np.cumsum(np.r_[False, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])
+    shift = pair * (int(hi.max()) + 1)  # pairs apart, so that one running maximum serves all
+    reach = np.maximum.accumulate(hi + shift)
+    first = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (lo[1:] + shift[1:] > reach[:-1])])
+    last = np.r_[first[1:], doc.size] - 1
+    return np.stack([doc[first], item[first], lo[first], (reach - shift)[last]], 1)
 
 
 def _rows(own: Items, spans, seq, starts, split, ids, threshold: float) -> pa.RecordBatch:
@@ -214,12 +241,12 @@ def contamination(
 ) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word, passage): the best passage of each pair that reaches the threshold."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("text is not null and item_id is not null")
+    bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("text is not null")
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     out = None
     for k in range(blocks):  # each block has about block_bytes, whatever the benchmark's size
-        part = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).distinct().orderBy("item_id", "text")
+        part = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).distinct().orderBy("item_id", "text")
         found = _block(docs, Items([(r.item_id, r.text) for r in part.collect()], n), window, threshold)
         out = found if out is None else out.union(found)
     rest = F.struct(F.col("score"), -F.col("start_word"), F.col("end_word"), F.col("passage"))

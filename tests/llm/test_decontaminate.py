@@ -98,3 +98,61 @@ def test_empty_tables(spark):
     assert D.contamination(docs.limit(0), items).count() == 0
     assert D.contamination(docs, items.limit(0)).count() == 0
     assert D.contamination(docs, items).count() == 1
+
+
+def test_repeats_cost_their_sum(spark):
+    """A seed that repeats in item and text: passages equal those of every pair of repeats, and long ones end in time."""
+    r = random.Random(6)
+    items = D.Items([(k, " ".join(r.choice("abc") for _ in range(r.randrange(3, 30)))) for k in range(8)] + [(8, "a " * 40)], 3)
+    seeds = items.seeds(np.ones(items.keys.size, np.int64), 3)
+    texts = [" ".join(r.choice("abcx" if r.random() < 0.9 else "yz") for _ in range(r.randrange(0, 150))) for _ in range(40)] + ["a " * 300]
+    seq, starts, split = items.encode(texts)
+    keys, of, item, low, high = D._places(items, seeds)
+    doc, key, head, tail = D._runs(items, starts, *items.hits(seq, keys))
+    ends = np.searchsorted(of, np.arange(keys.size + 1))
+    rows = []
+    for d, k, a, z in zip(doc.tolist(), key.tolist(), head.tolist(), tail.tolist()):
+        for at in range(ends[k], ends[k + 1]):
+            n = len(items.seqs[item[at]])
+            rows.append((d, int(item[at]), max(0, a - int(high[at]) - 3 - n // 2), min(len(split[d]), z - int(low[at]) + n + 3 + n // 2)))
+    got = {(d, i, p) for d, i, lo, hi in D._merged(*np.array(rows).T).tolist() for p in range(lo, hi)}
+    want = set()
+    chosen = {}
+    for c in seeds.tolist():
+        chosen.setdefault(int(items.keys[items.at[c]]), []).append((int(items.item[c]), int(items.place[c])))
+    for d, words_ in enumerate(split):
+        own = items.grams(seq[starts[d] : starts[d] + len(words_)])
+        for p, g in enumerate(own.tolist()):
+            for i, q in chosen.get(g, []):
+                n = len(items.seqs[i])
+                want |= {(d, i, x) for x in range(max(0, p - q - 3 - n // 2), min(len(words_), p - q + n + 3 + n // 2))}
+    assert got == want
+    docs = spark.createDataFrame([(1, "ha " * 100_000), (2, "ho ha " * 20)], "doc_id long, text string")
+    rows = D.contamination(docs, spark.createDataFrame([(1, "ha " * 2_000)], "item_id long, text string")).collect()
+    assert [(x.doc_id, x.score) for x in rows] == [(1, 1.0)]
+
+
+def test_items_without_an_id_are_compared(spark):
+    docs = spark.createDataFrame([(1, "x the quick brown fox jumps over it y", "", 1), (2, "nothing of this kind is here", "", 1), (None, "some other passage of five words or six", "", 1)], DOCS)
+    items = spark.createDataFrame([(None, "the quick brown fox jumps over it", ""), (None, "other passage of five words", ""), (5, "not in any document at all", "")], ITEMS)
+    for block in (1 << 22, 20):
+        got = D.contamination(docs, items, block_bytes=block).collect()
+        assert {(x.doc_id, x.item_id, x.score) for x in got} == {(1, None, 1.0), (None, None, 1.0)}
+    assert [r.doc_id for r in D.drop_contaminated(docs, items).collect()] == [2]
+
+
+def test_hashed_keys_give_the_same(spark, monkeypatch):
+    docs, items = cases()
+    a, b = spark.createDataFrame([(i, t, "", 1) for i, t in docs], DOCS), spark.createDataFrame([(i, t, "") for i, t in items], ITEMS)
+    exact = D.contamination(a, b).collect()
+    monkeypatch.setattr(D, "EXACT_KEYS", 1)
+    assert sorted(D.contamination(a, b).collect()) == sorted(exact)
+
+
+def test_query_equals_aligning_every_pair(spark, monkeypatch):
+    docs, items = cases()
+    frames = {"documents": spark.createDataFrame([(i, t, "", 1) for i, t in docs], DOCS), "benchmark": spark.createDataFrame([(i, t, "") for i, t in items], ITEMS)}
+    monkeypatch.setattr(D, "table", lambda spark, sf_dir, name: frames[name])
+    got = {(x.doc_id, x.item_id): x.score for x in D.op9(spark, "").collect()}
+    want = brute(docs, items)
+    assert got.items() <= want.items() and len(got) >= 0.95 * len(want)
