@@ -6,8 +6,9 @@ stay in one piece: its rows, repeated ones too, are dealt into cuts of about a g
 Items are sorted by size, largest first, and each enters the open bin with the least remaining capacity that
 holds it, found in a balanced tree; a new bin opens where none does.
 
-Near-equal shards: there are at most a few items per grain, `grains` grains a shard, so one task packs them
-whatever the input. Bins of a fixed capacity: as many as the data fill, so items are dealt by hash into classes
+Near-equal shards: the smallest capacity that suffices leaves the last bins short, so items then move or change
+places between the fullest or emptiest bin and another as long as that brings the two nearer to each other. There
+are at most a few items per grain, `grains` grains a shard, so one task packs them whatever the input. Bins of a fixed capacity: as many as the data fill, so items are dealt by hash into classes
 of about `AT_ONCE` bins, each packed by a task of its own, at the price of one open bin a class.
 
 Rules: null text is a group of its own with size 1 a row; equal texts are one group; repeated rows are
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,13 +106,50 @@ def tightest(sizes: list[int], shards: int) -> list[int]:
     return best
 
 
+def levelled(sizes: list[int], bins: list[int], shards: int) -> list[int]:
+    """The bins after moves and exchanges of items that even them out: until they differ by a thousandth of a mean bin, or no such step between an outermost bin and another makes the two more alike."""
+    size, home = np.array(sizes, np.int64), np.array(bins, np.int64)
+    load = np.bincount(home, size, shards).astype(np.int64)
+    slack = int(load.sum()) // shards // 1000
+    while True:
+        order = np.argsort(load, kind="stable")
+        low, high = int(order[0]), int(order[-1])
+        if load[high] - load[low] <= slack:
+            return home.tolist()
+        for full, short in [(int(f), low) for f in order[:0:-1]] + [(high, int(e)) for e in order[1:-1]]:
+            gap = int(load[full] - load[short])
+            if gap <= 1:
+                continue
+            mine, theirs = np.flatnonzero(home == full), np.flatnonzero(home == short)
+            theirs = theirs[np.argsort(size[theirs], kind="stable")]
+            back = np.r_[0, size[theirs]]  # 0: nothing comes back
+            at = np.searchsorted(back, size[mine] - gap / 2)
+            best = None
+            for k in (np.maximum(at - 1, 0), np.minimum(at, back.size - 1)):
+                moved = size[mine] - back[k]
+                miss = np.where((moved > 0) & (moved < gap), np.abs(2 * moved - gap), gap)
+                i = int(miss.argmin())
+                if miss[i] < gap and (best is None or miss[i] < best[0]):
+                    best = (int(miss[i]), int(moved[i]), int(mine[i]), int(k[i]))
+            if best:
+                _, moved, out, k = best
+                home[out] = short
+                if k:
+                    home[theirs[k - 1]] = full
+                load[full] -= moved
+                load[short] += moved
+                break
+        else:
+            return home.tolist()
+
+
 def _packed(shards: int, capacity: int | None):
     """Packs the items of a class: into `shards` bins, or as many of the capacity as it takes."""
 
     def run(items: pa.Table) -> pa.Table:
         items = items.sort_by([("kind", "ascending"), ("item", "ascending"), ("cut", "ascending")])
         sizes = items.column("bytes").to_pylist()
-        bins = tightest(sizes, shards) if capacity is None else best_fit_decreasing(sizes, capacity)[0]
+        bins = levelled(sizes, tightest(sizes, shards), shards) if capacity is None else best_fit_decreasing(sizes, capacity)[0]
         return items.append_column("bin", pa.array(bins, pa.int32()))
 
     return run

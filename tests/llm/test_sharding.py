@@ -101,3 +101,28 @@ def test_classes_and_joined_groups_at_a_fixed_capacity(spark, monkeypatch):
     assert max(size.values()) <= 3000 and set(size) == set(range(len(size)))
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert len(size) <= 1.15 * sum(size.values()) / 3000 + 2
+
+
+def test_levelling_evens_both_sides():
+    r = random.Random(9)
+    for _ in range(40):
+        sizes = [r.choice([1, 2, 3, 5, 8, 20, 53]) for _ in range(r.randrange(0, 300))]
+        shards = r.choice([1, 2, 7, 16])
+        bins = sharding.tightest(sizes, shards)
+        even = sharding.levelled(sizes, bins, shards)
+        load = lambda b: [sum(s for s, x in zip(sizes, b) if x == k) for k in range(shards)]
+        assert max(load(even)) <= max(load(bins)) and min(load(even)) >= min(load(bins))
+        assert max(load(even)) - min(load(even)) <= max(sizes, default=0)
+    even = sharding.levelled([53] * 100, sharding.tightest([53] * 100, 16), 16)
+    assert Counter(Counter(even).values()) == {6: 12, 7: 4}
+
+
+def test_few_rows_fill_every_shard(spark, monkeypatch):
+    docs = [(k, "a" * 52) for k in range(100)] + [(k, str(k)) for k in range(100, 120)]
+    monkeypatch.setattr(sharding, "table", lambda *_: spark.createDataFrame(docs, "doc_id long, text string"))
+    rows = sharding.op8(spark, "").collect()
+    holds(rows, docs)
+    size = Counter()
+    for x in rows:
+        size[x.shard] += x.size
+    assert len(size) == 16 and max(size.values()) - min(size.values()) <= 53
