@@ -7,14 +7,18 @@ element subtree: of its content, and of its shape (the path of tags, classes and
   element with a tenth of the text wins). What lies outside it is left out.
 * A slot on half of the pages is template if it holds a quarter of the host's text at most, or is mostly
   links (`LINKS` a page or more; such slots go inside the article too). So furniture whose words differ from
-  page to page is found as well. The holder of a page's only h1 stays.
+  page to page is found as well. The holder of a page's only h1 stays. Headings, paragraphs, quotes, lists and
+  tables without a name are running text, not furniture: outside the article only their links or their contents
+  make them template, inside it only their contents, and none of them is taken for the article itself.
 * A content on `MIN_PAGES` pages and half of the host's is template outside the article; inside, where
   passages are quoted, it takes `INNER_PAGES` and `INNER_SHARE` of the pages.
 
 What counting cannot see (hosts of few pages, a widget on a few pages) is decided by the meaning of elements
-and of class, id and role words; inside an article only by whole class names and by words for reader
-comments. Where the counts would leave nothing, only these rules are applied. `lists=False` switches the
-class, id and role words off.
+and of class, id and role words. Of a compound name the head decides (`site-footer-wrapper` is a footer, `share-price`
+and `has-sidebar` are none). Inside an article only whole names and words for reader comments count; a header there
+is the article's own, and what is named a menu, share bar, search or related matter goes only if half of its text
+is links. Where the counts would leave nothing, only these rules are applied. `lists=False` switches the class, id
+and role words off.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed,
 empty ones dropped, and the rest joined in page order by one newline. A line break element ends a block.
@@ -53,33 +57,67 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _DROP = frozenset("nav footer aside form script style noscript template iframe svg canvas object button select textarea title head dialog audio video menu noembed noframes xmp".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _ENDS = {"li": ("p", "li"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd"), "tr": ("p", "td", "th", "tr"), "td": ("p", "td", "th"), "th": ("p", "td", "th"), "body": ("head", "p"), "option": ("p",)}
-_COMMENTS = frozenset("comment comments disqus replies respond".split())
+_FLOW = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol li dl dt dd pre figure figcaption".split())
+_TABLE = frozenset("table caption thead tbody tfoot tr td th".split())
+_COMMENTS = frozenset("comment comments disqus replies respond responses".split())
 _WORDS = _COMMENTS | frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login share sharing social related recommended skip pagination pager search toolbar".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
+#: Names that an article's own parts have too (such an element goes if it is links), its header's names,
+#: words that name a part of what stands before them, and words that say the opposite.
+_LINKED = frozenset("menu pager pagination recommended related search share sharing skip social toolbar".split())
+_TITLED = frozenset("header masthead".split())
+_PARTS = frozenset(
+    "area article articles bar block body bottom box btn button buttons col column container content form group holder icon icons inner item items label left link links list main media outer panel post posts right row section slot space stories story text title to top unit wrap wrapper zone".split()
+)
+_NOT = frozenset("has no non with without".split())
 _BODY = ("", "html", "body")
 
 
-def _chrome(attrs: list[tuple[str, str]], inside: bool) -> bool:
+def _furniture(name: str) -> bool:
+    """Whether the head of a class name or id, trailing words for parts aside, is a word for furniture."""
+    words = [w for w in (x.rstrip("0123456789") for x in re.split(r"[^a-z0-9]+", name)) if w.isalpha()]
+    while len(words) > 1 and words[-1] in _PARTS:
+        words.pop()
+    return bool(words) and words[0] not in _NOT and words[-1] in _WORDS
+
+
+def _chrome(tag: str, attrs: list[tuple[str, str]], inside: bool) -> tuple[bool, bool]:
+    """Whether an element's attributes say that it is furniture, and whether only if it is links (inside an article)."""
+    linked = False
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in _ROLES):
-            return True
+            return True, False
         if name in ("class", "id"):
-            split = re.split(r"[^a-z]+", value)
-            if not (_COMMENTS.isdisjoint(split) and _WORDS.isdisjoint(value.split() if inside else split)):
-                return True
-    return False
+            names = value.split()
+            said = set(re.split(r"[^a-z]+", value))
+            if tag == "p" or tag in _INLINE:
+                said.discard("comment")  # a remark; readers' comments are larger elements
+                names = [n for n in names if n != "comment"]
+            if said & _COMMENTS and not said & _NOT:
+                return True, False
+            if not inside and tag not in ("article", "main"):
+                if any(map(_furniture, names)):
+                    return True, False
+                continue
+            hit = _WORDS.intersection(names)
+            if inside:
+                linked |= bool(hit & _LINKED)
+                hit = hit - _LINKED - _TITLED
+            if hit:
+                return True, False
+    return False, linked
 
 
 class _Node:
-    __slots__ = ("tag", "up", "block", "article", "main", "link", "drop", "hash", "slot", "chars", "linked", "links", "at", "depth")
+    __slots__ = ("tag", "up", "block", "article", "main", "link", "drop", "faint", "hash", "slot", "chars", "linked", "links", "at", "depth", "kind")
 
     def __init__(self, tag: str, up: _Node | None, attrs: str, lists: bool):
         found = [(m[1].lower(), (m[2] or m[3] or m[4] or "").lower()) for m in _ATTR.finditer(attrs)] if attrs else []
         self.tag, self.up, self.depth = tag, up, up.depth + 1 if up else 0
         inside = up is not None and up.article
-        chrome = lists and tag not in _BODY and bool(found) and _chrome(found, inside or tag in ("article", "main"))
+        chrome, self.faint = _chrome(tag, found, inside) if lists and tag not in _BODY and found else (False, False)
         self.drop = (up is not None and up.drop) or tag in _DROP or (tag == "header" and not inside) or chrome
         self.main = tag in ("article", "main") and not self.drop
         self.article = inside or self.main
@@ -88,13 +126,16 @@ class _Node:
         self.hash = xxhash.xxh64(f"<{tag}{attrs.strip()}>".encode("utf-8", "replace"))
         self.chars = self.linked = self.links = 0
         self.at = -1
+        self.kind = 0
         if self.block is self:
+            plain = not any(k in ("class", "id") for k, v in found)
+            self.kind = 2 if tag == "h1" and not self.drop else 1 if self.main else 3 if plain and (tag in _FLOW or tag in _TABLE) else 0
             look = " ".join(re.sub(r"\d+", "", v) for k, v in found if k in ("class", "id"))
             self.slot = xxhash.xxh64_intdigest(f"{up.block.slot if up else 0}<{tag} {look}>".encode("utf-8", "replace")) >> 1
 
 
 class Page:
-    """blocks: (text, element, dropped by a rule); elements with text in page order: their parents, content hashes, slots, and whether article or h1; slots: what they hold."""
+    """blocks: (text, element, dropped by a rule); elements with text in page order: their parents, content hashes, slots, and kinds (1 article, 2 h1, 3 running text without a name); slots: what they hold."""
 
     def __init__(self) -> None:
         self.blocks: list[tuple[str, int, bool]] = []
@@ -220,11 +261,14 @@ def parse(page: str | None, lists: bool = True) -> Page:
             out.up.append(x.up.block.at if x.up is not None else -1)
             out.hash.append(x.hash.intdigest() - (1 << 63))
             out.slot.append(x.slot)
-            out.kind.append(2 if x.tag == "h1" and not x.drop else int(x.main))
-            own = out.slots.setdefault(x.slot, [x.depth, int(x.main), int(x.tag in _BODY), 0, 0, 0, 0])
+            out.kind.append(x.kind)
+            own = out.slots.setdefault(x.slot, [x.depth, int(x.main), int(x.tag in _BODY), 0, 0, 0, 0, int(x.tag in _FLOW)])
             for k, v in enumerate((1, x.chars, x.linked, x.links), 3):
                 own[k] += v
-    out.blocks = [(said, x.at, drop) for said, x, drop in blocks if x.at >= 0]
+    for x in made:  # those above come first
+        if x.block is x:
+            x.faint = (x.faint and 2 * x.linked >= x.chars) or (x.up is not None and x.up.block.faint)
+    out.blocks = [(said, x.at, drop or x.faint) for said, x, drop in blocks if x.at >= 0]
     return out
 
 
@@ -242,7 +286,10 @@ def choose(blocks, up, hashes, slots, kind, main, small, menus, outer, inner) ->
     own_title = any(t and inside[i] for i, t in enumerate(title))
     for i in range(n):
         spared = holds[i] or (title[i] and not own_title and not inside[i])
-        by_slot = not spared and (slots[i] in menus or (not inside[i] and slots[i] in small))
+        if inside[i]:
+            by_slot = not spared and kind[i] != 3 and slots[i] in menus
+        else:
+            by_slot = not spared and slots[i] in (menus if kind[i] == 3 else small)
         by_content = not holds[i] and hashes[i] in (inner if inside[i] else outer)
         gone[i] = by_slot or by_content or (up[i] >= 0 and gone[up[i]])
     within = any(inside[i] for _, i, drop in blocks if not drop)
@@ -251,9 +298,9 @@ def choose(blocks, up, hashes, slots, kind, main, small, menus, outer, inner) ->
 
 
 _PARSED = """page_id long, url string, page long, blocks array<struct<text:string,at:int,drop:boolean>>, up array<int>, hash array<long>, slot array<long>, kind array<int>,
-slots array<struct<slot:long,depth:int,main:int,top:int,n:int,chars:long,linked:long,links:int>>"""
+slots array<struct<slot:long,depth:int,main:int,top:int,n:int,chars:long,linked:long,links:int,flow:int>>"""
 _BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("at", pa.int32()), ("drop", pa.bool_())]))
-_SLOTS = pa.list_(pa.struct([("slot", pa.int64()), ("depth", pa.int32()), ("main", pa.int32()), ("top", pa.int32()), ("n", pa.int32()), ("chars", pa.int64()), ("linked", pa.int64()), ("links", pa.int32())]))
+_SLOTS = pa.list_(pa.struct([("slot", pa.int64()), ("depth", pa.int32()), ("main", pa.int32()), ("top", pa.int32()), ("n", pa.int32()), ("chars", pa.int64()), ("linked", pa.int64()), ("links", pa.int32()), ("flow", pa.int32())]))
 
 
 def trees(pages: DataFrame, id_col: str, url_col: str, html_col: str, lists: bool) -> DataFrame:
@@ -265,7 +312,7 @@ def trees(pages: DataFrame, id_col: str, url_col: str, html_col: str, lists: boo
             got = [parse(t, lists) for t in texts]
             same = [xxhash.xxh64_intdigest((t or "").encode("utf-8", "replace")) - (1 << 63) for t in texts]
             blocks = [[dict(zip(("text", "at", "drop"), x)) for x in p.blocks] for p in got]
-            slots = [[dict(zip(("slot", "depth", "main", "top", "n", "chars", "linked", "links"), (s, *v))) for s, v in p.slots.items()] for p in got]
+            slots = [[dict(zip(("slot", "depth", "main", "top", "n", "chars", "linked", "links", "flow"), (s, *v))) for s, v in p.slots.items()] for p in got]
             lists_ = [pa.array([getattr(p, k) for p in got], pa.list_(t)) for k, t in (("up", pa.int32()), ("hash", pa.int64()), ("slot", pa.int64()), ("kind", pa.int32()))]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(same, pa.int64()), pa.array(blocks, _BLOCKS), *lists_, pa.array(slots, _SLOTS)], ["page_id", "url", "page", "blocks", "up", "hash", "slot", "kind", "slots"])
 
@@ -280,12 +327,12 @@ def templates(rows: DataFrame, min_pages: int, share: float, inner_pages: int, i
     first = rows.groupBy("host", "page").agg(F.min("row").alias("row"))
     once = rows.select("row", "host", "hash", "slots").join(first.select("row"), "row", "left_semi")
     slot = once.select("host", F.explode("slots").alias("s")).groupBy("host", "s.slot").agg(
-        F.count("*").alias("pages"), F.max("s.depth").alias("depth"), F.max("s.main").alias("main"), F.max("s.top").alias("top"), F.sum("s.n").alias("n"), F.sum("s.chars").alias("chars"), F.sum("s.linked").alias("linked"), F.sum("s.links").alias("links")
+        F.count("*").alias("pages"), F.max("s.depth").alias("depth"), F.max("s.main").alias("main"), F.max("s.top").alias("top"), F.max("s.flow").alias("flow"), F.sum("s.n").alias("n"), F.sum("s.chars").alias("chars"), F.sum("s.linked").alias("linked"), F.sum("s.links").alias("links")
     )
     total = once.groupBy("host").agg(F.count("*").alias("all"), F.sum(F.expr("aggregate(slots, 0L, (m, s) -> greatest(m, s.chars))")).alias("text"))
     slot = slot.join(total.withColumnRenamed("host", "of"), F.col("host") == F.col("of")).where((F.col("all") >= min_pages) & (F.col("pages") >= share * F.col("all")))
     part = F.col("chars") / F.greatest("text", F.lit(1))
-    likely = (F.col("n") <= 1.2 * F.col("pages")) & (F.col("top") == 0) & F.when(F.col("main") == 1, part >= 0.1).otherwise(part >= 0.5)
+    likely = (F.col("n") <= 1.2 * F.col("pages")) & (F.col("top") == 0) & (F.col("flow") == 0) & F.when(F.col("main") == 1, part >= 0.1).otherwise(part >= 0.5)
     menu = (F.col("linked") >= 0.5 * F.col("chars")) & (F.col("links") >= LINKS * F.col("pages"))
     by_slot = slot.groupBy("host").agg(
         F.max(F.when(likely, F.struct("main", F.when(F.col("main") == 1, part).otherwise(F.col("depth")).alias("by"), F.col("slot")))).alias("best"),

@@ -128,3 +128,34 @@ def test_template_counts_equal_plain_counting(spark):
         assert set(x.inner) == {h for h, m in n.items() if m >= 20 and m >= 0.8 * len(pages)}
         assert set(x.menus) == menus and menus
         assert set(x.small) == {s for s in often - top if held[s] <= chars / 4} | menus
+
+
+def test_articles_keep_parts_with_furniture_names():
+    for part in ("<div class='header'><h1>T</h1></div>", "<ul class='menu'><li>T</li></ul>", "<p class='share'>T</p>", "<div class='related work'><p>T</p></div>", "<table class='search'><tr><td>T</td></tr></table>", "<p class='comment'>T</p>", "<p class='no-comments'>T</p>"):
+        assert text(f"<article>{part}<p>body</p></article>") == "T\nbody", part
+    for part in ("<ul class='menu'><li><a>m</a></li></ul>", "<div class='share'>to <a>friends</a> <a>foes</a></div>", "<div class='related'><h2>See</h2><ul><li><a>one more</a><li><a>two</a></ul></div>", "<div class='comment'>m</div>", "<section id='responses'><p>m</p></section>", "<div class='newsletter'>m</div>"):
+        assert text(f"<article><p>body</p>{part}<p>end</p></article>") == "body\nend", part
+
+
+def test_the_head_of_a_compound_name_decides():
+    for name in ("share-price", "has-sidebar", "header-image", "search-results", "cookie-policy", "no-ads"):
+        assert text(f"<body><p>a</p><div class='{name}'>x</div></body>") == "a\nx", name
+    for name in ("site-footer-wrapper", "global-nav", "ad-300x250", "sidebar2", "related-posts", "skip-to-content", "cookie-notice", "comment-list", "widget_text"):
+        assert text(f"<body><p>a</p><div class='{name}'>x</div></body>") == "a", name
+
+
+def test_flat_pages_keep_their_running_text(spark):
+    """No article element: headings, quotes and lists recur as slots with contents of their own; the footer recurs as a whole, the list of links as links."""
+    rows = []
+    for k in range(12):
+        body = f"<h1>Title {k}</h1><p>{'first words ' * 30}{k}</p><h2>Part {k}</h2><p>{'second words ' * 30}{k}</p><blockquote>quote {k}</blockquote><ul><li>point {k}<li>other {k}</ul>"
+        flat = f"<body><ul class='top'><li><a>a{k}</a><li><a>b</a><li><a>c</a></ul>{body}<p>About this site</p></body>"
+        one = f"<body><h1>Title {k}</h1><p>{'only words ' * 60}{k}</p><h2>Part {k}</h2><blockquote>quote {k}</blockquote></body>"
+        linked = f"<body><article><h1>Title {k}</h1><p>{'body words ' * 60}{k}</p><ul><li><a>ref {k}</a><li><a>ref b{k}</a><li><a>ref c{k}</a></ul><div><a>x{k}</a><a>y</a><a>z</a></div></article></body>"
+        rows += [(k, f"//flat.org/{k}", flat), (100 + k, f"//one.org/{k}", one), (200 + k, f"//links.org/{k}", linked)]
+    for lists in (True, False):
+        got = {r.page_id: r.text.split("\n") for r in P.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), lists=lists).collect()}
+        for k in range(12):
+            assert got[k] == [f"Title {k}", f"{'first words ' * 30}{k}", f"Part {k}", f"{'second words ' * 30}{k}", f"quote {k}", f"point {k}", f"other {k}"]
+            assert got[100 + k] == [f"Title {k}", f"{'only words ' * 60}{k}", f"Part {k}", f"quote {k}"]
+            assert got[200 + k] == [f"Title {k}", f"{'body words ' * 60}{k}", f"ref {k}", f"ref b{k}", f"ref c{k}"]
