@@ -14,7 +14,8 @@ is taken, and its positional bytes are the inverted index:
    those that differ in more than `MAX_BITS` (at 0.8 the mean is 233 of 1536, the deviation 14) go before any text
    moves. Of each text's pairs the best is verified by the shingle sets themselves.
 3. Postings that still hold texts of several components are cut into blocks of bounded size, and pairs of
-   blocks are compared by tasks of their own: pairs across components are tallied and filtered.
+   blocks are compared by tasks of their own: pairs across components are tallied and filtered. A large component
+   has blocks of its own, which don't meet each other, so a large group that is joined already costs a row a text.
 4. What is left is verified between cells: texts whose least similar first text is the same are cut into cells of
    bounded size, pairs are held as lists under their two cells, and a task for each pair of cells gets every
    text it needs once and returns a spanning forest of the links. So the rows that move are a text for each cell it has a
@@ -44,6 +45,8 @@ from .simhash import TRIPLES
 WORDS, LEAST, PRINTS, MIN_SHARED, MAX_BITS, BLOCK = 5, 0.8, 24, 30, 281, 256
 #: A cell holds about so many texts, and shingles, at most (a longer text is a cell by itself, or shares one with few).
 CELL_TEXTS, CELL_SHINGLES = 128, 1 << 20
+#: In place of a component: the components that have no blocks of their own.
+ALONE = -1
 _SALT = (np.arange(1, PRINTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(1, -1)
 
 
@@ -201,6 +204,32 @@ def _cells(heads: DataFrame, stars: DataFrame) -> DataFrame:
     return at.join(many, F.col("home") == F.col("of"), "left").select("rep", F.xxhash64("home", slot).alias("cell"))
 
 
+def _blocks(met: DataFrame, comp: DataFrame, block: int) -> DataFrame:
+    """(rep, posting, comp, cell, own, all) of the texts in postings (posting, rep) that hold several components.
+
+    A component of more than a block has blocks of its own, which never meet each other; the rest of a posting
+    shares blocks. own is a text's block, all are the posting's, each (part, k): the component or ALONE, and a number.
+    """
+    # a row a text, of at most PRINTS x 8 postings, meets its component
+    met = met.groupBy("rep").agg(F.collect_list("posting").alias("postings")).join(comp, "rep")
+    met = met.withColumn("posting", F.explode("postings")).drop("postings")
+    parts = met.groupBy("posting", "comp").agg(F.count("*").alias("m"))
+    big = F.col("m") > block
+    apart = parts.groupBy("posting").agg(
+        F.count("*").alias("comps"),
+        F.collect_list(F.when(big, F.struct(F.col("comp").alias("part"), F.ceil(F.col("m") / F.lit(block)).alias("n")))).alias("bigs"),
+        F.ceil(F.sum(F.when(~big, F.col("m")).otherwise(0)) / F.lit(block)).alias("rest"),
+    )
+    shared = F.array(F.struct(F.lit(ALONE).alias("part"), F.col("rest").alias("n")))
+    apart = apart.where("comps > 1").select(F.col("posting").alias("of"), F.filter(F.concat("bigs", shared), lambda x: x["n"] > 0).alias("parts"))
+    held = met.join(apart, F.col("posting") == F.col("of"))
+    mine = F.filter("parts", lambda x: x["part"] == F.col("comp"))
+    held = held.withColumn("mine", F.when(F.size(mine) > 0, mine[0]).otherwise(F.filter("parts", lambda x: x["part"] == ALONE)[0]))
+    every = F.flatten(F.transform("parts", lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["n"] - 1), lambda k: F.struct(x["part"].alias("part"), k.alias("k")))))
+    own = F.struct(F.col("mine.part").alias("part"), F.pmod(F.xxhash64("rep"), F.col("mine.n")).alias("k"))
+    return held.select("rep", "posting", "comp", "cell", own.alias("own"), every.alias("all"))
+
+
 def groups(texts: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """(row, comp) for every row of texts (row long, text string): comp is the least row of its group."""
     own = materialize(texts.select("row", "text").mapInArrow(_prints, "row long, same binary, size int, print binary"))
@@ -217,14 +246,12 @@ def groups(texts: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFr
     best = stars.groupBy("b").agg(F.max(F.struct("shared", F.col("a").alias("a"))).alias("x")).select(F.col("x.a").alias("a"), "b")
     links = materialize(_verified(best, texts, least))
     comp = materialize(_named(heads, links).join(_cells(heads, stars), "rep"))
-    # postings whose texts are still apart
-    apart = met.where("n > 2").join(comp, "rep").groupBy("posting").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("n").alias("n")).where("lo < hi")
-    apart = apart.select(F.col("posting").alias("of"), F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks"))
-    held = met.where("n > 2").join(apart, F.col("posting") == F.col("of")).select("posting", "rep", "blocks")
-    # the same texts often meet in many postings of one family: one group for equal lists is not sought, blocks are
-    held = held.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = held.select("posting", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "rep").join(heads, "rep").join(comp, "rep")
-    found = held.groupBy("posting", "bi", "bj").applyInArrow(_cross, _LISTS)
+    held = _blocks(met.where("n > 2").select("posting", "rep"), comp, block).join(heads, "rep")
+    # after the join, so that a text meets its fingerprint once a posting
+    other = F.explode(F.filter("all", lambda x: (x["part"] == ALONE) | (x["part"] != F.col("own.part"))))
+    held = held.withColumn("other", other).drop("all").withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other"))
+    found = held.select("posting", *[F.col(f"{x}.{k}").alias(f"{x}_{k}") for x in ("bi", "bj") for k in ("part", "k")], "rep", "comp", "cell", "size", "print")
+    found = found.groupBy("posting", "bi_part", "bi_k", "bj_part", "bj_k").applyInArrow(_cross, _LISTS)
     of = lambda k: comp.select(F.col("rep").alias(k), F.col("comp").alias(f"m{k}"), F.col("cell").alias(f"c{k}"))
     rest = stars.join(best, ["a", "b"], "left_anti").join(of("a"), "a").join(of("b"), "b").where("ma <> mb")
     rest = rest.select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), F.array("a").alias("a"), F.array("b").alias("b"), F.array("a", "b").alias("need"))
