@@ -88,3 +88,22 @@ def test_a_very_long_text(spark):
     rows = [(0, " ".join(words)), (1, " ".join(words[5:])), (2, "short one")]
     got = {r.row: r.comp for r in N.groups(spark.createDataFrame(rows, "row long, text string")).collect()}
     assert got == {0: 0, 1: 0, 2: 2}
+
+
+def test_blocks_bring_all_components_of_a_posting_together(spark):
+    """Large and small components, none in the way of another: each pair across components shares a pair of blocks."""
+    comps = {0: 40, 1: 13, 2: 3, 3: 1, 4: 1}
+    reps, at = {}, 0
+    for c, m in comps.items():
+        for _ in range(m):
+            reps[at], at = c, at + 1
+    met = spark.createDataFrame([(7, r) for r in reps] + [(8, r) for r in range(40)] + [(9, r) for r in (0, 40, 53)], "posting long, rep long")
+    comp = spark.createDataFrame([(r, c, 0) for r, c in reps.items()], "rep long, comp long, cell long")
+    held = {}
+    for x in N._blocks(met, comp, 8).collect():
+        held[x.posting, x.rep] = {tuple(sorted((tuple(x.own), tuple(o)))) for o in x.all if o.part == N.ALONE or o.part != x.own.part}
+    assert {p for p, _ in held} == {7, 9}  # posting 8 holds one component
+    for p in (7, 9):
+        own = [r for q, r in held if q == p]
+        assert len(own) == (len(reps) if p == 7 else 3)
+        assert all(held[p, a] & held[p, b] for a in own for b in own if reps[a] != reps[b])
