@@ -238,11 +238,7 @@ def groups(texts: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFr
     posted = heads.select("rep", "print").mapInArrow(_post, "posting long, rep long")
     lead = posted.groupBy("posting").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1")
     met = materialize(posted.join(lead.withColumnRenamed("posting", "of"), F.col("posting") == F.col("of")).select("posting", "n", "rep", "lead"))
-    # every text of a posting with the first one
-    stars = met.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    side = lambda k, p, s: heads.select(F.col("rep").alias(k), F.col("print").alias(p), F.col("size").alias(s))
-    near = F.least("m", "n") >= F.lit(least) * F.greatest("m", "n")
-    stars = materialize(stars.join(side("a", "p", "m"), "a").join(side("b", "q", "n"), "b").where(near).select("a", "b", "p", "q").mapInArrow(_tally, "a long, b long, shared long"))
+    stars = materialize(_stars(met, heads, least, block))
     best = stars.groupBy("b").agg(F.max(F.struct("shared", F.col("a").alias("a"))).alias("x")).select(F.col("x.a").alias("a"), "b")
     links = materialize(_verified(best, texts, least))
     comp = materialize(_named(heads, links).join(_cells(heads, stars), "rep"))
@@ -260,6 +256,23 @@ def groups(texts: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFr
     return own.select("row", "same").join(first, "same").join(comp, "rep").select("row", "comp")
 
 
+def _stars(met: DataFrame, heads: DataFrame, least: float, block: int) -> DataFrame:
+    """(a, b, shared): each text b of a posting with the posting's first one, a, where they share enough positional bytes.
+
+    Fingerprints meet lists in place of pairs: a list of the texts of a first text, of bounded length as a posting
+    of several blocks deals its texts to as many lists, then a list of the first texts of a text, a posting each at most.
+    So a first text of many postings is no hot key, and a join makes a row a list.
+    """
+    pairs = met.where("rep <> lead").groupBy(F.col("lead").alias("a"), F.col("rep").alias("b")).agg(F.max("n").alias("n"))
+    many = F.ceil(F.col("n") / F.lit(block))
+    lists = pairs.groupBy("a", many.alias("many"), F.pmod(F.xxhash64("b"), many).alias("slot")).agg(F.collect_list("b").alias("bs"))
+    lists = lists.select("a", "bs").join(heads.select(F.col("rep").alias("of"), F.col("print").alias("p"), F.col("size").alias("m")), F.col("a") == F.col("of"))
+    firsts = lists.select(F.struct("a", "p", "m").alias("first"), F.explode("bs").alias("b")).groupBy("b").agg(F.collect_list("first").alias("firsts"))
+    firsts = firsts.join(heads.select("rep", F.col("print").alias("q"), F.col("size").alias("n")), F.col("b") == F.col("rep"))
+    near = F.least("x.m", "n") >= F.lit(least) * F.greatest("x.m", "n")
+    return firsts.select("b", "q", "n", F.explode("firsts").alias("x")).where(near).select("x.a", "b", "x.p", "q").mapInArrow(_tally, "a long, b long, shared long")
+
+
 def _named(reps: DataFrame, links: DataFrame) -> DataFrame:
     """(rep, comp) for every rep."""
     found = components(links)

@@ -107,3 +107,27 @@ def test_blocks_bring_all_components_of_a_posting_together(spark):
         own = [r for q, r in held if q == p]
         assert len(own) == (len(reps) if p == 7 else 3)
         assert all(held[p, a] & held[p, b] for a in own for b in own if reps[a] != reps[b])
+
+
+def test_stars_meet_every_text_of_a_first_one(spark):
+    """Lists of any length give the pairs of the plain join: sizes alike, positional bytes and bits within the bounds, once each."""
+    r = np.random.default_rng(5)
+    base = r.integers(0, 256, N.PRINTS * 8, dtype=np.uint8)
+    prints = {}
+    for k in range(60):
+        x = base.copy()
+        x[r.choice(x.size, int(r.integers(0, 180)), replace=False)] ^= 1
+        prints[k] = x
+    sizes = {k: int(r.integers(80, 130)) for k in prints}
+    rows = [(p, n, rep, lead) for p, lead, n in ((1, 0, 60), (2, 0, 60), (3, 5, 20), (4, 7, 2)) for rep in range(lead, lead + n) if rep in prints]
+    met = spark.createDataFrame(rows, "posting long, n long, rep long, lead long")
+    heads = spark.createDataFrame([(k, sizes[k], bytes(prints[k])) for k in prints], "rep long, size int, print binary")
+    want = set()
+    for _, _, b, a in rows:
+        shared = int((prints[a] == prints[b]).sum())
+        alike = min(sizes[a], sizes[b]) >= 0.8 * max(sizes[a], sizes[b])
+        if a != b and alike and shared >= N.MIN_SHARED and np.unpackbits(prints[a] ^ prints[b]).sum() <= N.MAX_BITS:
+            want.add((a, b, shared))
+    for block in (256, 8):
+        assert sorted(map(tuple, N._stars(met, heads, 0.8, block).collect())) == sorted(want)
+    assert 10 < len(want) < 80
