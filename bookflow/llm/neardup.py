@@ -31,11 +31,12 @@ columns may have any name; an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, numbered, slices
@@ -45,6 +46,8 @@ from .simhash import TRIPLES
 WORDS, LEAST, PRINTS, MIN_SHARED, MAX_BITS, BLOCK = 5, 0.8, 24, 30, 281, 256
 #: A cell holds about so many texts, and shingles, at most (a longer text is a cell by itself, or shares one with few).
 CELL_TEXTS, CELL_SHINGLES = 128, 1 << 20
+#: A text's list of pairs of blocks has about so many of a posting at most.
+OTHERS = 64
 #: In place of a component: the components that have no blocks of their own.
 ALONE = -1
 _SALT = (np.arange(1, PRINTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(1, -1)
@@ -92,6 +95,43 @@ def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(part.column("rep").to_numpy(), key.shape[1]))], ["posting", "rep"])
 
 
+def _listed(size: int):
+    """Rows (posting, rep), sorted -> (posting, n, lead, reps): the texts of postings of two or more as lists of at most `size`.
+
+    lead is the posting's least text, n how many of its texts there are up to the list's end. A posting
+    streams through, whatever its length; texts alone in a posting go.
+    """
+    size = max(size, 3)  # the first list of a longer posting has n > 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = r = np.zeros(0, np.int64)
+        open_ = lead = seen = 0  # the posting that may go on, its least text and how many of its texts are in lists
+        for b in chain(batches, [None]):
+            if b is not None:
+                p, r = np.concatenate([p, b.column("posting").to_numpy()]), np.concatenate([r, b.column("rep").to_numpy()])
+            if not p.size:
+                continue
+            first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+            many = np.diff(np.append(first, p.size))
+            of, leads = np.repeat(np.arange(first.size), many), r[first]
+            i = np.arange(p.size) - first[of]
+            if seen and p[0] == open_:
+                i[: many[0]] += seen
+                leads[0] = lead
+            end = p.size if b is None else first[-1] + many[-1] // size * size
+            open_, lead, seen = p[-1], leads[-1], i[end] if end < p.size else i[-1] + 1
+            at = np.flatnonzero(i[:end] % size == 0)
+            long = np.diff(np.append(at, end))
+            n = i[at] + long
+            keep = n > 1
+            reps = pa.array(r[:end][np.repeat(keep, long)])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(long[keep])]), pa.int32()), reps)
+            yield pa.RecordBatch.from_arrays([pa.array(p[at][keep]), pa.array(n[keep]), pa.array(leads[of[at]][keep]), lists], ["posting", "n", "lead", "reps"])
+            p, r = p[end:], r[end:]
+
+    return run
+
+
 def _bits(differ: np.ndarray) -> np.ndarray:
     return np.bitwise_count(np.ascontiguousarray(differ).view(np.uint64)).sum(1, dtype=np.int64)
 
@@ -205,29 +245,37 @@ def _cells(heads: DataFrame, stars: DataFrame) -> DataFrame:
 
 
 def _blocks(met: DataFrame, comp: DataFrame, block: int) -> DataFrame:
-    """(rep, posting, comp, cell, own, all) of the texts in postings (posting, rep) that hold several components.
+    """(rep, posting, own, all) of the texts in postings (posting, rep) that hold several components.
 
     A component of more than a block has blocks of its own, which never meet each other; the rest of a posting
     shares blocks. own is a text's block, all are the posting's, each (part, k): the component or ALONE, and a number.
+    Blocks are lists of texts, so what meets by posting is a row a block, not a row a text.
     """
     # a row a text, of at most PRINTS x 8 postings, meets its component
-    met = met.groupBy("rep").agg(F.collect_list("posting").alias("postings")).join(comp, "rep")
-    met = met.withColumn("posting", F.explode("postings")).drop("postings")
-    parts = met.groupBy("posting", "comp").agg(F.count("*").alias("m"))
-    big = F.col("m") > block
-    apart = parts.groupBy("posting").agg(
-        F.count("*").alias("comps"),
-        F.collect_list(F.when(big, F.struct(F.col("comp").alias("part"), F.ceil(F.col("m") / F.lit(block)).alias("n")))).alias("bigs"),
-        F.ceil(F.sum(F.when(~big, F.col("m")).otherwise(0)) / F.lit(block)).alias("rest"),
-    )
-    shared = F.array(F.struct(F.lit(ALONE).alias("part"), F.col("rest").alias("n")))
-    apart = apart.where("comps > 1").select(F.col("posting").alias("of"), F.filter(F.concat("bigs", shared), lambda x: x["n"] > 0).alias("parts"))
-    held = met.join(apart, F.col("posting") == F.col("of"))
-    mine = F.filter("parts", lambda x: x["part"] == F.col("comp"))
-    held = held.withColumn("mine", F.when(F.size(mine) > 0, mine[0]).otherwise(F.filter("parts", lambda x: x["part"] == ALONE)[0]))
-    every = F.flatten(F.transform("parts", lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["n"] - 1), lambda k: F.struct(x["part"].alias("part"), k.alias("k")))))
-    own = F.struct(F.col("mine.part").alias("part"), F.pmod(F.xxhash64("rep"), F.col("mine.n")).alias("k"))
-    return held.select("rep", "posting", "comp", "cell", own.alias("own"), every.alias("all"))
+    met = met.groupBy("rep").agg(F.collect_list("posting").alias("postings")).join(comp.select("rep", "comp"), "rep")
+    # dealt by posting once, for all windows and the lists
+    met = met.select("rep", "comp", F.explode("postings").alias("posting")).repartition("posting")
+    many = F.count("*").over(Window.partitionBy("posting", "comp"))
+    met = met.withColumn("part", F.when(many > block, F.col("comp")).otherwise(ALONE))
+    place = F.row_number().over(Window.partitionBy("posting", "part").orderBy("comp", "rep"))
+    met = met.withColumn("k", F.floor((place - 1) / F.lit(block)).cast("long"))
+    lists = met.groupBy("posting", "part", "k").agg(F.collect_list("rep").alias("reps"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    lists = materialize(lists.select("posting", F.struct(F.col("part").cast("long").alias("part"), "k").alias("own"), "reps", "lo", "hi"))
+    apart = lists.groupBy(F.col("posting").alias("of")).agg(F.collect_list("own").alias("all"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
+    held = lists.select("posting", "own", "reps").join(apart.select("of", "all"), F.col("posting") == F.col("of"))
+    return held.select(F.explode("reps").alias("rep"), "posting", "own", "all")
+
+
+def _meet(held: DataFrame, heads: DataFrame, comp: DataFrame) -> DataFrame:
+    """A row for each text and pair of blocks that its block is in, with the text's fingerprint and component.
+
+    A text meets them once for its list of pairs of blocks; the list is cut where postings have many blocks.
+    """
+    other = F.explode(F.filter("all", lambda x: (x["part"] == ALONE) | (x["part"] != F.col("own.part"))))
+    pairs = held.select("rep", "posting", "own", F.ceil(F.size("all") / F.lit(OTHERS)).alias("cuts"), other.alias("other"))
+    at = F.struct("posting", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
+    lists = pairs.groupBy("rep", F.pmod(F.xxhash64("other"), "cuts").alias("cut")).agg(F.collect_list(at).alias("at"))
+    return lists.join(comp, "rep").join(heads, "rep").select("rep", "comp", "cell", "size", "print", F.explode("at").alias("at")).select("at.*", "rep", "comp", "cell", "size", "print")
 
 
 def groups(texts: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFrame:
@@ -236,17 +284,15 @@ def groups(texts: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFr
     first = materialize(own.groupBy("same").agg(F.min("row").alias("rep")))
     heads = materialize(own.join(first, own["row"] == first["rep"]).where("size > 0").select("rep", "size", "print"))
     posted = heads.select("rep", "print").mapInArrow(_post, "posting long, rep long")
-    lead = posted.groupBy("posting").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    met = materialize(posted.join(lead.withColumnRenamed("posting", "of"), F.col("posting") == F.col("of")).select("posting", "n", "rep", "lead"))
-    stars = materialize(_stars(met, heads, least, block))
+    # sorted by posting and text, so that a pass makes the lists and no row meets another
+    met = materialize(posted.repartition("posting").sortWithinPartitions("posting", "rep").mapInArrow(_listed(block), "posting long, n long, lead long, reps array<long>"))
+    rows = met.select("posting", "n", "lead", F.explode("reps").alias("rep"))
+    stars = materialize(_stars(rows, heads, least, block))
     best = stars.groupBy("b").agg(F.max(F.struct("shared", F.col("a").alias("a"))).alias("x")).select(F.col("x.a").alias("a"), "b")
     links = materialize(_verified(best, texts, least))
     comp = materialize(_named(heads, links).join(_cells(heads, stars), "rep"))
-    held = _blocks(met.where("n > 2").select("posting", "rep"), comp, block).join(heads, "rep")
-    # after the join, so that a text meets its fingerprint once a posting
-    other = F.explode(F.filter("all", lambda x: (x["part"] == ALONE) | (x["part"] != F.col("own.part"))))
-    held = held.withColumn("other", other).drop("all").withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other"))
-    found = held.select("posting", *[F.col(f"{x}.{k}").alias(f"{x}_{k}") for x in ("bi", "bj") for k in ("part", "k")], "rep", "comp", "cell", "size", "print")
+    found = _meet(_blocks(rows.where("n > 2").select("posting", "rep"), comp, block), heads, comp)
+    found = found.select("posting", *[F.col(f"{x}.{k}").alias(f"{x}_{k}") for x in ("bi", "bj") for k in ("part", "k")], "rep", "comp", "cell", "size", "print")
     found = found.groupBy("posting", "bi_part", "bi_k", "bj_part", "bj_k").applyInArrow(_cross, _LISTS)
     of = lambda k: comp.select(F.col("rep").alias(k), F.col("comp").alias(f"m{k}"), F.col("cell").alias(f"c{k}"))
     rest = stars.join(best, ["a", "b"], "left_anti").join(of("a"), "a").join(of("b"), "b").where("ma <> mb")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,49 @@ def test_stars_meet_every_text_of_a_first_one(spark):
     for block in (256, 8):
         assert sorted(map(tuple, N._stars(met, heads, 0.8, block).collect())) == sorted(want)
     assert 10 < len(want) < 80
+
+
+@pytest.mark.parametrize("batch", [1, 5, 16, 1000])
+def test_postings_become_lists_however_they_are_batched(batch):
+    """Each posting of two texts or more in lists of bounded length under its least text; texts alone go."""
+    r = np.random.default_rng(batch)
+    of = {p: np.sort(r.choice(1000, n, replace=False)) for p, n in enumerate([1, 2, 1, 1, 8, 9, 16, 17, 3, 1, 40, 1])}
+    rows = [(p, int(k)) for p, own in of.items() for k in own]
+    batches = [pa.RecordBatch.from_pylist([{"posting": p, "rep": k} for p, k in rows[a : a + batch]], pa.schema([("posting", pa.int64()), ("rep", pa.int64())])) for a in range(0, len(rows), batch)]
+    got = [x for b in N._listed(8)(iter(batches)) for x in b.to_pylist()]
+    held = {}
+    for x in got:
+        own = held.setdefault(x["posting"], [])
+        assert 0 < len(x["reps"]) <= 8 and x["lead"] == of[x["posting"]][0]
+        own += x["reps"]
+        assert x["n"] == len(own)
+    assert held == {p: own.tolist() for p, own in of.items() if len(own) > 1}
+    assert not list(N._listed(8)(iter([])))
+
+
+def test_rows_that_meet_by_posting_are_blocks_not_texts(spark):
+    """A group of near copies whose postings hold a stranger each: what meets by posting is a row a block, what meets a fingerprint a row a text."""
+    texts, postings, block = 300, 24, 64
+    met = spark.createDataFrame([(p, r) for p in range(postings) for r in [*range(texts), texts + p]], "posting long, rep long")
+    comp = spark.createDataFrame([(r, 0 if r < texts else r, 0) for r in range(texts + postings)], "rep long, comp long, cell long")
+    heads = spark.createDataFrame([(r, 100, bytes(N.PRINTS * 8)) for r in range(texts + postings)], "rep long, size int, print binary")
+    held = N._blocks(met, comp, block)
+    found = N._meet(held, heads, comp)
+    # a stranger's block meets itself and each of the group's blocks
+    assert found.count() == postings * (texts + 1 + -(-texts // block))
+    made = {}
+
+    def walk(node):
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan())
+        if name.endswith("QueryStage"):
+            return walk(node.plan())
+        if "Join" in name:
+            made[node.simpleString(200)] = node.metrics().apply("numOutputRows").value()
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    found.collect()
+    walk(found._jdf.queryExecution().executedPlan())
+    assert made and max(made.values()) <= texts + postings
