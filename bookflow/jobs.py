@@ -141,7 +141,11 @@ def analyze(df: DataFrame, signals: list[str], expected: dict[str, str] | None =
 
 
 def training_facts(df: DataFrame, signals: list[str], expected: dict[str, str] | None = None, redundant: float = 0.7) -> DataFrame:
-    """The facts that advice on training needs, from the cheapest plans that give them: no ranks, no information."""
+    """The facts that advice on training needs, from the cheapest plans that give them: no ranks, no information.
+
+    About twenty plans read the frame, so it is computed once and kept by the executors (in memory or on their disks).
+    """
+    df = df.persist()
     long, r = long_form(df, signals), F.col("r")
     sign = F.lit(None).cast("string")
     for name, e in (expected or {}).items():

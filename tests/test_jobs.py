@@ -5,6 +5,7 @@ import pytest
 
 from bookflow import jobs
 from bookflow.operators import advice
+from bookflow.sources.tables import TICK_SIGNALS, ticks
 from tests.test_operators import series
 
 
@@ -95,3 +96,12 @@ def test_settings(spark):
     assert jobs.configure(spark).conf.get("spark.sql.adaptive.enabled") == "true"
     df = series(spark, np.arange(10.0), days=2)
     assert sorted(r.gidx for r in jobs.first_rows(df, 3).collect()) == [0, 1, 2]
+
+
+def test_facts_for_advice_read_the_source_once(spark, sf):
+    """All plans but the one that fills the kept frame read that frame, not the table."""
+    facts = jobs.training_facts(ticks(spark, sf), TICK_SIGNALS)
+    leaves = facts._jdf.queryExecution().optimizedPlan().collectLeaves()
+    names = [leaves.apply(k).nodeName() for k in range(leaves.size())]
+    assert "InMemoryRelation" in names and not [n for n in names if "Relation" in n and n not in ("InMemoryRelation", "LocalRelation", "OneRowRelation")], names
+    spark.catalog.clearCache()
