@@ -13,9 +13,12 @@ is taken, and its positional bytes are the inverted index:
    fingerprint, and pairs below `MIN_SHARED` (at 0.8 the mean is 51 of 192 bytes, the deviation 6) go; of the rest
    those that differ in more than `MAX_BITS` (at 0.8 the mean is 233 of 1536, the deviation 14) go before any text
    moves. Of each text's pairs the best is verified by the shingle sets themselves.
-3. Postings that still hold texts of several components are cut into blocks of bounded size, and pairs of
-   blocks are compared by tasks of their own: pairs across components are tallied and filtered. A large component
-   has blocks of its own, which don't meet each other, so a large group that is joined already costs a row a text.
+3. Texts that share postings and are of several components are tallied and filtered. Postings whose first texts
+   are near each other hold the same texts over and over, so they are put on pages of bounded size: a task for each
+   page gets its postings as lists and each of its texts once, and compares within postings. So what moves is a
+   text for each page, not for each posting. A posting too long for that is cut into blocks of bounded size, and pairs of
+   blocks are compared by tasks of their own. A large component has blocks of its own there, which don't meet each other, so a
+   large group that is joined already costs a row a text.
 4. What is left is verified between cells: texts whose least similar first text is the same are cut into cells of
    bounded size, pairs are held as lists under their two cells, and a task for each pair of cells gets every
    text it needs once and returns a spanning forest of the links. So the rows that move are a text for each cell it has a
@@ -46,6 +49,8 @@ from .simhash import TRIPLES
 WORDS, LEAST, PRINTS, MIN_SHARED, MAX_BITS, BLOCK = 5, 0.8, 24, 30, 281, 256
 #: A cell holds about so many texts, and shingles, at most (a longer text is a cell by itself, or shares one with few).
 CELL_TEXTS, CELL_SHINGLES = 128, 1 << 20
+#: A posting of more than so many blocks is compared by pairs of blocks; a page holds postings of about so many blocks in all.
+LONG, PAGE = 4, 64
 #: A text's list of pairs of blocks has about so many of a posting at most.
 OTHERS = 64
 #: In place of a component: the components that have no blocks of their own.
@@ -159,7 +164,44 @@ def _cross(block: pa.Table) -> pa.Table:
             j = j[_bits(x[j] ^ x[i]) <= MAX_BITS]
             left.append(np.full(j.size, i))
             right.append(j)
-    i, j = (np.concatenate([np.zeros(0, np.int64), *k]) for k in (left, right))
+    return _under_cells(*(np.concatenate([np.zeros(0, np.int64), *k]) for k in (left, right)), rep, cell)
+
+
+def _cross_page(texts: pa.Table, lists: pa.Table) -> pa.Table:
+    """The texts and postings of a page -> what `_cross` gives: pairs within the postings, once each."""
+    order = np.argsort(texts.column("rep").to_numpy())
+    rep, comp, size, cell = (texts.column(k).to_numpy()[order] for k in ("rep", "comp", "size", "cell"))
+    x, found, wait, waiting = _bytes(texts.column("print").combine_chunks())[order], [np.zeros(0, np.int64)], [], 0
+
+    def tallied() -> Iterator[np.ndarray]:
+        pairs = np.unique(np.concatenate(wait))
+        for lo in range(0, pairs.size, 1 << 15):
+            own = pairs[lo : lo + (1 << 15)]
+            p, q = (x[k] for k in np.divmod(own, len(rep)))
+            yield own[((p == q).sum(1) >= MIN_SHARED) & (_bits(p ^ q) <= MAX_BITS)]
+
+    posting, reps = lists.column("posting").to_numpy(), lists.column("reps").combine_chunks()
+    posting = np.repeat(posting, reps.value_lengths().to_numpy())
+    at = np.lexsort((reps.flatten().to_numpy(), posting))
+    posting, member = posting[at], np.searchsorted(rep, reps.flatten().to_numpy()[at])
+    cuts = np.flatnonzero(np.concatenate([[True], posting[1:] != posting[:-1], [True]]))
+    for s, e in zip(cuts.tolist(), cuts[1:].tolist()):
+        own = member[s:e]
+        of, n = comp[own], size[own]
+        if of.min() == of.max():
+            continue
+        i, j = np.nonzero(np.triu((of[:, None] != of) & (np.minimum(n[:, None], n) >= LEAST * np.maximum(n[:, None], n)), 1))
+        wait.append(own[i] * len(rep) + own[j])
+        if (waiting := waiting + i.size) >= 1 << 18:
+            found += tallied()
+            wait, waiting = [], 0
+    if wait:
+        found += tallied()
+    return _under_cells(*np.divmod(np.unique(np.concatenate(found)), len(rep)), rep, cell)
+
+
+def _under_cells(i: np.ndarray, j: np.ndarray, rep: np.ndarray, cell: np.ndarray) -> pa.Table:
+    """Pairs of places in rep and cell as `_LISTS`."""
     i, j = np.where(cell[i] > cell[j], j, i), np.where(cell[i] > cell[j], i, j)
     order = np.lexsort((cell[j], cell[i]))
     i, j = i[order], j[order]
@@ -227,21 +269,46 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def _verified_lists(lists: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(a, b): of each two cells a spanning forest of their pairs that have the similarity; the lists are of `_LISTS`."""
-    need = materialize(lists.select("ca", "cb", F.explode("need").alias("rep")).distinct())
+    """(a, b): of each two cells a spanning forest of their pairs that have the similarity; the lists are of `_LISTS`.
+
+    Lists of the same cells become one before anything is unrolled, so a text is a row once for each two cells.
+    """
+    joined = lambda k: F.flatten(F.collect_list(k))
+    lists = materialize(lists.groupBy("ca", "cb").agg(joined("a").alias("a"), joined("b").alias("b"), F.array_distinct(joined("need")).alias("need")))
+    need = materialize(lists.select("ca", "cb", F.explode("need").alias("rep")))
     held = _sets(need.select(F.col("rep").alias("need")), texts)
     sets = need.join(held, F.col("rep") == F.col("row")).select("ca", "cb", "rep", "s")
     return sets.groupBy("ca", "cb").cogroup(lists.select("ca", "cb", "a", "b").groupBy("ca", "cb")).applyInArrow(_between(least), "a long, b long")
 
 
 def _cells(heads: DataFrame, stars: DataFrame) -> DataFrame:
-    """(rep, cell): texts of one least similar first text are near each other, and are dealt to cells of bounded size."""
+    """(rep, home, cell): texts of one least similar first text, their home, are near each other, and are dealt to cells of bounded size."""
     home = stars.groupBy("b").agg(F.min("a").alias("home"))
     at = heads.join(home, F.col("rep") == F.col("b"), "left").select("rep", "size", F.coalesce("home", "rep").alias("home"))
     n = F.greatest(F.ceil(F.count("*") / CELL_TEXTS), F.ceil(F.sum("size") / CELL_SHINGLES))
     many = at.groupBy("home").agg(n.alias("n")).where("n > 1").select(F.col("home").alias("of"), "n")
     slot = F.coalesce(F.pmod(F.xxhash64("rep"), F.col("n")), F.lit(0))
-    return at.join(many, F.col("home") == F.col("of"), "left").select("rep", F.xxhash64("home", slot).alias("cell"))
+    return at.join(many, F.col("home") == F.col("of"), "left").select("rep", "home", F.xxhash64("home", slot).alias("cell"))
+
+
+def _pages(met: DataFrame, comp: DataFrame, size: int) -> DataFrame:
+    """(page, posting, reps) of the lists of postings (posting, lead, reps): pages of about `size` texts of postings.
+
+    A page has postings whose first texts share a home, and where they fill several pages all postings of a
+    first text, unless these fill pages by themselves. A posting is on one page.
+    """
+    lead = met.groupBy("lead").agg(F.sum(F.size("reps")).alias("n")).join(comp.select(F.col("rep").alias("lead"), "home"), "lead")
+    pages = lead.groupBy(F.col("home").alias("of")).agg(F.ceil(F.sum("n") / F.lit(size)).alias("pages"))
+    lead = lead.join(pages, F.col("home") == F.col("of")).select("lead", "home", "pages", F.ceil(F.col("n") / F.lit(size)).alias("parts"))
+    slot = F.pmod(F.xxhash64("lead", F.pmod(F.xxhash64("posting"), "parts")), "pages")
+    return met.join(lead, "lead").select(F.xxhash64("home", slot).alias("page"), "posting", "reps")
+
+
+def _paged(pages: DataFrame, heads: DataFrame, comp: DataFrame) -> DataFrame:
+    """`_LISTS` of the pairs across components within the postings of pages (page, posting, reps)."""
+    need = pages.groupBy(F.col("page").alias("of")).agg(F.array_distinct(F.flatten(F.collect_list("reps"))).alias("reps")).select("of", F.explode("reps").alias("rep"))
+    texts = need.join(comp.join(heads, "rep"), "rep").select("of", "rep", "comp", "cell", "size", "print")
+    return texts.groupBy("of").cogroup(pages.groupBy("page")).applyInArrow(_cross_page, _LISTS)
 
 
 def _blocks(met: DataFrame, comp: DataFrame, block: int) -> DataFrame:
@@ -286,22 +353,32 @@ def groups(texts: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFr
     posted = heads.select("rep", "print").mapInArrow(_post, "posting long, rep long")
     # sorted by posting and text, so that a pass makes the lists and no row meets another
     met = materialize(posted.repartition("posting").sortWithinPartitions("posting", "rep").mapInArrow(_listed(block), "posting long, n long, lead long, reps array<long>"))
-    rows = met.select("posting", "n", "lead", F.explode("reps").alias("rep"))
-    stars = materialize(_stars(rows, heads, least, block))
+    stars = materialize(_stars(_met_once(met, block), heads, least, block))
     best = stars.groupBy("b").agg(F.max(F.struct("shared", F.col("a").alias("a"))).alias("x")).select(F.col("x.a").alias("a"), "b")
     links = materialize(_verified(best, texts, least))
     comp = materialize(_named(heads, links).join(_cells(heads, stars), "rep"))
-    found = _meet(_blocks(rows.where("n > 2").select("posting", "rep"), comp, block), heads, comp)
+    long = materialize(met.where(F.col("n") > LONG * block).select("posting").distinct())
+    paged = _paged(materialize(_pages(met.where("n > 2").join(long, "posting", "left_anti"), comp, PAGE * block)), heads, comp)
+    found = _meet(_blocks(met.join(long, "posting", "left_semi").select("posting", F.explode("reps").alias("rep")), comp, block), heads, comp)
     found = found.select("posting", *[F.col(f"{x}.{k}").alias(f"{x}_{k}") for x in ("bi", "bj") for k in ("part", "k")], "rep", "comp", "cell", "size", "print")
     found = found.groupBy("posting", "bi_part", "bi_k", "bj_part", "bj_k").applyInArrow(_cross, _LISTS)
     of = lambda k: comp.select(F.col("rep").alias(k), F.col("comp").alias(f"m{k}"), F.col("cell").alias(f"c{k}"))
     rest = stars.join(best, ["a", "b"], "left_anti").join(of("a"), "a").join(of("b"), "b").where("ma <> mb")
     rest = rest.select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), F.array("a").alias("a"), F.array("b").alias("b"), F.array("a", "b").alias("need"))
-    links = links.union(materialize(_verified_lists(materialize(found.union(rest)), texts, least)))
+    links = links.union(materialize(_verified_lists(paged.union(found).union(rest), texts, least)))
     comp = _named(first.select("rep"), links)
     return own.select("row", "same").join(first, "same").join(comp, "rep").select("row", "comp")
 
 
+def _met_once(met: DataFrame, block: int) -> DataFrame:
+    """(lead, n, rep) of lists (posting, n, lead, reps): a text once under its first text, not once a posting.
+
+    Lists of a place in their postings, of which a first text has one a posting, become one before they are unrolled.
+    """
+    once = met.groupBy("lead", F.ceil(F.col("n") / F.lit(block)).alias("place")).agg(F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("reps"))).alias("reps"))
+    return once.select("lead", "n", F.explode("reps").alias("rep"))
+
+
 def _stars(met: DataFrame, heads: DataFrame, least: float, block: int) -> DataFrame:
     """(a, b, shared): each text b of a posting with the posting's first one, a, where they share enough positional bytes.
 

@@ -178,3 +178,96 @@ def test_rows_that_meet_by_posting_are_blocks_not_texts(spark):
     found.collect()
     walk(found._jdf.queryExecution().executedPlan())
     assert made and max(made.values()) <= texts + postings
+
+
+def pages_made(spark, seed, texts=120, postings=200, size=300):
+    """Postings of a group of texts, on pages: (page, posting, reps) and the postings, components and fingerprints."""
+    r = np.random.default_rng(seed)
+    base = r.integers(0, 256, (4, N.PRINTS * 8), dtype=np.uint8)
+    prints, sizes, comps = {}, {}, {}
+    for k in range(texts):
+        x = base[k % 4].copy()
+        x[r.choice(x.size, int(r.integers(0, 180)), replace=False)] ^= 1
+        prints[k], sizes[k], comps[k] = bytes(x), int(r.integers(80, 130)), k % 7 if k % 3 else k
+    of = {p: np.sort(r.choice(texts, int(r.integers(3, 30)), replace=False)).tolist() for p in range(postings)}
+    lists = [(p, len(own[: k + 8]), own[0], own[k : k + 8]) for p, own in of.items() for k in range(0, len(own), 8)]
+    met = spark.createDataFrame(lists, "posting long, n long, lead long, reps array<long>")
+    comp = spark.createDataFrame([(k, comps[k], k % 4, k % 9) for k in prints], "rep long, comp long, home long, cell long")
+    heads = spark.createDataFrame([(k, sizes[k], prints[k]) for k in prints], "rep long, size int, print binary")
+    return N._pages(met, comp, size), of, prints, sizes, comps, heads, comp
+
+
+def test_pages_hold_each_posting_whole_and_are_bounded(spark):
+    size = 300
+    pages, of, *_ = pages_made(spark, 1, size=size)
+    on, members = {}, {}
+    for x in pages.collect():
+        on.setdefault(x.posting, set()).add(x.page)
+        members.setdefault(x.posting, []).extend(x.reps)
+    assert {p: sorted(m) for p, m in members.items()} == of
+    assert all(len(x) == 1 for x in on.values())
+    many = {}
+    for p, (page,) in on.items():
+        many[page] = many.get(page, 0) + len(of[p])
+    assert len(many) > 5 and max(many.values()) < 3 * size
+
+
+@pytest.mark.parametrize("size", [40, 10_000])
+def test_pages_give_the_pairs_of_their_postings(spark, size):
+    """Every pair across components in a posting that is within the bounds, and no other, under its two cells."""
+    pages, of, prints, sizes, comps, heads, comp = pages_made(spark, 2, size=size)
+    want = set()
+    for own in of.values():
+        for x, a in enumerate(own):
+            for b in own[x + 1 :]:
+                p, q = (np.frombuffer(prints[k], np.uint8) for k in (a, b))
+                near = min(sizes[a], sizes[b]) >= 0.8 * max(sizes[a], sizes[b])
+                if comps[a] != comps[b] and near and (p == q).sum() >= N.MIN_SHARED and np.unpackbits(p ^ q).sum() <= N.MAX_BITS:
+                    want.add((a, b))
+    got = set()
+    for x in N._paged(N.materialize(pages), heads, comp).collect():
+        assert x.ca <= x.cb and set(x.need) == set(x.a) | set(x.b)
+        assert {k % 9 for k in x.a} == {x.ca} and {k % 9 for k in x.b} == {x.cb}
+        got |= {tuple(sorted(k)) for k in zip(x.a, x.b)}
+    assert got == want and len(want) > 50
+
+
+def generated(df):
+    """Rows that each explode of a frame makes, by what it unrolls, as it is computed."""
+    df.collect()
+    made = {}
+
+    def walk(node):
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan())
+        if name.endswith("QueryStage"):
+            return walk(node.plan())
+        if name == "Generate":
+            made[node.simpleString(60)] = node.metrics().apply("numOutputRows").value()
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return made
+
+
+def test_a_group_of_texts_is_unrolled_once_a_page_not_once_a_posting(spark):
+    """A group of texts that meet in many postings: rows are texts for each page and first text, not for each posting."""
+    texts, postings = 90, 60
+    met = spark.createDataFrame([(p, texts, 0, list(range(texts))) for p in range(postings)], "posting long, n long, lead long, reps array<long>")
+    comp = spark.createDataFrame([(k, k, 0, 0) for k in range(texts)], "rep long, comp long, home long, cell long")
+    heads = spark.createDataFrame([(k, 100, bytes(N.PRINTS * 8)) for k in range(texts)], "rep long, size int, print binary")
+    pages = N.materialize(N._pages(met, comp, 16_384))
+    made = generated(N._paged(pages, heads, comp))
+    assert made and max(made.values()) == texts  # 5,400 texts of postings
+    made = generated(N._stars(N._met_once(met, 256), heads, 0.8, 256))
+    assert made and max(made.values()) == texts
+
+
+@pytest.mark.parametrize("block", [2, 3])
+def test_long_and_short_postings_give_all_pairs(spark, block):
+    """Blocks so small that there are postings beyond a page: both ways together give the groups of all pairs."""
+    texts = corpus(7, 200)
+    frame = spark.createDataFrame(list(texts.items()), "row long, text string")
+    assert {r.row: r.comp for r in N.groups(frame, block=block).collect()} == brute(texts)
